@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import quantiles, setjoin, topn
+from spectraloom.llm import ann, clusters, quantiles, setjoin, topn
 from spectraloom.runtime import materialize
 
 RANKS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -33,6 +33,62 @@ from (select qry_ids, ref_ids, max(scores) as s from embedding_hits
 """
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = p2_nearest(spark, sf_dir).where(F.col("scores") >= 0.85)
+    return best.select("qry_ids", "ref_ids")
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar references of every query vector."""
+    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10)
+    return found.select(F.col("qry_id").alias("qry_ids"), F.col("ref_id").alias("ref_ids"), F.col("rank").alias("topk"), F.col("score").alias("scores"))
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the ten nearest against an exact search, over the queries whose id is divisible by 50."""
+    q = _read(spark, sf_dir, "qry_embs").where(F.col("id") % 50 == 0)
+    r = _read(spark, sf_dir, "ref_embs")
+    keys = ["qry_id", "ref_id"]
+    true = ann.nearest(q, r, "id", "embedding", 10, exact=True).select(*keys, (F.col("score") >= 0.85).alias("close"))
+    both = true.join(ann.nearest(q, r, "id", "embedding", 10).select(*keys, F.lit(1).alias("hit")), keys, "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"),
+        F.count(F.when(F.col("close"), 1)).alias("close_pairs"), F.avg(F.when(F.col("close"), F.coalesce("hit", F.lit(0)))).alias("close_recall"),
+    )
+
+
+VALID = """
+select id, any_value(embedding)::double[64] as e from {table}
+where len(embedding) = 64 and len([x for x in embedding if isfinite(x)]) = 64 and len([x for x in embedding if x <> 0]) > 0 group by id
+"""
+
+P2_RANKED = f"""
+with q as ({VALID.format(table="qry_embs")}), r as ({VALID.format(table="ref_embs")}),
+s as (select q.id as qry_ids, r.id as ref_ids, round(array_cosine_similarity(q.e, r.e), 6) as scores from q, r)
+select qry_ids, ref_ids, row_number() over (partition by qry_ids order by scores desc, ref_ids) as topk, scores from s
+"""
+
+P6_SQL = f"""
+with v as ({VALID.format(table="mol_embeddings")})
+select min(b.id) as cluster_id, a.id from v a, v b where array_cosine_similarity(a.e, b.e) >= 0.85 group by a.id having count(*) >= 2
+"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> clusters.Clusters:
+    return clusters.similarity_clusters(_read(spark, sf_dir, "mol_embeddings"), "id", "embedding", threshold=0.85)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _clusters(spark, sf_dir)
+    several = found.sizes().where(F.col("size") >= 2).select("cluster_id")
+    return found.members.join(several, "cluster_id").select("cluster_id", "id")
+
+
+def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and three most typical records of every cluster."""
+    return _clusters(spark, sf_dir).typical(3)
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests by measure, group and day of embedding_hits.scores and precursor_hits.delta."""
     scores = _read(spark, sf_dir, "embedding_hits").withColumn("measure", F.lit("scores"))
@@ -93,7 +149,7 @@ pair as (
 
 
 def queries() -> dict:
-    names = ["p1_found", "p1_top_hits", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links"]
+    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p6_found", "p6_typical"]
     return {n: globals()[n] for n in names}
 
 
@@ -101,5 +157,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"select qry_ids, ref_ids, topk from ({P1_RANKED}) where topk <= 10",
         "p1_top_hits": f"select * from ({P1_RANKED}) where topk <= 10",
+        "p2_found": f"select qry_ids, ref_ids from ({P2_RANKED}) where topk <= 10 and scores >= 0.85",
+        "p6_found": P6_SQL,
         "p4_found": f"{P4_SETS} select a as spectrum_a, b as spectrum_b from pair",
     }
