@@ -91,13 +91,13 @@ def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests by measure, group and day of embedding_hits.scores and precursor_hits.delta."""
-    scores = _read(spark, sf_dir, "embedding_hits").withColumn("measure", F.lit("scores"))
-    same = ["group_id", "qry_ids", "ref_ids", "topk", "scores", "run_day"]
-    a = quantiles.quantile_digests(scores, "scores", ["measure", "group_id", "run_day"], distinct_on=same)
-    delta = _read(spark, sf_dir, "precursor_hits").where(F.col("delta") >= 0).withColumn("measure", F.lit("delta"))
-    same = ["group_id", "qry_ids", "ref_ids", "delta", "run_day"]
-    b = quantiles.quantile_digests(delta, "delta", ["measure", "group_id", "run_day"], distinct_on=same)
-    return materialize(a.unionByName(b), "daily-digests")
+    keys = ["group_id", "run_day"]
+    same = [*keys, "qry_ids", "ref_ids", "topk", "scores"]
+    a = quantiles.quantile_digests(_read(spark, sf_dir, "embedding_hits"), "scores", keys, distinct_on=same)
+    same = [*keys, "qry_ids", "ref_ids", "delta"]
+    b = quantiles.quantile_digests(_read(spark, sf_dir, "precursor_hits").where(F.col("delta") >= 0), "delta", keys, distinct_on=same)
+    both = a.withColumn("measure", F.lit("scores")).unionByName(b.withColumn("measure", F.lit("delta")))
+    return materialize(both.select("measure", *keys, "level", "node", "cnt"), "daily-digests")
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
