@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectraloom.runtime import col, materialize
 
@@ -73,15 +77,18 @@ def similar_sets(
     (size - o + 2). A small set (at most ``max_small`` tokens) therefore enumerates the
     two-token subsets of that prefix and meets others on equal subsets, which keeps
     common tokens from making candidates. A large set, which would have too many
-    subsets, scans the inverted lists of its first (size - o + 1) tokens. The union of
-    both is cut by size and by a 128-bit bitmap that bounds the overlap from above
-    inside the join, then by the exact similarity.
+    subsets, scans the inverted lists of its first (size - o + 1) tokens, where a 128-bit
+    bitmap bounds the overlap from above inside the join. The union of both is cut by
+    the exact similarity. Tokens that are not whole numbers are compared by 64-bit hash.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
 
     def records(df: DataFrame, is_right: bool) -> DataFrame:
-        t = F.array_sort(F.array_distinct(F.filter(col(tokens), lambda x: x.isNotNull())))
+        item = df.select(col(tokens).alias("t")).schema["t"].dataType.elementType
+        whole = isinstance(item, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+        t = F.filter(col(tokens), lambda x: x.isNotNull())
+        t = F.array_sort(F.array_distinct(t.cast("array<bigint>") if whole else F.transform(t, lambda x: F.xxhash64(x))))
         return df.select(col(id).alias("id"), F.lit(is_right).alias("right"), t.alias("t")).where(F.col("id").isNotNull() & (F.size("t") >= max(1, min_size)))
 
     recs = records(left, False)
@@ -90,51 +97,50 @@ def similar_sets(
     recs = recs.select("id", "right", "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), F.reverse("t")).alias("h2"))
     sets = recs.groupBy("h1", "h2").agg(F.min("id").alias("set_id"), F.min("right").alias("only_right"), F.first("t").alias("t"))
     sets = materialize(sets, "sets")
-    keyed = sets.select("h1", "h2", "set_id")
-    members = recs.select("id", "right", "h1", "h2").distinct().join(keyed, ["h1", "h2"]).select("set_id", "id", "right")
-
-    # tokens of every set in order of rising frequency over all different sets
-    long = sets.select("set_id", F.explode("t").alias("tok"))
-    freq = long.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ordered = long.join(freq, "tok").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    ordered = ordered.select("set_id", F.transform("o", lambda x: x["tok"]).alias("o")).join(sets.select("set_id", "only_right"), "set_id")
-    ordered = materialize(ordered.select("set_id", "only_right", "o", F.size("o").alias("n"), _bitmap(F.col("o"), 0).alias("b0"), _bitmap(F.col("o"), 1).alias("b1")), "ordered")
+    members = recs.select("id", "right", "h1", "h2").distinct().join(sets.select("h1", "h2", "set_id"), ["h1", "h2"]).select("set_id", "id", "right")
+    ordered = _by_rarity(sets)
 
     low, half = threshold, 2 * threshold / (1 + threshold)
     n = F.col("n")
     as_larger = n - F.ceil(n * low - 1e-9).cast("int")  # prefix lengths less the subset size
     as_smaller = n - F.ceil(n * half - 1e-9).cast("int")
-    head = ["set_id", "only_right", "n", "b0", "b1"]
 
-    def keys(df: DataFrame, prefix: Column, subset: int, name: str) -> DataFrame:
-        cut = F.slice("o", 1, F.least(prefix + subset, n))
-        hashed = F.transform(cut, lambda x: F.xxhash64(x)) if subset == 1 else _two_subsets(cut)
-        return df.select(*(F.col(c).alias(f"{c}_{name}") for c in head), F.explode(hashed).alias("key"))
+    def subsets(df: DataFrame, prefix: Column, name: str) -> DataFrame:
+        pairs = _two_subsets(F.slice("o", 1, F.least(prefix + 2, n)))
+        return df.select(*(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "size")), F.explode(pairs).alias("key"))
+
+    def lists(df: DataFrame, prefix: Column, name: str) -> DataFrame:
+        cut = F.slice("o", 1, F.least(prefix + 1, n))
+        return df.select(*(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "size", "b0", "b1")), F.explode(cut).alias("key"))
 
     def meet(probe: DataFrame, index: DataFrame) -> DataFrame:
-        need = F.ceil((F.col("n_p") + F.col("n_i")) * (threshold / (1 + threshold)) - 1e-9)
-        apart = F.bit_count(F.col("b0_p").bitwiseXOR(F.col("b0_i"))) + F.bit_count(F.col("b1_p").bitwiseXOR(F.col("b1_i")))
+        # size holds twice the number of tokens, plus 1 for a set of the second table only
+        n_p, n_i = F.expr("shiftright(size_p, 1)"), F.expr("shiftright(size_i, 1)")
         fits = (
-            ((F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("set_id_i") < F.col("set_id_p"))))
-            & (F.col("n_i") >= F.ceil(F.col("n_p") * low - 1e-9))
-            & (F.col("n_p") + F.col("n_i") - apart >= 2 * need)
-            & ~(F.col("only_right_p") & F.col("only_right_i"))
+            ((n_i < n_p) | ((n_i == n_p) & (F.col("set_id_i") < F.col("set_id_p"))))
+            & (n_i >= F.ceil(n_p * low - 1e-9))
+            & ((F.col("size_p") % 2 == 0) | (F.col("size_i") % 2 == 0))
         )
+        if "b0_p" in probe.columns:
+            need = F.ceil((n_p + n_i) * (threshold / (1 + threshold)) - 1e-9)
+            apart = F.bit_count(F.col("b0_p").bitwiseXOR(F.col("b0_i"))) + F.bit_count(F.col("b1_p").bitwiseXOR(F.col("b1_i")))
+            fits = fits & (n_p + n_i - apart >= 2 * need)
         return probe.join(index, "key").where(fits).select("set_id_p", "set_id_i")
 
     small, large = ordered.where(n <= max_small), ordered.where(n > max_small)
     partners = ordered.where(n >= math.ceil((max_small + 1) * low - 1e-9))
-    found = meet(keys(small, as_larger, 2, "p"), keys(small, as_smaller, 2, "i"))
-    found = found.unionByName(meet(keys(large, as_larger, 1, "p"), keys(partners, as_smaller, 1, "i")))
-    # sets of one token have no two-token subset; at any threshold they are similar only if equal, except to sets of two
+    # a set of one token has no two-token subset; below a similarity of 1 it needs its inverted list to meet small sets
     tiny = ordered.where(n <= math.floor(1 / low))
-    found = found.unionByName(meet(keys(tiny, as_larger, 1, "p"), keys(tiny, as_smaller, 1, "i")))
-    found = found.distinct()
+    found = meet(subsets(small, as_larger, "p"), subsets(small, as_smaller, "i"))
+    scans = meet(lists(large, as_larger, "p"), lists(partners, as_smaller, "i"))
+    if min_size <= 1:
+        scans = scans.unionByName(meet(lists(tiny, as_larger, "p"), lists(tiny, as_smaller, "i")))
+    found = found.unionByName(scans).distinct()
 
     side = lambda s: ordered.select(F.col("set_id").alias(f"set_id_{s}"), F.col("o").alias(f"o_{s}"))
     exact = found.join(side("p"), "set_id_p").join(side("i"), "set_id_i")
     a, b = F.col("set_id_p"), F.col("set_id_i")
-    exact = exact.select(a, b, F.size(F.array_intersect("o_p", "o_i")).alias("overlap"), F.size("o_p").alias("n_p"), F.size("o_i").alias("n_i"))
+    exact = exact.select("set_id_p", "set_id_i", F.size(F.array_intersect("o_p", "o_i")).alias("overlap"), F.size("o_p").alias("n_p"), F.size("o_i").alias("n_i"))
     exact = exact.where(F.col("overlap") / (F.col("n_p") + F.col("n_i") - F.col("overlap")) >= threshold)
     pairs = exact.select(
         F.least(a, b).alias("set_a"), F.greatest(a, b).alias("set_b"), "overlap",
@@ -143,31 +149,81 @@ def similar_sets(
     return SetJoin(members, pairs)
 
 
-def _two_subsets(tokens: Column) -> Column:
-    """Hashes of all two-token subsets of an array."""
-    return F.flatten(F.transform(tokens, lambda x, i: F.transform(F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-
+def _by_rarity(sets: DataFrame, counters: int = 1 << 18) -> DataFrame:
+    """Every set with its tokens in order of rising frequency: ``set_id, size, n, o, b0, b1``.
 
-def _bitmap(tokens: Column, half: int) -> Column:
-    """One half of a 128-bit bitmap in which every token sets one bit."""
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    Frequencies over all different sets are added up in a fixed number of counters by
+    the token's hash, so what is sent to every task does not grow with the vocabulary.
+    Any order that is the same for all sets is right; this one only has to be good.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(counters)).cast("int")
+    counted = sets.select(F.explode("t").alias("tok")).groupBy(place("tok").alias("c")).agg(F.count(F.lit(1)).alias("df"))
+    table = np.zeros(counters, np.int64)
+    got = counted.toPandas()
+    table[got["c"].to_numpy()] = got["df"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = shared.value
+        for batch in batches:
+            lists, hashes = batch.column("t"), batch.column("h")
+            tok, h = lists.flatten().to_numpy(zero_copy_only=False), hashes.flatten().to_numpy(zero_copy_only=False)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)
+            tok, h = tok[order := np.lexsort((tok, df[h % counters], row))], h[order]
+            bits = []
+            bit = (h // counters) % 128
+            for half in (0, 1):
+                word = np.zeros(len(length), np.uint64)
+                own = (bit // 64) == half
+                np.bitwise_or.at(word, row[own], np.uint64(1) << (bit[own] % 64).astype(np.uint64))
+                bits.append(pa.array(word.view(np.int64)))
+            ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
+            size = length.astype(np.int32) * 2 + batch.column("only_right").to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(size), pa.array(length.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(tok)), *bits], ["set_id", "size", "n", "o", "b0", "b1"])
+
+    kind = sets.schema["set_id"].dataType.simpleString()
+    # the low bits of the hash choose the counter, the next ones the bit of the bitmap
+    rows = sets.select("set_id", "only_right", "t", F.transform("t", lambda x: F.pmod(F.xxhash64(x), F.lit(counters * 128))).alias("h"))
+    return materialize(rows.mapInArrow(arrange, f"set_id {kind}, size int, n int, o array<bigint>, b0 long, b1 long"), "ordered")
 
-    def add(bits: Column, x: Column) -> Column:
-        place = F.pmod(F.xxhash64(x), F.lit(128))
-        return F.when(F.floor(place / 64) == half, bits.bitwiseOR(F.call_function("shiftleft", one, F.pmod(place, F.lit(64)).cast("int")))).otherwise(bits)
 
-    return F.aggregate(tokens, none, add)
+def _two_subsets(tokens: Column) -> Column:
+    """40-bit hashes of all two-token subsets of an array; equal hashes of unequal subsets only add candidates."""
+    key = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit((1 << 40) - 1))
+    rest = lambda i: F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0)))
+    return F.flatten(F.transform(tokens, lambda x, i: F.transform(rest(i), lambda y: key(x, y))))
 
 
 def peak_sets(df: DataFrame, id: str, mz: Column, intensity: Column, *, weakest: float = 0.01, per_unit: int = 10) -> DataFrame:
     """``(id, tokens)``: floor(m/z * per_unit) of the peaks that are not weak.
 
-    A row with a null list, or lists of unequal length, gives null tokens. A peak counts
+    A row with a null list, or lists of unequal length, is left out. A peak counts
     if m/z and intensity are neither null nor NaN and above 0, and its intensity is at
     least ``weakest`` times the highest one of those.
     """
-    rows = df.select(col(id).alias("id"), mz.alias("m"), intensity.alias("i"))
-    peaks = F.when(F.size("m") == F.size("i"), F.filter(F.arrays_zip("m", "i"), lambda p: (p["m"] > 0) & (p["i"] > 0) & ~F.isnan(p["m"]) & ~F.isnan(p["i"])))
-    rows = rows.select("id", peaks.alias("p")).select("id", "p", F.array_max(F.transform("p", lambda p: p["i"])).alias("top"))
-    strong = F.filter("p", lambda p: p["i"] >= weakest * F.col("top"))
-    return rows.select("id", F.array_distinct(F.transform(strong, lambda p: F.floor(p["m"] * per_unit))).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, x = batch.column("m"), batch.column("x")
+            n = m.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(m) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            mzs, ints = (np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in (m, x))
+            ok = (mzs > 0) & (ints > 0)
+            row, mzs, ints = row[ok], mzs[ok], ints[ok]
+            top = np.zeros(len(n))
+            np.maximum.at(top, row, ints)
+            ok = ints >= weakest * top[row]
+            tok = np.clip(np.floor(mzs[ok] * per_unit), None, 2.0**62).astype(np.int64)
+            row = row[ok]
+            order = np.lexsort((tok, row))
+            row, tok = row[order], tok[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (tok[1:] != tok[:-1])
+            ends = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(n)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(tok[new]))], ["id", "tokens"])
+
+    rows = df.select(col(id).alias("id"), mz.cast("array<double>").alias("m"), intensity.cast("array<double>").alias("x"))
+    kind = rows.schema["id"].dataType.simpleString()
+    # null lists and lists of unequal length have no set
+    return rows.where(F.size("m") == F.size("x")).where(F.col("m").isNotNull() & F.col("x").isNotNull()).mapInArrow(run, f"id {kind}, tokens array<bigint>")
