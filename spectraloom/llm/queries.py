@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import ann, clusters, quantiles, setjoin, topn
+from spectraloom.llm import ann, clusters, diverse, mixing, packing, quantiles, setjoin, subjects, topn
+from spectraloom.llm.tokens import token_count
 from spectraloom.runtime import materialize
 
 RANKS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -34,8 +35,8 @@ from (select qry_ids, ref_ids, max(scores) as s from embedding_hits
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = p2_nearest(spark, sf_dir).where(F.col("scores") >= 0.85)
-    return best.select("qry_ids", "ref_ids")
+    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10)
+    return found.where(F.col("score") >= 0.85).select(F.col("qry_id").alias("qry_ids"), F.col("ref_id").alias("ref_ids"))
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +149,87 @@ pair as (
 """
 
 
+def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid vectors, each id once, with the SMILES of their molecule."""
+    v = F.col("embedding")
+    usable = (F.size(v) == 64) & F.forall(v, lambda x: topn.finite(x)) & F.exists(v, lambda x: x != 0)
+    vectors = _read(spark, sf_dir, "mol_embeddings").where(usable).groupBy("id").agg(F.min("embedding").alias("embedding"))
+    smiles = _read(spark, sf_dir, "molecules").groupBy("id").agg(F.min("smiles").alias("smiles"))
+    return vectors.join(smiles, "id", "left")
+
+
+def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1,000 varied molecules, or a tenth of the valid ones if there are fewer than 10,000."""
+    valid = materialize(_molecules(spark, sf_dir).select("id", diverse.aromatic_bin(F.col("smiles")).alias("aromatic"), *(b.alias(f"b{j}") for j, b in enumerate(diverse.sign_bits(F.col("embedding"), 64, 16)))), "molecules")
+    n = valid.count()
+    bits = [F.col(f"b{j}") for j in range(16)]
+    return diverse.varied_subset(valid, "id", [F.col("aromatic")], 1000 if n >= 10_000 else n // 10, refine=bits)
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-empty documents with their source and number of tokens."""
+    docs = _read(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return materialize(docs.select("doc_id", F.lower(F.trim("source")).alias("source"), token_count(F.col("text")).alias("tokens")), "sizes")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {r["pack_kind"]: r["capacity_tokens"] for r in _read(spark, sf_dir, "pack_sizes").where("pack_kind is not null and capacity_tokens > 0").limit(1000).collect()}
+    return packing.fill_containers(_sizes(spark, sf_dir), "doc_id", "tokens", kinds)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text, or of each piece of one that exceeds the capacity, for every kind."""
+    return _containers(spark, sf_dir)
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused space of every kind."""
+    return packing.container_summary(_containers(spark, sf_dir), "doc_id")
+
+
+def _mixture(spark: SparkSession, sf_dir: str, whole: bool = False) -> mixing.Mixture:
+    sizes = _sizes(spark, sf_dir)
+    budget = sizes.agg(F.sum("tokens")).first()[0] if whole else None
+    return mixing.mix(sizes, "doc_id", "source", "tokens", _read(spark, sf_dir, "source_targets"), budget=budget)
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents and how often each is used, for the largest total at which all present sources reach their share."""
+    return _mixture(spark, sf_dir).documents().withColumnRenamed("id", "doc_id").withColumnRenamed("size", "tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares reached by that mixture."""
+    return _mixture(spark, sf_dir).shares()
+
+
+def p8_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for as many tokens as the corpus has, where small sources fall short."""
+    return _mixture(spark, sf_dir, whole=True).shares()
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
+    names = [r[0] for r in _read(spark, sf_dir, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").limit(62).collect()]
+    return subjects.subject_areas(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_labels"), names)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).assigned()
+
+
+def p9_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of prose and calibrated posterior of every subject of a document."""
+    return _subjects(spark, sf_dir).posteriors()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus by subject."""
+    return _subjects(spark, sf_dir).composition()
+
+
 def queries() -> dict:
-    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p6_found", "p6_typical"]
+    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_found", "p6_typical",
+             "p7_containers", "p7_summary", "p8_documents", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition"]
     return {n: globals()[n] for n in names}
 
 
