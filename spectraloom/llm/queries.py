@@ -35,7 +35,8 @@ from (select qry_ids, ref_ids, max(scores) as s from embedding_hits
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10)
+    # close pairs need a narrower search than the ten nearest of isolated vectors
+    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10, ef=24)
     return found.where(F.col("score") >= 0.85).select(F.col("qry_id").alias("qry_ids"), F.col("ref_id").alias("ref_ids"))
 
 
