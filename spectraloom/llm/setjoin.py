@@ -62,6 +62,8 @@ def similar_sets(
     threshold: float = 0.6,
     min_size: int = 1,
     max_small: int = 64,
+    hot_rows: int = 50_000,
+    bucket_rows: int = 100_000,
 ) -> SetJoin:
     """Similar pairs within ``left`` and, if given, between ``left`` and ``right``.
 
@@ -77,9 +79,15 @@ def similar_sets(
     (size - o + 2). A small set (at most ``max_small`` tokens) therefore enumerates the
     two-token subsets of that prefix and meets others on equal subsets, which keeps
     common tokens from making candidates. A large set, which would have too many
-    subsets, scans the inverted lists of its first (size - o + 1) tokens, where a 128-bit
-    bitmap bounds the overlap from above inside the join. The union of both is cut by
-    the exact similarity. Tokens that are not whole numbers are compared by 64-bit hash.
+    subsets, scans the inverted lists of its first (size - o + 1) tokens.
+
+    Sets are sent to the buckets of their signatures, about ``bucket_rows`` rows each: a
+    subset lies in the bucket of its rarer token, or, if that is among more than
+    ``hot_rows`` sets, in that of both tokens, so a token that many sets have is spread.
+    Within a bucket sets meet on equal signatures, in slices of bounded size, and are
+    cut by size and by a 128-bit bitmap that bounds the overlap from above; what is left
+    of all buckets is cut by the exact similarity. Tokens that are not whole numbers
+    are compared by 64-bit hash.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -98,44 +106,11 @@ def similar_sets(
     sets = recs.groupBy("h1", "h2").agg(F.min("id").alias("set_id"), F.min("right").alias("only_right"), F.first("t").alias("t"))
     sets = materialize(sets, "sets")
     members = recs.select("id", "right", "h1", "h2").distinct().join(sets.select("h1", "h2", "set_id"), ["h1", "h2"]).select("set_id", "id", "right")
-    ordered = _by_rarity(sets)
-
-    low, half = threshold, 2 * threshold / (1 + threshold)
-    n = F.col("n")
-    as_larger = n - F.ceil(n * low - 1e-9).cast("int")  # prefix lengths less the subset size
-    as_smaller = n - F.ceil(n * half - 1e-9).cast("int")
-
-    def subsets(df: DataFrame, prefix: Column, name: str) -> DataFrame:
-        pairs = _two_subsets(F.slice("o", 1, F.least(prefix + 2, n)))
-        return df.select(*(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "size")), F.explode(pairs).alias("key"))
-
-    def lists(df: DataFrame, prefix: Column, name: str) -> DataFrame:
-        cut = F.slice("o", 1, F.least(prefix + 1, n))
-        return df.select(*(F.col(c).alias(f"{c}_{name}") for c in ("set_id", "size", "b0", "b1")), F.explode(cut).alias("key"))
-
-    def meet(probe: DataFrame, index: DataFrame) -> DataFrame:
-        # size holds twice the number of tokens, plus 1 for a set of the second table only
-        n_p, n_i = F.expr("shiftright(size_p, 1)"), F.expr("shiftright(size_i, 1)")
-        fits = (
-            ((n_i < n_p) | ((n_i == n_p) & (F.col("set_id_i") < F.col("set_id_p"))))
-            & (n_i >= F.ceil(n_p * low - 1e-9))
-            & ((F.col("size_p") % 2 == 0) | (F.col("size_i") % 2 == 0))
-        )
-        if "b0_p" in probe.columns:
-            need = F.ceil((n_p + n_i) * (threshold / (1 + threshold)) - 1e-9)
-            apart = F.bit_count(F.col("b0_p").bitwiseXOR(F.col("b0_i"))) + F.bit_count(F.col("b1_p").bitwiseXOR(F.col("b1_i")))
-            fits = fits & (n_p + n_i - apart >= 2 * need)
-        return probe.join(index, "key").where(fits).select("set_id_p", "set_id_i")
-
-    small, large = ordered.where(n <= max_small), ordered.where(n > max_small)
-    partners = ordered.where(n >= math.ceil((max_small + 1) * low - 1e-9))
-    # a set of one token has no two-token subset; below a similarity of 1 it needs its inverted list to meet small sets
-    tiny = ordered.where(n <= math.floor(1 / low))
-    found = meet(subsets(small, as_larger, "p"), subsets(small, as_smaller, "i"))
-    scans = meet(lists(large, as_larger, "p"), lists(partners, as_smaller, "i"))
-    if min_size <= 1:
-        scans = scans.unionByName(meet(lists(tiny, as_larger, "p"), lists(tiny, as_smaller, "i")))
-    found = found.unionByName(scans).distinct()
+    plan = _Prefixes(threshold, max_small, hot_rows, max(12, -(-sets.count() * 12 // bucket_rows)))
+    ordered = _by_rarity(sets, plan)
+    spread = ordered.select(F.explode("buckets").alias("bucket"), "set_id", "size", "hot", "prefix", "b0", "b1")
+    kind = ordered.schema["set_id"].dataType.simpleString()
+    found = spread.groupBy("bucket").applyInArrow(_meeting(plan), f"set_id_p {kind}, set_id_i {kind}").distinct()
 
     side = lambda s: ordered.select(F.col("set_id").alias(f"set_id_{s}"), F.col("o").alias(f"o_{s}"))
     exact = found.join(side("p"), "set_id_p").join(side("i"), "set_id_i")
@@ -149,50 +124,165 @@ def similar_sets(
     return SetJoin(members, pairs)
 
 
-def _by_rarity(sets: DataFrame, counters: int = 1 << 18) -> DataFrame:
-    """Every set with its tokens in order of rising frequency: ``set_id, size, n, o, b0, b1``.
+@dataclass(frozen=True)
+class _Prefixes:
+    """Where sets of n tokens have to be looked for: lengths of prefixes, by role and kind of signature."""
+
+    threshold: float
+    max_small: int
+    hot_rows: int
+    buckets: int
+
+    def larger(self, n: np.ndarray, subset: int) -> np.ndarray:
+        """As the larger set of a pair, the overlap being at least threshold * n."""
+        return np.minimum(n, n - np.ceil(n * self.threshold - 1e-9).astype(np.int64) + subset)
+
+    def smaller(self, n: np.ndarray, subset: int) -> np.ndarray:
+        """As the smaller one, or one of two equally large."""
+        return np.minimum(n, n - np.ceil(n * (2 * self.threshold / (1 + self.threshold)) - 1e-9).astype(np.int64) + subset)
+
+    def small(self, n: np.ndarray) -> np.ndarray:
+        return n <= self.max_small
+
+    def tiny(self, n: np.ndarray) -> np.ndarray:
+        """Sets that may share a single token only, and so no subset of two."""
+        return n <= math.floor(1 / self.threshold)
+
+    def partner(self, n: np.ndarray) -> np.ndarray:
+        """Sets that may be similar to a large one."""
+        return n >= math.ceil((self.max_small + 1) * self.threshold - 1e-9)
+
+    def length(self, n: np.ndarray) -> np.ndarray:
+        return np.where(self.small(n), self.larger(n, 2), self.larger(n, 1))
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """Of a token's code, or of two codes in one number."""
+        return ((key ^ (key >> 29)) * np.int64(0x2545F4914F6CDD1D) >> 17) % self.buckets
+
+
+def _later(length: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places after each place: the number of the entry in ``row, at`` and the later place."""
+    count = np.maximum(length[row] - at - 1, 0)
+    entry = np.repeat(np.arange(len(row)), count)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + at[entry] + 1
+
+
+def _by_rarity(sets: DataFrame, plan: _Prefixes, counters: int = 1 << 18) -> DataFrame:
+    """Every set with its tokens in order of rising frequency, and where it has to be looked for.
+
+    ``o`` are the tokens, ``prefix`` the 31-bit codes of the first ones, ``hot`` the
+    first place of a token of more than ``hot_rows`` sets, ``buckets`` the buckets of
+    the signatures, ``b0, b1`` a 128-bit bitmap in which every token sets one bit and
+    ``size`` twice the number of tokens, plus 1 for a set of the second table only.
 
     Frequencies over all different sets are added up in a fixed number of counters by
     the token's hash, so what is sent to every task does not grow with the vocabulary.
     Any order that is the same for all sets is right; this one only has to be good.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(counters)).cast("int")
-    counted = sets.select(F.explode("t").alias("tok")).groupBy(place("tok").alias("c")).agg(F.count(F.lit(1)).alias("df"))
+    place = F.pmod(F.xxhash64("tok"), F.lit(counters)).cast("int").alias("c")
+    got = sets.select(F.explode("t").alias("tok")).groupBy(place).agg(F.count(F.lit(1)).alias("df")).toPandas()
     table = np.zeros(counters, np.int64)
-    got = counted.toPandas()
     table[got["c"].to_numpy()] = got["df"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = shared.value
+        frequency = shared.value
         for batch in batches:
             lists, hashes = batch.column("t"), batch.column("h")
             tok, h = lists.flatten().to_numpy(zero_copy_only=False), hashes.flatten().to_numpy(zero_copy_only=False)
-            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(length)), length)
-            tok, h = tok[order := np.lexsort((tok, df[h % counters], row))], h[order]
-            bits = []
-            bit = (h // counters) % 128
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            df = frequency[h % counters]
+            order = np.lexsort((tok, df, row))
+            tok, h, df = tok[order], h[order], df[order]
+            bit, code = (h // counters) % 128, (h // (counters * 128)) & 0x7FFFFFFF
+            words = []
             for half in (0, 1):
-                word = np.zeros(len(length), np.uint64)
+                word = np.zeros(len(n), np.uint64)
                 own = (bit // 64) == half
                 np.bitwise_or.at(word, row[own], np.uint64(1) << (bit[own] % 64).astype(np.uint64))
-                bits.append(pa.array(word.view(np.int64)))
-            ends = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
-            size = length.astype(np.int32) * 2 + batch.column("only_right").to_numpy(zero_copy_only=False).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(size), pa.array(length.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(tok)), *bits], ["set_id", "size", "n", "o", "b0", "b1"])
+                words.append(pa.array(word.view(np.int64)))
+            start = np.cumsum(n) - n
+            at = np.arange(len(tok)) - start[row]
+            length = plan.length(n)
+            kept = at < length[row]
+            cold = np.bincount(row, weights=kept & (df <= plan.hot_rows), minlength=len(n)).astype(np.int64)
+            # signatures: a token and any later one, or a token alone; those of hot tokens are spread by both
+            alone = plan.partner(n) | plan.tiny(n) | ~plan.small(n)
+            single = kept & ((at < cold[row]) | alone[row])
+            pair = np.flatnonzero(kept & (at >= cold[row]) & plan.small(n)[row])
+            entry, later = _later(length, row[pair], at[pair])
+            both = (code[pair[entry]] << 32) | code[start[row[pair[entry]]] + later]
+            where = np.unique(np.r_[row[single] * plan.buckets + plan.bucket(code[single]), row[pair[entry]] * plan.buckets + plan.bucket(both)])
+            nested = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+            size = n.astype(np.int32) * 2 + batch.column("only_right").to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("set_id"), pa.array(size), pa.array(cold.astype(np.int32)), nested(n, pa.array(tok)), nested(length, pa.array(code[kept].astype(np.int32))),
+                nested(np.bincount(where // plan.buckets, minlength=len(n)), pa.array((where % plan.buckets).astype(np.int32))), *words,
+            ], ["set_id", "size", "hot", "o", "prefix", "buckets", "b0", "b1"])
 
     kind = sets.schema["set_id"].dataType.simpleString()
-    # the low bits of the hash choose the counter, the next ones the bit of the bitmap
-    rows = sets.select("set_id", "only_right", "t", F.transform("t", lambda x: F.pmod(F.xxhash64(x), F.lit(counters * 128))).alias("h"))
-    return materialize(rows.mapInArrow(arrange, f"set_id {kind}, size int, n int, o array<bigint>, b0 long, b1 long"), "ordered")
-
-
-def _two_subsets(tokens: Column) -> Column:
-    """40-bit hashes of all two-token subsets of an array; equal hashes of unequal subsets only add candidates."""
-    key = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit((1 << 40) - 1))
-    rest = lambda i: F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0)))
-    return F.flatten(F.transform(tokens, lambda x, i: F.transform(rest(i), lambda y: key(x, y))))
+    rows = sets.select("set_id", "only_right", "t", F.transform("t", lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1))).alias("h"))
+    return materialize(rows.mapInArrow(arrange, f"set_id {kind}, size int, hot int, o array<bigint>, prefix array<int>, buckets array<int>, b0 long, b1 long"), "ordered")
+
+
+def _meeting(plan: _Prefixes):
+    """Candidate pairs of a bucket: sets with an equal signature that size and bitmaps allow to be similar."""
+    share = plan.threshold / (1 + plan.threshold)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        ids = table["set_id"].combine_chunks()
+        size, hot = table["size"].to_numpy().astype(np.int64), table["hot"].to_numpy().astype(np.int64)
+        n, right = size >> 1, (size & 1).astype(bool)
+        b0, b1 = (table[c].to_numpy().view(np.uint64) for c in ("b0", "b1"))
+        prefix = table["prefix"].combine_chunks()
+        code = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        length = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row, start = np.repeat(np.arange(len(n)), length), np.cumsum(length) - length
+        at = np.arange(len(code)) - start[row]
+        here = plan.bucket(code) == bucket
+        # two-token subsets of small sets
+        first = np.flatnonzero(plan.small(n)[row] & (here | (at >= hot[row])))
+        entry, later = _later(length, row[first], at[first])
+        first = first[entry]
+        both = (code[first] << 32) | code[start[row[first]] + later]
+        mine = (at[first] < hot[row[first]]) | (plan.bucket(both) == bucket)
+        keys, owner = [both[mine]], [row[first[mine]]]
+        probe, index = [np.ones(int(mine.sum()), bool)], [later[mine] < plan.smaller(n, 2)[row[first[mine]]]]
+        # inverted lists: large sets scan those of their partners, and tiny ones each other's
+        look = (~plan.small(n) | plan.tiny(n))[row] & (at < plan.larger(n, 1)[row])
+        listed = (plan.partner(n) | plan.tiny(n))[row] & (at < plan.smaller(n, 1)[row])
+        one = np.flatnonzero(here & (look | listed))
+        keys.append(-1 - code[one])
+        owner.append(row[one])
+        probe.append(look[one])
+        index.append(listed[one])
+        keys, owner, probe, index = (np.concatenate(x) for x in (keys, owner, probe, index))
+        order = np.argsort(keys, kind="stable")
+        keys, owner, probe, index = keys[order], owner[order], probe[order], index[order]
+        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        reach = np.diff(np.r_[edge, len(keys)])
+        group = np.repeat(np.arange(len(edge)), reach)
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(ids))
+        source = np.flatnonzero(index & (reach[group] > 1))
+        work = np.cumsum(reach[group[source]])
+        out = [np.zeros(0, np.int64)]
+        for part in np.split(source, np.searchsorted(work, np.arange(4_000_000, work[-1], 4_000_000))) if len(source) else []:
+            count = reach[group[part]]
+            i = owner[np.repeat(part, count)]
+            other = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edge[group[part]], count)
+            p = owner[other]
+            ok = probe[other] & ((n[i] < n[p]) | ((n[i] == n[p]) & (by_id[i] < by_id[p]))) & ~(right[i] & right[p])
+            i, p = i[ok], p[ok]
+            apart = np.bitwise_count(b0[i] ^ b0[p]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[p])
+            ok = (n[i] >= np.ceil(n[p] * plan.threshold - 1e-9)) & (n[i] + n[p] - apart >= 2 * np.ceil((n[i] + n[p]) * share - 1e-9))
+            out.append(np.unique(p[ok] * len(ids) + i[ok]))
+        pairs = np.unique(np.concatenate(out))
+        return pa.table({"set_id_p": ids.take(pa.array(pairs // max(1, len(ids)))), "set_id_i": ids.take(pa.array(pairs % max(1, len(ids))))})
+
+    return run
 
 
 def peak_sets(df: DataFrame, id: str, mz: Column, intensity: Column, *, weakest: float = 0.01, per_unit: int = 10) -> DataFrame:
