@@ -35,7 +35,7 @@ class Mixture:
         return all_.select("source", "target_share", "max_repeats", "available", "records", "uses", "total", F.round(F.try_divide("total", whole), 6).alias("share"))
 
 
-def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, budget: int | None = None, seed: int = 42, buckets: int = 1024, max_sources: int = 10_000) -> Mixture:
+def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, budget: int | None = None, seed: int = 42, buckets: int = 1024, max_sources: int = 1000) -> Mixture:
     """Draw records so that each source has its share of the total size.
 
     ``targets(source, target_share, max_repeats)``: shares are weights, brought to a sum

@@ -88,4 +88,4 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([None if t is None else own.count(t) for t in texts], dtype="Int64")
 
-    return F.pandas_udf(count, "long", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf("long")(count)(text)
