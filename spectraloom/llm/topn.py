@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from spectraloom.runtime import col
+from spectraloom.runtime import col, materialize
 
 #: No more than this many groups can be heavy, whatever the size of the table.
 MAX_HEAVY_GROUPS = 4096
@@ -56,6 +56,7 @@ def top_n_per_group(
         .where(F.col("rows") >= limit)
         .select("g", "lo", "hi")
     )
+    heavy = materialize(heavy, "heavy-groups")  # counted once; the two ways read the few rows
 
     light = rows.join(F.broadcast(heavy.select("g")), "g", "left_anti").repartition("g")
     light = light.groupBy("g", "i").agg(F.max("s").alias("s"))
