@@ -33,10 +33,9 @@ def varied_subset(df: DataFrame, id: str, attributes: Sequence[Column], k: int,
     if refine:
         occupied = rows.agg(*(F.approx_count_distinct(c, 0.02).alias(f"n{n}") for n, c in enumerate(cells))).first()
         used = max((n for n in range(len(cells)) if occupied[n] <= k), default=0)
-    rows = rows.select("id", cells[used].alias("cell")).withColumn("h", F.xxhash64("id"))
+    rows = rows.select("id", cells[used].alias("cell")).distinct().withColumn("h", F.xxhash64("id"))
     place = Window.partitionBy("cell").orderBy("h", "id")
-    # dense_rank, so that repeats of an id share their place and count once
-    ranked = rows.withColumn("rank", F.dense_rank().over(place)).where(F.col("rank") <= max(k, 0)).select("id", "cell", F.col("rank").cast("long").alias("rank"), "h").distinct()
+    ranked = rows.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= max(k, 0))
     return ranked.orderBy("rank", F.xxhash64("cell"), "cell", "h", "id").limit(max(k, 0)).select(F.col("id").alias(id), "cell", "rank")
 
 

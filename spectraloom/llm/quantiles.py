@@ -102,29 +102,28 @@ def _compressor(keys: Sequence[str], k: int, schema: pa.Schema):
     return run
 
 
-def quantile_digests(df: DataFrame, value: str, keys: Sequence[str], *, distinct_on: Sequence[str] | None = None, k: int = 1600, salts: int = 8) -> DataFrame:
+def quantile_digests(df: DataFrame, value: str, keys: Sequence[str], *, distinct_on: Sequence[str] | None = None, k: int = 1600) -> DataFrame:
     """A quantile digest for each combination of ``keys``: ``keys, level, node, cnt``.
 
     Rows whose value is null, NaN or infinite are left out; a null key is a key of its
-    own. With ``distinct_on``, rows equal in all those columns count once. Digests of
+    own. With ``distinct_on``, rows equal in those columns and the keys count once. Digests of
     the same keys may be added node by node, in any order, see ``merge_digests``.
 
     Any rank read from a digest of n values is off by at most floor(n / k) * 16 ranks;
-    digests of fewer than k values are exact up to the quantization. Leaves are
-    counted before they are shuffled, spread over ``salts`` so that one hot value of
-    one key does not gather in a task; a task compresses many digests in one stream.
+    digests of fewer than k values are exact up to the quantization. Repeats are removed
+    and leaves counted with map-side combine, so neither a row repeated very often nor
+    one hot value gathers in a task; a task compresses many digests in one stream, of
+    which a digest has at most 2**16 leaves.
     """
     x = col(value).cast("double")
     named = [f"k{j}" for j in range(len(keys))]
     rows = df.where(finite(x))
     key = [col(c).alias(a) for c, a in zip(keys, named)]
     if distinct_on is not None:
-        same = [col(c).alias(f"c{j}") for j, c in enumerate(distinct_on)]
-        rows = rows.select(*key, leaf_of(x).alias("leaf"), F.pmod(F.xxhash64(*(col(c) for c in distinct_on)), F.lit(salts)).cast("int").alias("salt"), *same)
-        rows = rows.repartition(*named, "leaf", "salt").distinct()
-        rows = rows.groupBy(*named, "leaf", "salt").agg(F.count(F.lit(1)).alias("cnt")).drop("salt")
+        rows = rows.select(*key, leaf_of(x).alias("leaf"), *(col(c).alias(f"c{j}") for j, c in enumerate(distinct_on) if c not in keys)).distinct()
     else:
-        rows = rows.select(*key, leaf_of(x).alias("leaf")).groupBy(*named, "leaf").agg(F.count(F.lit(1)).alias("cnt"))
+        rows = rows.select(*key, leaf_of(x).alias("leaf"))
+    rows = rows.groupBy(*named, "leaf").agg(F.count(F.lit(1)).alias("cnt"))
     rows = rows.repartition(*named).sortWithinPartitions(*named, "leaf")
     out = rows.select(*named, F.lit(0).alias("level"), F.lit(0).alias("node"), F.lit(0).cast("long").alias("cnt")).schema
     done = rows.mapInArrow(_compressor(named, k, to_arrow_schema(out)), out)

@@ -11,31 +11,27 @@ from spectraloom.runtime import col
 
 
 def select_vectors(df: DataFrame, id: str, embedding: str, dim: int) -> DataFrame:
-    """``(id, v)`` of the rows with an id and a vector of ``dim`` components, none null.
+    """``(id, v)`` of the valid vectors, each id once.
 
-    NaN, infinite and all-zero vectors are left to ``unpack``, which sees them at no cost.
+    A valid vector has ``dim`` components, none null, NaN or infinite, and not all zero;
+    rows without one, or with a null id, are left out. Of several vectors under one id
+    the lowest in order of components is taken. Repeats are removed before they are
+    shuffled, so an id that is repeated very often gathers nowhere.
     """
     v = col(embedding).cast("array<float>")
-    return df.select(col(id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    rows = df.select(col(id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    rows = rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def unpack(table: pa.Table, dim: int, name: str = "v") -> tuple[np.ndarray, np.ndarray]:
-    """Ids and float32 vectors of the valid rows, ordered by id, each id once.
-
-    A valid vector has only finite components, not all zero. Of several vectors under
-    one id the lowest in order of components is taken, so the result does not depend on
-    the order of rows.
-    """
-    lists = table[name].combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.float32)
+    """Ids and float32 vectors, ordered by id, so that results do not depend on the order of rows."""
+    flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.float32)
     x = np.ascontiguousarray(flat.astype(np.float32, copy=False).reshape(-1, dim))
     ids = table["id"].to_numpy()
-    ok = np.isfinite(x).all(1) & (x != 0).any(1)
-    ids, x = ids[ok], x[ok]
-    order = np.lexsort((*(x[:, j] for j in range(min(dim, 4) - 1, -1, -1)), ids))
-    ids, x = ids[order], x[order]
-    first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-    return ids[first], x[first]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
 
 
 def unit(x: np.ndarray) -> np.ndarray:

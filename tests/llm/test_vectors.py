@@ -76,7 +76,7 @@ def test_nearest_edges(spark):
 def test_descent_recall():
     rng = np.random.default_rng(3)
     x = unit(_mixed(rng, 3000, 16))
-    got, sims = descend(x, 10, 1, leaf=100, trees=2)
+    got, sims = descend(x, 10, 1, leaf=100, trees=2, rounds=12)
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     want = np.argsort(-s, axis=1)[:, :10]
