@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def loss_edges(peaks: DataFrame, losses: DataFrame, tolerance: float, *, id: str
     return hits.groupBy(id, u, v).agg(F.max_by("loss_type", F.struct("i", "j", "loss_idx")).alias("loss_type"))
 
 
-def match_pattern(edges: DataFrame, pattern: Sequence[tuple[int, int, int]], *, id: str = "spectrum_id", nodes: DataFrame | None = None, node_mz: dict[int, float] | None = None, tolerance: float = 3.0, unit: str = "ppm", lone_nodes: int = 0) -> DataFrame:
+def match_pattern(edges: DataFrame, pattern: Sequence[tuple[int, int, int]], *, id: str = "spectrum_id", nodes: DataFrame | None = None, node_mz: dict[int, float] | None = None, tolerance: float = 3.0, unit: str = "ppm", lone_nodes: int = 0, max_joins: int = 6) -> DataFrame:
     """Ids of the spectra that contain the pattern: ``id``, each once.
 
     ``pattern`` lists undirected edges (node, node, loss type). Different pattern nodes
@@ -50,8 +51,11 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[int, int, int]], *,
     ``lone_nodes`` further nodes without edges ask for as many more peaks.
 
     The pattern becomes a chain of equality joins on spectrum, loss type and the nodes
-    bound so far; each step drops columns and repeats it no longer needs.
+    bound so far. A pattern of more than ``max_joins`` edges, whose chain could grow
+    large, is searched by backtracking, a spectrum's edges at a time.
     """
+    if len(pattern) > max_joins:
+        return _backtracked(edges, pattern, id, nodes, {} if tolerance <= 0 else dict(node_mz or {}), tolerance, unit, lone_nodes)
     both = edges.select(id, F.col("u").alias("x"), F.col("v").alias("y"), "loss_type").unionByName(edges.select(id, F.col("v").alias("x"), F.col("u").alias("y"), "loss_type")).distinct()
     todo, bound, found = _connected(pattern), [], None
     tests = {} if tolerance <= 0 else dict(node_mz or {})
@@ -94,6 +98,49 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[int, int, int]], *,
     return found.select(id).distinct()
 
 
+def _backtracked(edges: DataFrame, pattern: Sequence[tuple[int, int, int]], id: str, nodes: DataFrame | None, tests: dict[int, float], tolerance: float, unit: str, lone_nodes: int) -> DataFrame:
+    todo = _connected(pattern)
+    order = list(dict.fromkeys(x for a, b, _ in todo for x in (a, b)))
+    place = {node: k for k, node in enumerate(order)}
+    # the edges that end at each node, given those placed before it
+    checks = [[(place[a] if place[b] == k else place[b], t) for a, b, t in todo if max(place[a], place[b]) == k] for k in range(len(order))]
+    rows = edges.select(id, F.lit(-1).alias("node"), "u", "v", "loss_type")
+    for node, mz in tests.items():
+        fits = nodes.where(within(F.col("mz"), F.lit(float(mz)), tolerance, unit))
+        rows = rows.unionByName(fits.select(id, F.lit(node).alias("node"), F.col("peak").alias("u"), F.col("peak").alias("v"), F.lit(None).cast("long").alias("loss_type")))
+
+    def search(table: pa.Table) -> pa.Table:
+        links: dict[int, set[tuple[int, int]]] = {}
+        allowed: dict[int, set[int]] = {place[node]: set() for node in tests}
+        for node, u, v, kind in zip(*(table[c].to_pylist() for c in ("node", "u", "v", "loss_type"))):
+            if node >= 0:
+                allowed[place[node]].add(u)
+            else:
+                links.setdefault(u, set()).add((v, kind))
+                links.setdefault(v, set()).add((u, kind))
+
+        def extend(bound: list[int]) -> bool:
+            k = len(bound)
+            if k == len(order):
+                return True
+            tied = [(o, t) for o, t in checks[k] if o < k]
+            first = [v for v, t in links.get(bound[tied[0][0]], ()) if t == tied[0][1]] if tied else list(links)
+            for peak in dict.fromkeys(first):
+                if peak in bound or peak not in allowed.get(k, {peak}):
+                    continue
+                if all((peak, t) in links.get(bound[o] if o < k else peak, ()) for o, t in checks[k]) and extend([*bound, peak]):
+                    return True
+            return False
+
+        return table.select([id]).slice(0, 1 if extend([]) else 0)
+
+    found = rows.groupBy(id).applyInArrow(search, rows.select(id).schema)
+    if lone_nodes:
+        enough = nodes.groupBy(id).agg(F.count_distinct("peak").alias("n")).where(F.col("n") >= lone_nodes + len(order)).select(id)
+        found = found.join(enough, id, "left_semi")
+    return found
+
+
 def _differs(name: str, others: Sequence[str]) -> Column:
     test = F.lit(True)
     for o in others:

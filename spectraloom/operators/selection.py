@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.runtime import materialize
+
 
 def select_rows(df: DataFrame, key: str = "id", *, positions: int | slice | Iterable[int] | None = None, keys: Iterable | DataFrame | None = None, mask: Column | None = None, position: str = "position") -> DataFrame:
     """Rows by position, then by key, then by mask, one after the other (repeats kept): ``df`` and ``ordinal`` 0, 1, 2.
@@ -41,10 +43,20 @@ def select_rows(df: DataFrame, key: str = "id", *, positions: int | slice | Iter
 
 
 def with_position(df: DataFrame, order: str, position: str = "position") -> DataFrame:
-    """Adds the 0-based place of each row in the order of a column, counted over sorted ranges and not in one task."""
+    """Adds the 0-based place of each row in the order of a column, ties in any order.
+
+    Rows are sorted in ranges and numbered within their range; the small table of range
+    sizes gives each range its start, so nothing is numbered in a single task.
+    """
     ranged = df.repartitionByRange(order).sortWithinPartitions(order)
-    numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, df.withColumn(position, F.lit(0).cast("long")).schema)
+    # monotonically_increasing_id holds the partition in its upper bits and the place in it in the lower 33
+    ranged = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), "positions")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__start") + place).alias(position))
 
 
 def select_all(tables: Mapping[str, DataFrame], chosen: DataFrame, key: str = "id") -> dict[str, DataFrame]:

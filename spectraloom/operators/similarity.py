@@ -21,6 +21,9 @@ from spectraloom.functions.entropy import clean, entropy_block
 from spectraloom.functions.vectors import VectorMetric, metric
 from spectraloom.schema import require
 
+#: Scores that a task computes at once.
+SLICE = 1 << 22
+
 Scorer = Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray]
 
 
@@ -49,12 +52,12 @@ def entropy_scorer(tolerance: float = 0.02, ppm: float = -1.0, clean_spectra: bo
     return lambda q, r: entropy_block(spectra(q), spectra(r), ppm if ppm > 0 else tolerance, ppm > 0)
 
 
-def all_pairs(qry: DataFrame, ref: DataFrame, scorer: Scorer, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 2048) -> DataFrame:
+def all_pairs(qry: DataFrame, ref: DataFrame, scorer: Scorer, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 4096) -> DataFrame:
     """Scores of all pairs (of a group): ``on..., qry_ids, ref_ids, scores``."""
     return _blocks(qry, ref, scorer, value, on, None, decimals, block_rows)
 
 
-def top_k(qry: DataFrame, ref: DataFrame, scorer: Scorer, k: int | None, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 2048) -> DataFrame:
+def top_k(qry: DataFrame, ref: DataFrame, scorer: Scorer, k: int | None, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 16_384) -> DataFrame:
     """The ``k`` best references of every query: ``on..., qry_ids, ref_ids, topk, scores``.
 
     Ranks start at 1; ties go to the lower reference id; scores that are NaN are no
@@ -102,6 +105,11 @@ def _blocks(qry: DataFrame, ref: DataFrame, scorer: Scorer, value: str, on: Sequ
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return arrow.empty_table()
+        # some million scores at a time; a search keeps k of each row
+        step = max(1, SLICE // b.num_rows)
+        return pa.concat_tables([part(a.slice(at, step), b) for at in range(0, a.num_rows, step)])
+
+    def part(a: pa.Table, b: pa.Table) -> pa.Table:
         s = scorer(a["v_qb"], b["v_rb"])
         if decimals is not None:
             s = np.round(s, decimals) + 0.0
@@ -109,7 +117,7 @@ def _blocks(qry: DataFrame, ref: DataFrame, scorer: Scorer, value: str, on: Sequ
             i, j = np.indices(s.shape).reshape(2, -1)
         else:
             clear = np.where(np.isnan(s), -np.inf, s)
-            ids = b["id_rb"].to_numpy(zero_copy_only=False)
+            ids = b["id_rb"].to_numpy()
             order = np.argsort(ids, kind="stable")
             best = order[np.argsort(-clear[:, order], axis=1, kind="stable")[:, :k]]
             i, j = np.repeat(np.arange(len(s)), k), best.ravel()

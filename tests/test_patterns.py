@@ -50,7 +50,17 @@ def test_against_brute_force(spark, rows, pattern):
     def has(s):
         return any(all(edges.get((s, *sorted((m[a], m[b])))) == t for a, b, t in pattern) for m in (dict(zip(nodes, c)) for c in itertools.permutations(range(6), len(nodes))))
 
-    assert rows(match_pattern(table, pattern)) == [(s,) for s in range(30) if has(s)]
+    want = [(s,) for s in range(30) if has(s)]
+    assert rows(match_pattern(table, pattern)) == want
+    assert rows(match_pattern(table, pattern, max_joins=0)) == want
+
+
+def test_backtracking_with_node_mz(spark, rows, peaks, losses):
+    edges = loss_edges(peaks, losses, 0.1)
+    hit = lambda mz: rows(match_pattern(edges, [(0, 1, 0), (1, 2, 0)], nodes=peaks, node_mz={1: mz}, max_joins=0))
+    assert hit(373.20095) == [(1,), (2,)] and hit(313.17982) == []
+    assert rows(match_pattern(edges, [(0, 1, 0)], nodes=peaks, lone_nodes=5, max_joins=0)) == [(1,), (2,)]
+    assert rows(match_pattern(edges, [(0, 1, 0)], nodes=peaks, lone_nodes=6)) == []
 
 
 def test_too_many_losses(spark, peaks, losses):
