@@ -269,7 +269,7 @@ def _meeting(plan: _Prefixes):
         source = np.flatnonzero(index & (reach[group] > 1))
         work = np.cumsum(reach[group[source]])
         out = [np.zeros(0, np.int64)]
-        for part in np.split(source, np.searchsorted(work, np.arange(4_000_000, work[-1], 4_000_000))) if len(source) else []:
+        for part in np.split(source, np.searchsorted(work, np.arange(2_000_000, work[-1], 2_000_000))) if len(source) else []:
             count = reach[group[part]]
             i = owner[np.repeat(part, count)]
             other = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edge[group[part]], count)
