@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,18 @@ def spectra(spark: SparkSession, mzs: Sequence[Sequence[float]], intensities: Se
     return spark.createDataFrame([(ids[i], [(float(a), float(b)) for a, b in zip(mzs[i], intensities[i])]) for i in range(n)], S.SPECTRA)
 
 
+def molecules(df: DataFrame, *, inchi_to_smiles: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``id, smiles, inchi, formula`` of a table with an id and any of the others.
+
+    A missing SMILES is taken from the InChI by the given function, if there is one; a
+    missing formula from the formula layer of the InChI.
+    """
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    smiles = F.coalesce(have("smiles"), inchi_to_smiles(have("inchi"))) if inchi_to_smiles else have("smiles")
+    layer = F.regexp_extract(have("inchi"), r"^InChI=1S?/([A-Za-z0-9]+)", 1)
+    return df.select("id", smiles.alias("smiles"), have("inchi").alias("inchi"), F.coalesce(have("formula"), F.when(layer != "", layer)).alias("formula"))
+
+
 def explode_peaks(spectra: DataFrame, id: str = "spectrum_id") -> DataFrame:
     """One row per peak: ``id, peak, mz, intensity``."""
     return spectra.select(id, F.posexplode("peaks").alias("peak", "p")).select(id, "peak", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))

@@ -87,3 +87,35 @@ def test_ingest(spark, rows):
     df = spark.createDataFrame([([1.0], [2.0], "C2H4+"), ([1.0], [], "CO-")], "m array<double>, i array<double>, f string").select(combine(F.col("m"), F.col("i")).alias("p"), strip_charge(F.col("f")).alias("f"))
     got = df.select(split_mz(F.col("p")).alias("m"), split_intensity(F.col("p")).alias("i"), "f").collect()
     assert [tuple(r) for r in got] == [([1.0], [2.0], "C2H4"), (None, None, "CO")]
+
+
+def test_molecules_and_nested(spark, rows):
+    from spectraloom.functions.nested import flatten, restructure
+
+    df = spark.createDataFrame([(1, "CC", "InChI=1S/C2H6/c1-2"), (2, None, "InChI=1S/H2O"), (3, None, None)], "id long, smiles string, inchi string")
+    assert rows(ingest.molecules(df), "id", "smiles", "formula") == [(1, "CC", "C2H6"), (2, None, "H2O"), (3, None, None)]
+    assert rows(ingest.molecules(df, inchi_to_smiles=lambda c: F.concat(F.lit("of "), c)), "smiles") == [("CC",), ("of InChI=1S/H2O",), (None,)]
+    nested = spark.createDataFrame([(1, [[3, 1], [2]]), (2, [[5]]), (3, [])], "id long, x array<array<int>>")
+    flat = flatten(nested, ["id"], "x", levels=2)
+    assert rows(flat) == [(1, 0, 0, 3), (1, 0, 1, 1), (1, 1, 0, 2), (2, 0, 0, 5)]
+    back = {r.id: r.value for r in restructure(flat, ["id"], levels=2).collect()}
+    assert back == {1: [[3, 1], [2]], 2: [[5]]}
+    with pytest.raises(Exception, match="another length"):
+        restructure(flat.withColumn("n", F.lit(7)), ["id"], levels=2, lengths="n").collect()
+
+
+def test_search_library(spark, rows):
+    from spectraloom.plans.two_stage import search_library
+
+    mol = spark.createDataFrame([(1, "C6H12O6", "sugar"), (2, "H2O", "water"), (3, None, "none")], "id long, formula string, smiles string")
+    emb = ingest.embeddings(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]], [1, 2, 3])
+    spec = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 100.0)], "id long, pi double")
+    lib = Library({"molecules": mol, "embeddings": emb, "spectra": spec}).with_adducts(["[M]", "[M+H]+", "[M+Na]+"])
+    vectors = ingest.embeddings(spark, [[1.0, 0.1], [0.5, 0.5]], [7, 8])
+    ions = ingest.ions(spark, [181.070666, 500.0], ids=[7, 8])
+    assert rows(search_library(lib, ions, vectors), "qry_ids", "ref_ids", "topk", "smiles", "adducts") == [(7, 1, 1, "sugar", ("[M+H]+",))]
+    assert rows(search_library(lib, ions, vectors, keep_unmatched=True), "qry_ids", "ref_ids") == [(7, 1), (8, None)]
+    found = search_library(lib, ingest.ions(spark, [100.0, 200.0], ids=[7, 8]), vectors, by="precursors", top_k=1)
+    assert rows(found, "qry_ids", "ref_ids", "formula") == [(7, 1, "C6H12O6"), (8, 2, "H2O")]
+    with pytest.raises(ValueError):
+        search_library(lib, ions, vectors, by="luck")
