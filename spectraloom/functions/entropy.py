@@ -23,8 +23,9 @@ def clean(mz: np.ndarray, intensity: np.ndarray, gap: float, weakest: float = 0.
         for i in np.argsort(-intensity, kind="stable"):
             if not left[i]:
                 continue
-            lo, hi = np.searchsorted(mz, mz[i] - gap, "right"), np.searchsorted(mz, mz[i] + gap, "left")
-            own = np.arange(lo, hi)[left[lo:hi]]
+            lo, hi = np.searchsorted(mz, mz[i] - 2 * gap), np.searchsorted(mz, mz[i] + 2 * gap)
+            # the difference itself is tested, as above, so every round joins at least one pair
+            own = np.arange(lo, hi)[left[lo:hi] & ((np.abs(mz[lo:hi] - mz[i]) < gap) | (np.arange(lo, hi) == i))]
             new_int[i] = intensity[own].sum()
             new_mz[i] = (mz[own] * intensity[own]).sum() / new_int[i]
             left[own] = False

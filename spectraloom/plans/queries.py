@@ -444,7 +444,7 @@ def sqlite_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "two_stage_search",
-    VECTORS_SQL + f", c as (select distinct q.p_partkey as q, r.p_partkey as r from part q join part r on {ppm('q.p_retailprice', 'r.p_retailprice')} <= 20000), "
+    VECTORS_SQL + f", c as (select distinct q.p_partkey as q, r.p_partkey as r from part q join part r on {ppm('q.p_retailprice', 'r.p_retailprice')} <= 500), "
     + "h as (" + ranked_sql(f"select a.id as qry_ids, b.id as ref_ids, round({SCORES_SQL['cosine']}, 6) as scores from c join v a on a.id = c.q join v b on b.id = c.r", 5) + ") select h.*, p_name as name, p_brand as brand from h join part on p_partkey = ref_ids",
 )
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -452,7 +452,7 @@ def two_stage(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
     prices, v = ions(p, "p_partkey", "p_retailprice"), vectors(spark, d)
     names = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    return two_stage_search(prices, prices, v, v, first=PrecursorSearcher(20000.0), second=EmbeddingSearcher("cosine", 5, 6), molecules=names)
+    return two_stage_search(prices, prices, v, v, first=PrecursorSearcher(500.0), second=EmbeddingSearcher("cosine", 5, 6), molecules=names)
 
 
 @query("stream_mz_search", "select s_suppkey as qry_ids, c_custkey as ref_ids, round(abs(s_acctbal - c_acctbal), 6) as delta from supplier, customer where abs(s_acctbal - c_acctbal) <= 5.005")

@@ -24,8 +24,13 @@ def two_stage_search(
 ) -> DataFrame:
     """Hits of the second stage, with molecule columns and the adducts of the first stage where there are any.
 
-    One lazy plan: band join, candidate join, ranking and enrichment.
+    One lazy plan: band join, candidate join, ranking and enrichment. Ions without a
+    vector can give no hit and are dropped before the band join, unless the first stage
+    counts hits.
     """
+    if getattr(first, "co_occurrence_threshold", 1) == 1:
+        qry_ions = qry_ions.join(qry_vectors.select("id").distinct(), "id", "left_semi")
+        ref_ions = ref_ions.join(ref_vectors.select("id").distinct(), "id", "left_semi")
     ions = first.run(qry_ions, ref_ions)
     ranked = second.run(qry_vectors, ref_vectors, ions.tag_refs()).table
     if molecules is None:

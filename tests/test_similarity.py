@@ -133,3 +133,11 @@ def test_binning_pools(spark, rows):
 def test_peaks_round_trip(spark, rows):
     s = spectra(spark, [[3.0, 1.0], [2.0]], [[1.0, 2.0], [5.0]])
     assert rows(nest_peaks(explode_peaks(s))) == rows(s)
+
+
+def test_centroiding_ends_at_exact_distances():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        mz = np.sort(100 + 0.02 * rng.integers(0, 60, 40) + rng.choice([0, 1e-15, 0.04], 40))
+        joined, p = clean(mz, rng.uniform(0.1, 1, 40), 0.04)
+        assert (np.diff(joined) >= 0.04).all() and p.sum() == pytest.approx(1)
