@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from spectraloom.llm import ann, queries
 from spectraloom.llm.ann import nearest
 from spectraloom.llm.clusters import similarity_clusters
 from spectraloom.llm.hnsw import Hnsw
@@ -73,6 +74,23 @@ def test_nearest_edges(spark):
     assert nearest(full, full, "id", "embedding", 20, dim=8).count() == 64
 
 
+def _embs(spark, folder, dim=64):
+    rng = np.random.default_rng(6)
+    for name, n in (("qry_embs", 100), ("ref_embs", 600)):
+        x = _mixed(rng, n, dim)
+        spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<float>").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_found_has_the_beam_of_nearest(spark, tmp_path, monkeypatch):
+    used = []
+    monkeypatch.setattr(ann, "nearest", lambda *a, **k: used.append(k) or nearest(*a, **k))
+    folder = _embs(spark, tmp_path)
+    for q in (queries.p2_found, queries.p2_nearest):
+        q(spark, folder)
+    assert used[0] == used[1] == {}  # the operator's own parameters
+
+
 def test_descent_recall():
     rng = np.random.default_rng(3)
     x = unit(_mixed(rng, 3000, 16))
