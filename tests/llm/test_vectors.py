@@ -74,6 +74,24 @@ def test_nearest_edges(spark):
     assert nearest(full, full, "id", "embedding", 20, dim=8).count() == 64
 
 
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_nearest_equal_directions(spark, rows, exact, scaled):
+    rng = np.random.default_rng(8)
+    x, q = _mixed(rng, 900, 8), _mixed(rng, 30, 8)
+    hot = rng.normal(size=8)
+    x[:400] = (hot * (rng.uniform(0.1, 9, (400, 1)) if scaled else 1)).astype(np.float32)  # one direction, of one or of many lengths
+    q[:10] = hot + 0.1 * rng.normal(size=(10, 8))
+    ids = rng.permutation(5000)[:900]
+    got = nearest(_frame(spark, range(30), q), _frame(spark, ids, x), "id", "embedding", 5, dim=8, exact=exact, min_shards=2)
+    a, b = q.astype(float), x.astype(float)
+    s = np.round(a @ b.T / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 6)
+    want = {(i, int(ids[j]), r + 1) for i in range(30) for r, j in enumerate(sorted(range(900), key=lambda j: (-s[i, j], ids[j]))[:5])}
+    found = set(rows(got, "qry_id", "ref_id", "rank"))
+    assert {f for f in found if f[0] < 10} == {w for w in want if w[0] < 10}
+    assert len(found & want) >= (1 if exact else 0.97) * len(want)
+
+
 def _embs(spark, folder, dim=64):
     rng = np.random.default_rng(6)
     for name, n in (("qry_embs", 100), ("ref_embs", 600)):
