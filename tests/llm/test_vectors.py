@@ -156,6 +156,19 @@ def test_clusters(spark, block):
     assert len(top) == 1 and top[0].degree > 0
 
 
+def test_clusters_are_complete(spark):
+    """One level in small blocks leaves most pairs unmet; vectors are far from centred on the origin."""
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(32, 32)))[0] + 0.05
+    own = np.r_[np.zeros(150, int), np.repeat(np.arange(1, 32), 3)]
+    x = (centres[own] + 0.02 * rng.normal(size=(len(own), 32))).astype(np.float32)
+    close = unit(x) @ unit(x).T >= 0.85
+    assert (close == (own[:, None] == own)).all()
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<float>")
+    found = similarity_clusters(df, "id", "embedding", dim=32, block_rows=30, levels=1)
+    assert {r.id: r.cluster_id for r in found.members.collect()} == {i: int(close[i].argmax()) for i in range(len(x))}
+
+
 def test_clusters_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert similarity_clusters(empty, "id", "embedding", dim=8).members.count() == 0
