@@ -173,7 +173,9 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {r["pack_kind"]: r["capacity_tokens"] for r in _read(spark, sf_dir, "pack_sizes").where("pack_kind is not null and capacity_tokens > 0").limit(1000).collect()}
+    kinds = {r["pack_kind"]: r["capacity_tokens"] for r in _read(spark, sf_dir, "pack_sizes").where("pack_kind is not null and capacity_tokens > 0").limit(1001).collect()}
+    if len(kinds) > 1000:
+        raise ValueError("more than 1000 kinds of containers")
     return packing.fill_containers(_sizes(spark, sf_dir), "doc_id", "tokens", kinds)
 
 
@@ -209,7 +211,7 @@ def p8_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
-    names = [r[0] for r in _read(spark, sf_dir, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").limit(62).collect()]
+    names = [r[0] for r in _read(spark, sf_dir, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").limit(63).collect()]  # one more than subject_areas takes: it raises
     return subjects.subject_areas(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_labels"), names)
 
 
