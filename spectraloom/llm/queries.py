@@ -200,6 +200,11 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).documents().withColumnRenamed("id", "doc_id").withColumnRenamed("size", "tokens")
 
 
+def p8_documents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for as many tokens as the corpus has: small sources are repeated up to their cap and cut no other."""
+    return _mixture(spark, sf_dir, whole=True).documents().withColumnRenamed("id", "doc_id").withColumnRenamed("size", "tokens")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and the shares reached by that mixture."""
     return _mixture(spark, sf_dir).shares()
@@ -231,7 +236,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_found", "p6_typical",
-             "p7_containers", "p7_summary", "p8_documents", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition"]
+             "p7_containers", "p7_summary", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition"]
     return {n: globals()[n] for n in names}
 
 

@@ -17,3 +17,12 @@ def test_no_kind_or_subject_is_dropped(spark, tmp_path):
         queries.p9_found(spark, d)
     with pytest.raises(ValueError, match="1000 kinds"):
         queries.p7_containers(spark, d)
+
+
+def test_documents_of_the_whole_budget(spark, tmp_path):
+    d = str(tmp_path)
+    docs = [(i, "some words of a text", "large") for i in range(200)] + [(1000, "some words of a text", "tiny")]
+    _write(spark, d, "documents", docs, "doc_id long, text string, source string")
+    _write(spark, d, "source_targets", [("large", 0.5, 2), ("tiny", 0.5, 3)], "source string, target_share double, max_repeats long")
+    got = {r.doc_id: r.times for r in queries.queries()["p8_documents_whole"](spark, d).collect()}
+    assert got[1000] == 3 and len(got) >= 199  # the tiny source is used up to its cap and cuts no other
