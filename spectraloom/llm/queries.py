@@ -34,14 +34,19 @@ from (select qry_ids, ref_ids, max(scores) as s from embedding_hits
 """
 
 
+def _ten_nearest(q: DataFrame, r: DataFrame, **how: bool) -> DataFrame:
+    """The search that p2_found and p2_nearest return and p2_recall measures."""
+    return ann.nearest(q, r, "id", "embedding", 10, **how)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10)
+    found = _ten_nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"))
     return found.where(F.col("score") >= 0.85).select(F.col("qry_id").alias("qry_ids"), F.col("ref_id").alias("ref_ids"))
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar references of every query vector."""
-    found = ann.nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"), "id", "embedding", 10)
+    found = _ten_nearest(_read(spark, sf_dir, "qry_embs"), _read(spark, sf_dir, "ref_embs"))
     return found.select(F.col("qry_id").alias("qry_ids"), F.col("ref_id").alias("ref_ids"), F.col("rank").alias("topk"), F.col("score").alias("scores"))
 
 
@@ -50,8 +55,8 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _read(spark, sf_dir, "qry_embs").where(F.col("id") % 50 == 0)
     r = _read(spark, sf_dir, "ref_embs")
     keys = ["qry_id", "ref_id"]
-    true = ann.nearest(q, r, "id", "embedding", 10, exact=True).select(*keys, (F.col("score") >= 0.85).alias("close"))
-    both = true.join(ann.nearest(q, r, "id", "embedding", 10).select(*keys, F.lit(1).alias("hit")), keys, "left")
+    true = _ten_nearest(q, r, exact=True).select(*keys, (F.col("score") >= 0.85).alias("close"))
+    both = true.join(_ten_nearest(q, r).select(*keys, F.lit(1).alias("hit")), keys, "left")
     return both.agg(
         F.count(F.lit(1)).alias("pairs"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"),
         F.count(F.when(F.col("close"), 1)).alias("close_pairs"), F.avg(F.when(F.col("close"), F.coalesce("hit", F.lit(0)))).alias("close_recall"),

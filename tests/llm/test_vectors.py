@@ -107,6 +107,8 @@ def test_found_has_the_beam_of_nearest(spark, tmp_path, monkeypatch):
     for q in (queries.p2_found, queries.p2_nearest):
         q(spark, folder)
     assert used[0] == used[1] == {}  # the operator's own parameters
+    queries.p2_recall(spark, folder)
+    assert used[2:] == [{"exact": True}, used[0]]  # measured with what p2_found uses
 
 
 def test_descent_recall():
