@@ -80,10 +80,22 @@ select min(b.id) as cluster_id, a.id from v a, v b where array_cosine_similarity
 """
 
 
+P6_TYPICAL_SQL = f"""
+with v as ({VALID.format(table="mol_embeddings")}), s as (select a.id, b.id as other, array_cosine_similarity(a.e, b.e) as c from v a, v b),
+d as (select id, min(other) as cluster_id, count(*) as size, round(sum(case when other <> id then c else 0 end), 6) as degree from s where c >= 0.85 group by id)
+select * from (select cluster_id, size, row_number() over (partition by cluster_id order by degree desc, id) as rank, id, degree from d) where rank <= 3
+"""
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> clusters.Clusters:
     return clusters.similarity_clusters(_read(spark, sf_dir, "mol_embeddings"), "id", "embedding", threshold=0.85)
 
 
+def p6_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The communities as modularity divides the graph, before parts of a family are put together."""
+    return _clusters(spark, sf_dir).communities
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _clusters(spark, sf_dir)
     several = found.sizes().where(F.col("size") >= 2).select("cluster_id")
@@ -95,6 +107,18 @@ def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).typical(3)
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the records whose id is divisible by 50 and that reach 0.85 with another: how many have the right cluster and size; and how alike the members of clusters are."""
+    found = _clusters(spark, sf_dir)
+    true = clusters.exact_neighbourhoods(_read(spark, sf_dir, "mol_embeddings"), "id", "embedding", F.col("id") % 50 == 0, threshold=0.85).where(F.col("size") >= 2)
+    sizes = found.sizes()
+    got = found.members.select("id", "cluster_id").join(sizes, "cluster_id").select("id", F.col("cluster_id").alias("lowest"), "size", F.lit(1).alias("hit"))
+    share = true.join(got, ["id", "lowest", "size"], "left").agg(F.count(F.lit(1)).alias("records"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    inner = found.members.groupBy("cluster_id").agg(F.avg("degree").alias("d"), F.min("degree").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    alike = inner.agg(F.count(F.lit(1)).alias("clusters"), F.min(F.col("d") / (F.col("n") - 1)).alias("least_mean_cosine"), F.min(F.col("low") / (F.col("n") - 1)).alias("least_mean_cosine_of_a_member"))
+    return share.join(F.broadcast(alike))
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests by measure, group and day of embedding_hits.scores and precursor_hits.delta."""
     keys = ["group_id", "run_day"]
@@ -240,7 +264,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_found", "p6_typical",
+    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_method", "p6_found", "p6_typical", "p6_recall",
              "p7_containers", "p7_summary", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition"]
     return {n: globals()[n] for n in names}
 
@@ -251,5 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_top_hits": f"select * from ({P1_RANKED}) where topk <= 10",
         "p2_found": f"select qry_ids, ref_ids from ({P2_RANKED}) where topk <= 10 and scores >= 0.85",
         "p6_found": P6_SQL,
+        "p6_typical": P6_TYPICAL_SQL,
         "p4_found": f"{P4_SETS} select a as spectrum_a, b as spectrum_b from pair",
     }

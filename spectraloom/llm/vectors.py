@@ -25,13 +25,21 @@ def select_vectors(df: DataFrame, id: str, embedding: str, dim: int) -> DataFram
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def unpack(table: pa.Table, dim: int, name: str = "v") -> tuple[np.ndarray, np.ndarray]:
-    """Ids and float32 vectors, ordered by id, so that results do not depend on the order of rows."""
+def unpack(table: pa.Table, dim: int, name: str = "v", *, order: bool = False) -> tuple[np.ndarray, ...]:
+    """Ids and float32 vectors, ordered by id, so that results do not depend on the order of rows; with ``order`` also the places they had."""
     flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.float32)
     x = np.ascontiguousarray(flat.astype(np.float32, copy=False).reshape(-1, dim))
     ids = table["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    return ids[order], x[order]
+    at = np.argsort(ids, kind="stable")
+    return (ids[at], x[at], at) if order else (ids[at], x[at])
+
+
+def lists_of(x: np.ndarray, keep: np.ndarray | None = None) -> pa.ListArray:
+    """The rows of ``x`` as lists, null where ``keep`` is false."""
+    n, dim = x.shape
+    keep = np.ones(n, bool) if keep is None else keep
+    ends = np.r_[0, np.cumsum(np.where(keep, dim, 0))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x[keep]).ravel()), mask=pa.array(~keep))
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectraloom.llm import ann, queries
 from spectraloom.llm.ann import nearest
-from spectraloom.llm.clusters import similarity_clusters
+from spectraloom.llm.clusters import exact_neighbourhoods, similarity_clusters
 from spectraloom.llm.hnsw import Hnsw
-from spectraloom.llm.neighbours import communities, descend
+from spectraloom.llm.neighbours import communities, descend, neighbour_graph
 from spectraloom.llm.vectors import unit
 
 DIRT = [None, [], [1.0] * 3, [0.0] * 8, [1.0] * 7 + [float("nan")], [1.0] * 7 + [float("inf")], [1.0] * 7 + [None]]
@@ -131,8 +132,8 @@ def test_communities():
     assert communities(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0))[0].tolist() == [0, 1, 2]
 
 
-@pytest.mark.parametrize("block", [40, 120, 100_000])
-def test_clusters(spark, block):
+@pytest.mark.parametrize("cell,most", [(4, 30), (40, 100_000), (100_000, 50)])
+def test_clusters(spark, cell, most):
     rng = np.random.default_rng(4)
     sizes = [150, 60, 20, 9, 5, 3, 2, 2, 2] + [1] * 60
     dim = 32
@@ -150,31 +151,61 @@ def test_clusters(spark, block):
     assert all(set(own[close[i]]) == {own[i]} for i in range(len(x)))  # the case the operator is exact in
     schema = _frame(spark, ids, x).schema
     df = spark.createDataFrame([(r[0], r[1] and (list(r[1]) + [1.0] * (dim - 8) if len(r[1]) == 8 else r[1]), r[2], r[3]) for r in _frame(spark, ids, x).collect()], schema)
-    found = similarity_clusters(df, "id", "embedding", dim=dim, block_rows=block, levels=8)
+    found = similarity_clusters(df, "id", "embedding", dim=dim, cell_rows=cell, most=most)
     got = {r.id: r.cluster_id for r in found.members.collect() if r.id < 10_000}
     assert set(got) == set(want)
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
     top = [r for r in found.typical(2).collect() if r["size"] == 150 and r["rank"] == 1]
-    assert len(top) == 1 and top[0].degree > 0
-
-
-def test_clusters_are_complete(spark):
-    """One level in small blocks leaves most pairs unmet; vectors are far from centred on the origin."""
+    of = np.flatnonzero(own == 0)
+    s = (x[of].astype(float) / np.linalg.norm(x[of].astype(float), axis=1, keepdims=True)) @ (x[of].astype(float) / np.linalg.norm(x[of].astype(float), axis=1, keepdims=True)).T
+    degree = s.sum(1) - 1
+    assert len(top) == 1 and top[0].id == int(ids[of[degree.argmax()]]) and top[0].degree == pytest.approx(degree.max(), abs=1e-5)
+    parts = found.communities.collect()
+    assert {r.id for r in parts} == {r.id for r in found.members.collect()}
+    assert all(got[r.community_id] == got[r.id] for r in parts if r.id < 10_000)  # a community lies within a cluster
+    exact = {r.id: (r.lowest, r["size"]) for r in exact_neighbourhoods(df, "id", "embedding", F.col("id") % 3 == 0, dim=dim, block_rows=50).collect() if r.id < 10_000}
+    assert exact == {i: (c, sum(v == c for v in want.values())) for i, c in want.items() if i % 3 == 0}
+
+
+def test_graph_of_the_table(spark):
+    """Cells of a few rows only seed the graph: descent over the table finds most neighbours, and clusters are found whole."""
     rng = np.random.default_rng(9)
+    x = _mixed(rng, 2000, 32)
+    u = unit(x)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<float>")
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = np.argsort(-s, axis=1)[:, :10]
+    recall = []
+    for rounds in (0, 6):
+        graph = {r.id: r for r in neighbour_graph(df, 2000, dim=32, cell_rows=20, rounds=rounds, stop=0.0).collect()}
+        assert sorted(graph) == list(range(2000)) and all(len(set(r.near)) == len(r.near) <= 10 and i not in r.near for i, r in graph.items())
+        assert all(abs(s[i, j] - w) < 1e-3 for i, r in graph.items() for j, w in zip(r.near, r.sim))
+        recall.append(np.mean([len(set(graph[i].near) & set(want[i].tolist())) / 10 for i in range(2000)]))
+    assert recall[1] > recall[0] and recall[1] >= 0.85
     centres = np.linalg.qr(rng.normal(size=(32, 32)))[0] + 0.05
-    own = np.r_[np.zeros(150, int), np.repeat(np.arange(1, 32), 3)]
+    own = np.r_[np.zeros(1500, int), np.repeat(np.arange(1, 32), 3)]
     x = (centres[own] + 0.02 * rng.normal(size=(len(own), 32))).astype(np.float32)
     close = unit(x) @ unit(x).T >= 0.85
     assert (close == (own[:, None] == own)).all()
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<float>")
-    found = similarity_clusters(df, "id", "embedding", dim=32, block_rows=30, levels=1)
+    found = similarity_clusters(df, "id", "embedding", dim=32, cell_rows=2, most=100)
     assert {r.id: r.cluster_id for r in found.members.collect()} == {i: int(close[i].argmax()) for i in range(len(x))}
 
 
+def test_chains_are_not_clusters(spark):
+    """Vectors on an arc, 20 degrees apart, of which only neighbours reach the threshold."""
+    angle = np.deg2rad(20 * np.arange(18))
+    x = np.c_[np.cos(angle), np.sin(angle), np.zeros((18, 6))]
+    found = similarity_clusters(_frame(spark, range(18), x, dirt=False), "id", "embedding", dim=8)
+    of = {r.id: r.cluster_id for r in found.members.collect()}
+    assert all(x[i] @ x[j] >= 0.7 for i in of for j in of if of[i] == of[j])
+
+
 def test_clusters_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert similarity_clusters(empty, "id", "embedding", dim=8).members.count() == 0
     one = _frame(spark, [5], np.ones((1, 8), np.float32), dirt=False)
     assert [tuple(r) for r in similarity_clusters(one, "id", "embedding", dim=8).members.collect()] == [(5, 5, 0.0)]
     same = _frame(spark, range(300), np.tile(np.arange(1, 9, dtype=np.float32), (300, 1)))
-    assert {r.cluster_id for r in similarity_clusters(same, "id", "embedding", dim=8, block_rows=50).members.collect()} == {0}
+    assert {r.cluster_id for r in similarity_clusters(same, "id", "embedding", dim=8, most=50).members.collect()} == {0}
