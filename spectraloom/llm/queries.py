@@ -274,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"select qry_ids, ref_ids, topk from ({P1_RANKED}) where topk <= 10",
         "p1_top_hits": f"select * from ({P1_RANKED}) where topk <= 10",
         "p2_found": f"select qry_ids, ref_ids from ({P2_RANKED}) where topk <= 10 and scores >= 0.85",
+        "p2_nearest": f"select * from ({P2_RANKED}) where topk <= 10",
         "p6_found": P6_SQL,
         "p6_typical": P6_TYPICAL_SQL,
         "p4_found": f"{P4_SETS} select a as spectrum_a, b as spectrum_b from pair",

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.llm import ann, queries
-from spectraloom.llm.ann import nearest
+from spectraloom.llm.ann import build_index, nearest
 from spectraloom.llm.clusters import exact_neighbourhoods, similarity_clusters
 from spectraloom.llm.hnsw import Hnsw
 from spectraloom.llm.neighbours import communities, descend, neighbour_graph
@@ -44,6 +44,11 @@ def test_graph_recall():
 def test_graph_edges():
     none = Hnsw.build(np.zeros((0, 4), np.float32), np.arange(0))
     assert (none.search(np.ones((2, 4), np.float32), 3)[0] == 0).all()
+    large = unit(_mixed(np.random.default_rng(5), 3000, 16))  # neighbours of the lowest level by descent
+    graph = Hnsw.build(large, np.random.default_rng(5).permutation(3000), exact=500)
+    assert len(graph.nodes) >= 2
+    want = np.argsort(-(large[:200] @ large.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(graph.search(large[:200], 10)[0].tolist(), want.tolist())]) >= 0.95
     one = Hnsw.build(np.eye(4, dtype=np.float32)[:2], np.arange(2))
     rows, sims = one.search(np.eye(4, dtype=np.float32)[:1], 3)
     assert rows[0].tolist() == [0, 1, 2] and sims[0, 2] == -np.inf
@@ -67,6 +72,24 @@ def test_nearest(spark, rows, exact):
     assert len(found) == 300
 
 
+def test_queries_visit_few_shards(spark, rows):
+    """Near rows share a shard, a query visits the nearest leaves only, and a leaf of one direction is divided."""
+    rng = np.random.default_rng(12)
+    x, q = _mixed(rng, 1500, 8), _mixed(rng, 80, 8)
+    x[:500] = x[0] + 1e-3 * rng.normal(size=(500, 8))  # a third of all rows in one place
+    q[:20] = x[500:520] + 0.01 * rng.normal(size=(20, 8))
+    full = _frame(spark, range(1500), x)
+    index = build_index(full, "id", "embedding", dim=8, max_rows=40, min_shards=2)
+    shards = [r.shard for r in index.rows.select("shard").distinct().collect()]
+    assert len(index.parts) >= 30 and index.parts.max() >= 2 and len(shards) <= index.parts.sum()
+    got = nearest(_frame(spark, range(80), q), full, "id", "embedding", 5, dim=8, max_rows=40, visits=8)
+    a, b = q.astype(float), x.astype(float)
+    s = np.round(a @ b.T / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 6)
+    want = {(i, j) for i in range(80) for j in sorted(range(1500), key=lambda j: (-s[i, j], j))[:5]}
+    found = {r[:2] for r in rows(got, "qry_id", "ref_id")}
+    assert len(found) == 400 and len(found & want) >= 0.9 * len(want)
+
+
 def test_nearest_edges(spark):
     x = np.eye(8, dtype=np.float32)
     full, empty = _frame(spark, range(8), x), spark.createDataFrame([], SCHEMA)
