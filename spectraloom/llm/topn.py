@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.runtime import col, materialize
 
-#: No more than this many groups can be heavy, whatever the size of the table.
-MAX_HEAVY_GROUPS = 4096
+#: No more than this many groups can be heavy, whatever the size of the table: some 30 MB of keys and bounds.
+MAX_HEAVY_GROUPS = 1 << 20
 
 
 def finite(c: Column) -> Column:
@@ -24,7 +24,7 @@ def top_n_per_group(
     n: int = 10,
     *,
     rank: str = "topk",
-    heavy_rows: int = 100_000,
+    heavy_rows: int = 2_000,
     score_ranges: int = 16,
     salts: int = 8,
 ) -> DataFrame:
@@ -37,9 +37,10 @@ def top_n_per_group(
     gives no rows. Other columns of ``df`` are ignored, whatever their names.
 
     Hot-cold split. One pass counts every group exactly (map-side combined). Groups
-    of at least ``heavy_rows`` rows are heavy; the limit rises with the table so
-    that at most ``MAX_HEAVY_GROUPS`` can be, which bounds the broadcast of their
-    keys. Light groups are shuffled once by group and ranked by one window. Rows of
+    of at least ``heavy_rows`` rows are heavy; from a table of ``heavy_rows`` times
+    ``MAX_HEAVY_GROUPS`` rows on the limit rises with it, so that no more can be, which
+    bounds the broadcast of their keys; a light group of a table of 10**12 rows still
+    has under a million. Light groups are shuffled once by group and ranked by one window. Rows of
     heavy groups are spread by (group, score range, salt), sorted there, cut to the
     ``n`` best of each part, and the few winners are ranked again. Both ways are
     exact; the parts of a heavy group never meet in one task before the cut.
