@@ -1,10 +1,11 @@
 """Percentiles of large numeric columns from mergeable quantile digests.
 
-A value is quantized to one of 2**16 ordered leaves: zero, and for either sign 512
-steps an octave from 2**-24 to 2**40. A leaf stands for the middle of its step, so a
-value in that range is off by at most ``VALUE_ERROR`` of itself; smaller magnitudes
-become 0 and larger ones the last leaf. A digest holds counts of nodes of the binary
-tree over the leaves, a node being (level, index) with leaves at level 0.
+A value is quantized to one of 2**22 ordered leaves: zero, and for either sign 512 steps
+an octave over all finite doubles, 2**-1074 to 2**1024. A leaf stands for the middle of
+its step, so any value from 2**-1022 on is off by at most ``VALUE_ERROR`` of itself (and
+a subnormal one, for which doubles have no such precision, by that or 2**-1074). A digest
+holds counts of nodes of the binary tree over the leaves, a node being (level, index)
+with leaves at level 0.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from spectraloom.llm.topn import finite
 from spectraloom.runtime import col
 
-LEVELS = 16
+LEVELS = 22
 STEPS = 512
-LOWEST = -24
+LOWEST = -1074
 HALF = 1 << (LEVELS - 1)
 VALUE_ERROR = 2 ** (0.5 / STEPS) - 1
 
 
 def leaf_of(x: Column) -> Column:
-    """Leaf of a finite double, 1 to 2**16 - 1."""
+    """Leaf of a finite double, 1 to 2**22 - 1."""
     size = F.abs(x)
-    step = F.least(F.lit(HALF - 2), F.floor((F.log2(size) - LOWEST) * STEPS)).cast("int")
-    return F.when(size < 2.0**LOWEST, F.lit(HALF)).when(x > 0, HALF + 1 + step).otherwise(HALF - 1 - step).cast("int")
+    step = F.greatest(F.lit(0), F.least(F.lit((1024 - LOWEST) * STEPS - 1), F.floor((F.log2(size) - LOWEST) * STEPS))).cast("int")
+    return F.when(size == 0, F.lit(HALF)).when(x > 0, HALF + 1 + step).otherwise(HALF - 1 - step).cast("int")
 
 
 def value_of(leaf: Column) -> Column:
@@ -102,18 +103,18 @@ def _compressor(keys: Sequence[str], k: int, schema: pa.Schema):
     return run
 
 
-def quantile_digests(df: DataFrame, value: str, keys: Sequence[str], *, distinct_on: Sequence[str] | None = None, k: int = 1600) -> DataFrame:
+def quantile_digests(df: DataFrame, value: str, keys: Sequence[str], *, distinct_on: Sequence[str] | None = None, k: int = 2200) -> DataFrame:
     """A quantile digest for each combination of ``keys``: ``keys, level, node, cnt``.
 
     Rows whose value is null, NaN or infinite are left out; a null key is a key of its
     own. With ``distinct_on``, rows equal in those columns and the keys count once. Digests of
     the same keys may be added node by node, in any order, see ``merge_digests``.
 
-    Any rank read from a digest of n values is off by at most floor(n / k) * 16 ranks;
+    Any rank read from a digest of n values is off by at most floor(n / k) * 22 ranks;
     digests of fewer than k values are exact up to the quantization. Repeats are removed
     and leaves counted with map-side combine, so neither a row repeated very often nor
     one hot value gathers in a task; a task compresses many digests in one stream, of
-    which a digest has at most 2**16 leaves.
+    which a digest has no more than it has different leaves.
     """
     x = col(value).cast("double")
     named = [f"k{j}" for j in range(len(keys))]
@@ -135,19 +136,19 @@ def merge_digests(digests: DataFrame, keys: Sequence[str]) -> DataFrame:
     return digests.groupBy(*(col(c) for c in keys), "level", "node").agg(F.sum("cnt").alias("cnt"))
 
 
-def percentiles(digests: DataFrame, keys: Sequence[str], part: Sequence[str], ranks: dict[str, float], *, k: int = 1600) -> DataFrame:
+def percentiles(digests: DataFrame, keys: Sequence[str], part: Sequence[str], ranks: dict[str, float], *, k: int = 2200) -> DataFrame:
     """Percentiles of merged digests: ``keys, n, <names of ranks>, rank_error, value_error``.
 
     ``part`` names the further key columns (the day, say) over which digests are
     merged. A percentile q is the value of rank ceil(q * n). ``rank_error`` is the
-    bound in ranks: 16 * floor(n / k), added up over the parts. ``value_error`` is the
+    bound in ranks: 22 * floor(n / k), added up over the parts. ``value_error`` is the
     relative bound of the quantization.
     """
     each = digests.groupBy(*(col(c) for c in [*keys, *part])).agg(F.sum("cnt").alias("n"))
     size = each.groupBy(*(col(c) for c in keys)).agg(F.sum("n").alias("n"), F.sum(F.floor(F.col("n") / k) * LEVELS).cast("long").alias("rank_error"))
     nodes = merge_digests(digests, keys).withColumn("top", F.expr("shiftleft(node + 1, level) - 1"))
     run = Window.partitionBy(*(col(c) for c in keys)).orderBy("top", "level").rowsBetween(Window.unboundedPreceding, 0)
-    # a digest has at most 2**17 nodes, so this window is bounded however large the data are
+    # a digest of n values has about 3 * k nodes, and parts of one key are as many as there are days, so this window is bounded however large the data are
     nodes = nodes.withColumn("below", F.sum("cnt").over(run)).withColumn("n", F.sum("cnt").over(Window.partitionBy(*(col(c) for c in keys))))
     pick = [F.min(F.when(F.col("below") >= F.ceil(F.col("n") * F.lit(q)), F.col("top"))).alias(f"__{name}") for name, q in ranks.items()]
     found = nodes.groupBy(*(col(c) for c in keys)).agg(*pick)

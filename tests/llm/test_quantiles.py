@@ -11,10 +11,10 @@ RANKS = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
 
 
 def test_leaves_keep_order_and_value(spark):
-    values = sorted([0.0, -1e-9, 1e-9, 1e300, -1e300, *(random.Random(1).uniform(-50, 50) for _ in range(500)), *(10.0**k for k in range(-6, 11))])
+    values = sorted([0.0, -1e-9, 1e-9, 1e300, -1e300, 1.7976931348623157e308, 2.3e-308, 5e-324, *(random.Random(1).uniform(-50, 50) for _ in range(500)), *(10.0**k for k in range(-6, 11))])
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", leaf_of(F.col("v")).alias("leaf")).select("v", "leaf", value_of(F.col("leaf")).alias("back")).orderBy("v").collect()
-    assert all(a.leaf <= b.leaf for a, b in zip(got, got[1:])) and all(0 < r.leaf < 2**16 for r in got)
-    assert all(abs(r.back - r.v) <= 1.0001 * VALUE_ERROR * abs(r.v) for r in got if 2.0**-24 <= abs(r.v) < 2.0**39)
+    assert all(a.leaf <= b.leaf for a, b in zip(got, got[1:])) and all(0 < r.leaf < 2**22 for r in got)
+    assert all(abs(r.back - r.v) <= 1.0001 * VALUE_ERROR * abs(r.v) for r in got if r.v == 0 or abs(r.v) >= 2.0**-1022)
 
 
 @pytest.mark.parametrize("k", [20, 200, 10**6])
@@ -46,7 +46,7 @@ def data(spark):
     return rows
 
 
-@pytest.mark.parametrize("k", [50, 1600])
+@pytest.mark.parametrize("k", [50, 2200])
 def test_percentiles(spark, data, k):
     df = spark.createDataFrame(data, "g long, day int, i long, v double, level string")
     days = quantile_digests(df, "v", ["g", "day"], distinct_on=["g", "day", "i", "v"], k=k)
