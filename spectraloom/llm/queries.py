@@ -246,7 +246,7 @@ def p8_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
     names = [r[0] for r in _read(spark, sf_dir, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").limit(63).collect()]  # one more than subject_areas takes: it raises
-    return subjects.subject_areas(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_labels"), names)
+    return subjects.subject_areas(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_labels"), names, lang="lang")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +258,11 @@ def p9_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).posteriors()
 
 
+def p9_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean posterior and labelled share of held-out pairs of document and subject, by tenths of the posterior."""
+    return _subjects(spark, sf_dir).reliability()
+
+
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The make-up of the corpus by subject."""
     return _subjects(spark, sf_dir).composition()
@@ -265,7 +270,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_method", "p6_found", "p6_typical", "p6_recall",
-             "p7_containers", "p7_summary", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition"]
+             "p7_containers", "p7_summary", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition", "p9_reliability"]
     return {n: globals()[n] for n in names}
 
 

@@ -4,24 +4,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.prose import sections
 from spectraloom.runtime import col, materialize
 
-#: Frequent function words by which the language of a text is told, without accents.
-FUNCTION_WORDS = {
-    "en": ["the", "and", "for", "with", "from", "that", "which", "this", "are", "was", "not"],
-    "de": ["der", "die", "das", "und", "den", "von", "mit", "ist", "wird", "fur", "auf", "eine", "bei"],
-    "fr": ["les", "des", "une", "est", "dans", "pour", "avec", "sur", "par", "qui", "nous"],
-}
-LANGUAGES = len(FUNCTION_WORDS) + 1  # the last one for texts with none of these words
-
 BAG = "doc_id long, mask long, lang int, words array<int>, distinct array<int>, w array<int>, n array<int>"
 
 
@@ -29,32 +21,51 @@ BAG = "doc_id long, mask long, lang int, words array<int>, distinct array<int>,
 class Subjects:
     """``documents(doc_id, words, shares)``: for every document with prose its number of words and the share of each subject.
 
-    ``names`` are the subjects in the order of ``shares``; ``slopes`` and ``least`` give
-    the calibrated, independent posterior of a subject: logistic(slope * (share - least)).
+    ``names`` are the subjects in the order of ``shares``; ``slopes`` and ``midpoints``
+    give the calibrated, independent posterior of a subject: logistic(slope * (share -
+    midpoint)). ``held_out(doc_id, subject, share, posterior, labelled)`` are the
+    labelled documents of the calibration, as a classifier sees them that they did not train.
     """
 
     documents: DataFrame
     names: list[str]
     slopes: list[float]
-    least: float
+    midpoints: list[float]
+    held: DataFrame
+
+    def _named(self, k: Column) -> Column:
+        return F.get(F.array(*map(F.lit, self.names)), k)
+
+    def _posterior(self, k: Column, share: Column) -> Column:
+        slope, middle = (F.get(F.array(*(F.lit(float(s)) for s in x)), k) for x in (self.slopes, self.midpoints))
+        return 1 / (1 + F.exp(-slope * (share - middle)))
+
+    def held_out(self) -> DataFrame:
+        rows = self.held.select("doc_id", "mask", F.posexplode("shares").alias("k", "share"))
+        labelled = F.get(F.array(*(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 for k in range(len(self.names)))), F.col("k"))
+        return rows.select("doc_id", self._named(F.col("k")).alias("subject"), "share", self._posterior(F.col("k"), F.col("share")).alias("posterior"), labelled.alias("labelled"))
+
+    def reliability(self, bins: int = 10) -> DataFrame:
+        """Held-out pairs of document and subject by posterior: ``bin, pairs, mean_posterior, labelled_share``."""
+        place = F.least(F.lit(bins - 1), F.floor(F.col("posterior") * bins)).cast("int")
+        rows = self.held_out().groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("posterior").alias("mean_posterior"), F.avg(F.col("labelled").cast("double")).alias("labelled_share"))
+        return rows
 
     def posteriors(self) -> DataFrame:
         """``doc_id, subject, share, posterior`` of all subjects with a share above 0."""
-        slope = F.array(*(F.lit(float(s)) for s in self.slopes))
         rows = self.documents.select("doc_id", F.posexplode("shares").alias("k", "share")).where(F.col("share") > 0)
-        posterior = 1 / (1 + F.exp(-F.get(slope, F.col("k")) * (F.col("share") - self.least)))
-        return rows.select("doc_id", F.get(F.array(*map(F.lit, self.names)), F.col("k")).alias("subject"), "share", posterior.alias("posterior"))
+        return rows.select("doc_id", self._named(F.col("k")).alias("subject"), "share", self._posterior(F.col("k"), F.col("share")).alias("posterior"))
 
     def assigned(self) -> DataFrame:
-        """``doc_id, subject`` where the posterior is at least one half, that is where the share reaches ``least``."""
+        """``doc_id, subject`` where the posterior is at least one half."""
         return self.posteriors().where(F.col("posterior") >= 0.5).select("doc_id", "subject")
 
     def composition(self) -> DataFrame:
         """Per subject, and null for prose without one: documents assigned, words, and its part of all words."""
         parts = F.concat(F.col("shares"), F.array(1 - F.aggregate("shares", F.lit(0.0), lambda s, x: s + x)))
         rows = self.documents.select("words", F.posexplode(parts).alias("k", "share"))
-        sums = rows.groupBy("k").agg(F.count(F.when((F.col("share") >= self.least) & (F.col("k") < len(self.names)), 1)).alias("documents"), F.sum(F.col("words") * F.col("share")).alias("words"))
-        name = F.get(F.array(*map(F.lit, self.names)), F.col("k"))
+        sums = rows.groupBy("k").agg(F.count(F.when((F.col("share") > 0) & (self._posterior(F.col("k"), F.col("share")) >= 0.5), 1)).alias("documents"), F.sum(F.col("words") * F.col("share")).alias("words"))
+        name = self._named(F.col("k"))
         every = sums.agg(F.sum("words").alias("every"))
         return sums.join(F.broadcast(every)).select(name.alias("subject"), "documents", F.round("words").cast("long").alias("words"), F.round(F.try_divide("words", "every"), 6).alias("share"))
 
@@ -66,12 +77,18 @@ def subject_areas(
     labels: DataFrame,
     names: list[str],
     *,
+    lang: str | None = None,
+    languages: int = 7,
     least: float = 0.25,
     rounds: int = 4,
     hash_bits: int = 17,
     max_labels: int = 200_000,
+    held_out: float = 0.2,
     min_density: float = 0.02,
     smoothing: float = 0.2,
+    untelling: tuple[float, float] = (0.4, 0.8),
+    doubt: float = 0.02,
+    sharing: float = 0.05,
 ) -> Subjects:
     """Assign each document the subjects that at least ``least`` of its prose is about.
 
@@ -81,41 +98,94 @@ def subject_areas(
     covers all documents. There can be up to 62 subjects.
 
     A document's prose is divided into sections; words are hashed to ``hash_bits`` bits.
-    The language is told by function words, and a word counts the less the larger the
-    part of the language's documents that contain it, so that the common words of a
-    language do not stand for a subject. A complement naive Bayes classifier of sections
-    is trained on the sections of the labelled documents, then refined by
-    expectation-maximization over all sections, labelled or not: a labelled document's
-    sections keep to its labels but for a small doubt, as some are wrong. A word unseen
-    in one language starts from its use in the others. A section with too few telling
-    words is about no subject. A subject's share is the part of the document's words in
-    its sections; posteriors are calibrated on the labelled documents, each subject on
-    its own.
+    ``lang`` names a column with the language of most documents, right more often than
+    not. Its ``languages`` most frequent values each have a model, the others share one;
+    which of them a document is in is decided by the common words of these languages,
+    learnt from all documents, and not by its own entry, which can be missing or wrong.
+    Without the column all documents are of one language.
+
+    A word counts the less the larger the part of the language's documents that contain
+    it: not at all from exp(-``untelling[0]``) on, fully below exp(-``untelling[1]``), so
+    that the common words of a language do not stand for a subject. A complement naive
+    Bayes classifier of sections is trained on the sections of the labelled documents,
+    then refined by expectation-maximization over all sections, labelled or not: a
+    labelled document's sections keep to its labels but for ``doubt``, as some are wrong.
+    A word takes ``sharing`` of its use in the other languages, so one unseen in a
+    language is not without evidence. A section of which less than ``min_density`` of the
+    words tell of a subject is about none. A subject's share is the part of the
+    document's words in its sections.
+
+    ``held_out`` of the labelled documents, chosen by hash, are kept from a first
+    classifier; on them the posterior of each subject, a logistic curve in its share, is
+    calibrated. A second one, trained with all labels, gives the shares. Slope and
+    midpoint are those of the highest likelihood, under a prior that puts the midpoint at ``least``
+    (within about 0.05) and lets some labels be wrong. A subject is assigned where its
+    posterior is one half or more.
 
     Null texts, empty ones and texts without prose do not appear; whole texts are used;
     a repeated id is treated as another document. Without labels nothing is assigned.
     """
     if len(names) > 62:
         raise ValueError("more than 62 subjects")
-    c, features = len(names), LANGUAGES << hash_bits
+    c = len(names)
     given = labels.select(col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("subject")).alias("s")).where(F.col("doc_id").isNotNull()).distinct()
     place = {s.lower(): k for k, s in enumerate(names)}
     number = F.create_map(*(F.lit(x) for pair in place.items() for x in pair)) if place else F.create_map(F.lit(""), F.lit(0))
     given = given.where(F.col("s").isin(list(place))).orderBy(F.xxhash64("doc_id"), "doc_id", "s").limit(max_labels)
     masks = given.groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.try_element_at(number, F.col("s")))).alias("mask"))
-    docs = df.select(col(id).cast("long").alias("doc_id"), col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    code = F.lower(F.trim(col(lang))) if lang is not None else F.lit("")
+    known: list[str] = []
+    if lang is not None:
+        spoken = df.select(code.alias("l")).where(F.col("l") != "").groupBy("l").count()
+        known = sorted(r["l"] for r in spoken.orderBy(F.desc("count"), "l").limit(languages).collect())
+    several = len(known) + 1
+    given_lang = F.coalesce(F.array_position(F.array(*map(F.lit, known)), code).cast("int"), F.lit(0)) - 1 if known else F.lit(0)
+    docs = df.select(col(id).cast("long").alias("doc_id"), col(text).alias("text"), given_lang.cast("int").alias("lang")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     docs = docs.join(F.broadcast(masks), "doc_id", "left")
     bags = materialize(docs.mapInArrow(_bags(hash_bits), BAG), "bags")
 
-    telling = _telling(bags, features, hash_bits)
+    speech = _speech(bags, several, hash_bits) if known else None
+    setup = _Setup(hash_bits, several, held_out, min_density, doubt, sharing, speech)
+    telling = _telling(bags, setup, untelling)
     active = np.flatnonzero(telling > 0)
-    model = None
-    for _ in range(rounds + 1):
-        counts = _expected(bags, model, telling, active, c, min_density)
-        model = _complement(counts, active, hash_bits, smoothing)
-    shares = materialize(bags.mapInArrow(_shares(bags, model, telling, active, c, min_density), "doc_id long, mask long, words long, shares array<double>"), "shares")
-    slopes = _calibrate(shares.where(F.col("mask").isNotNull()), c, least)
-    return Subjects(shares.select("doc_id", "words", "shares"), names, slopes, least)
+
+    def train(setup: _Setup) -> _Model:
+        model = None
+        for _ in range(rounds + 1):
+            counts = _expected(bags, model, telling, active, c, setup)
+            model = _complement(counts, active, setup, smoothing)
+        return model
+
+    kind = "doc_id long, mask long, words long, shares array<double>"
+    some = bags.where(F.col("mask").isNotNull() & _is_held(F.col("doc_id"), held_out))
+    held = materialize(some.mapInArrow(_shares(bags, train(setup), telling, active, c, setup), kind), "held-out")
+    slopes, midpoints = _calibrate(held, c, least)
+    whole = replace(setup, held_out=0.0)
+    shares = materialize(bags.mapInArrow(_shares(bags, train(whole), telling, active, c, whole), kind), "shares")
+    return Subjects(shares.select("doc_id", "words", "shares"), names, slopes, midpoints, held)
+
+
+def _is_held(doc_id: Column, part: float) -> Column:
+    return _HASH(doc_id) < int(part * 1000)
+
+
+def _HASH(doc_id: Column) -> Column:  # the same in numpy, see _Batch
+    return F.pmod(F.pmod(doc_id, F.lit(1_000_003)) * 7919 + F.pmod(doc_id, F.lit(997)), F.lit(1000))
+
+
+@dataclass(frozen=True)
+class _Setup:
+    hash_bits: int
+    several: int
+    held_out: float
+    min_density: float
+    doubt: float
+    sharing: float
+    speech: tuple[np.ndarray, np.ndarray] | None
+
+    @property
+    def features(self) -> int:
+        return self.several << self.hash_bits
 
 
 def _bags(hash_bits: int):
@@ -123,8 +193,6 @@ def _bags(hash_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
-        telltale = {w: k for k, words in enumerate(FUNCTION_WORDS.values()) for w in words}
-
         def code(word: str) -> int:
             if word not in seen:
                 if len(seen) > 1_000_000:
@@ -134,24 +202,21 @@ def _bags(hash_bits: int):
 
         for batch in batches:
             ids, marks, langs, sizes, kinds, ws, ns = [], [], [], [], [], [], []
-            for doc, mask, text in zip(batch.column("doc_id").to_pylist(), batch.column("mask").to_pylist(), batch.column("text")):
+            for doc, mask, lang, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "mask", "lang")), batch.column("text")):
                 parts = sections(text.as_py())
                 if not parts:
                     continue
-                score = [0] * LANGUAGES
                 w, n, kind = [], [], []
                 for part in parts:
                     bag: dict[str, int] = {}
                     for x in part:
                         bag[x] = bag.get(x, 0) + 1
-                    for x in bag.keys() & telltale.keys():
-                        score[telltale[x]] += bag[x]
                     w += map(code, bag)
                     n += bag.values()
                     kind.append(len(bag))
                 ids.append(doc)
                 marks.append(mask)
-                langs.append(score.index(max(score)) if any(score) else LANGUAGES - 1)
+                langs.append(lang)
                 sizes.append([len(p) for p in parts])
                 kinds.append(kind)
                 ws.append(np.array(w, np.int32))
@@ -165,43 +230,74 @@ def _bags(hash_bits: int):
 class _Batch:
     """A batch of bags in flat arrays: ``feature, n, section`` of the entries, ``doc, words`` of the sections."""
 
-    def __init__(self, batch: pa.RecordBatch, hash_bits: int) -> None:
+    def __init__(self, batch: pa.RecordBatch, setup: _Setup) -> None:
         flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
         length = lambda name: batch.column(name).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.docs = batch.num_rows
-        self.lang = batch.column("lang").to_numpy().astype(np.int64)
         self.ids = batch.column("doc_id")
-        self.mask = batch.column("mask").fill_null(0).to_numpy()
+        number = self.ids.to_numpy()
+        held = ((number % 1_000_003) * 7919 + number % 997) % 1000 < int(setup.held_out * 1000)
+        self.mask = np.where(held, 0, batch.column("mask").fill_null(0).to_numpy())  # of those that train
         self.words = flat("words").astype(np.float64)
         self.doc = np.repeat(np.arange(self.docs), length("words"))
         self.section = np.repeat(np.arange(len(self.words)), flat("distinct"))
-        self.feature = flat("w").astype(np.int64) + (np.repeat(self.lang, length("w")) << hash_bits)
+        self.word = flat("w").astype(np.int64)
         self.n = flat("n").astype(np.float64)
         self.entry_doc = np.repeat(np.arange(self.docs), length("w"))
-
-
-def _telling(bags: DataFrame, features: int, hash_bits: int) -> np.ndarray:
-    """How much a word of a language tells, 0 to 1, from the part of the language's documents that contain it."""
+        self.lang = batch.column("lang").to_numpy().astype(np.int64)
+        self.lang[self.lang < 0] = setup.several - 1
+        if setup.speech is not None:
+            row, weight = setup.speech
+            key = np.unique(self.entry_doc * len(row) + self.word)
+            key = key[row[key % len(row)] >= 0]
+            doc, at = key // len(row), row[key % len(row)]
+            score = np.stack([np.bincount(doc, weights=weight[at, k], minlength=self.docs) for k in range(setup.several)], 1)
+            spoken = np.bincount(doc, minlength=self.docs) > 0
+            self.lang = np.where(spoken, score.argmax(1), self.lang)
+        self.feature = self.word + (self.lang[self.entry_doc] << setup.hash_bits)
+
+
+def _document_counts(bags: DataFrame, setup: _Setup) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each language, and those of them that contain each feature."""
+    features, several = setup.features, setup.several
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs = np.zeros(features, np.int64), np.zeros(LANGUAGES, np.int64)
+        df, docs = np.zeros(features, np.int64), np.zeros(several, np.int64)
         for batch in batches:
-            b = _Batch(batch, hash_bits)
+            b = _Batch(batch, setup)
             key = np.unique(b.entry_doc * features + b.feature)
             df += np.bincount(key % features, minlength=features)
-            docs += np.bincount(b.lang, minlength=LANGUAGES)
+            docs += np.bincount(b.lang, minlength=several)
         own = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, -1 - np.arange(LANGUAGES)]), pa.array(np.r_[df[own], docs])], ["feature", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, -1 - np.arange(several)]), pa.array(np.r_[df[own], docs])], ["feature", "df"])
 
     # at most as many rows as there are features
     got = bags.mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
     feature, count = got["feature"].to_numpy(np.int64), got["df"].to_numpy(np.int64)
-    docs, df = np.zeros(LANGUAGES), np.zeros(features)
+    docs, df = np.zeros(several), np.zeros(features)
     docs[-1 - feature[feature < 0]] = count[feature < 0]
     df[feature[feature >= 0]] = count[feature >= 0]
-    idf = np.log((np.repeat(docs, 1 << hash_bits) + 1) / (df + 1))
-    # none from two thirds of the documents on, full below 45 %
-    return np.where(df > 0, np.clip((idf - 0.4) / 0.4, 0, 1), 0)
+    return docs, df
+
+
+def _speech(bags: DataFrame, several: int, hash_bits: int, common: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """How the words that at least ``common`` of some language's documents contain tell the languages, by the documents' own entries: row of a word, or -1, and weights."""
+    docs, df = _document_counts(bags, _Setup(hash_bits, several, 0.0, 0.0, 0.0, 0.0, None))
+    part = (df.reshape(several, -1).T + 0.5) / (docs + 1.0)
+    part[:, docs < 1] = 1e-9  # nobody's language
+    words = np.flatnonzero((part[:, :-1] >= common).any(1))
+    row = np.full(len(part), -1, np.int64)
+    row[words] = np.arange(len(words))
+    weight = np.log(part[words])
+    weight[:, -1] = np.minimum(weight[:, -1], weight[:, :-1].max(1) - 0.1)  # documents without an entry are not a language of their own
+    return row, weight
+
+
+def _telling(bags: DataFrame, setup: _Setup, untelling: tuple[float, float]) -> np.ndarray:
+    """How much a word of a language tells, 0 to 1, from the part of the language's documents that contain it."""
+    docs, df = _document_counts(bags, setup)
+    idf = np.log((np.repeat(docs, 1 << setup.hash_bits) + 1) / (df + 1))
+    return np.where(df > 0, np.clip((idf - untelling[0]) / (untelling[1] - untelling[0]), 0, 1), 0)
 
 
 @dataclass(frozen=True)
@@ -225,21 +321,20 @@ def _posterior(b: _Batch, model: _Model, telling: np.ndarray, row: np.ndarray, m
     return s
 
 
-def _expected(bags: DataFrame, model: _Model | None, telling: np.ndarray, active: np.ndarray, c: int, min_density: float) -> np.ndarray:
+def _expected(bags: DataFrame, model: _Model | None, telling: np.ndarray, active: np.ndarray, c: int, setup: _Setup) -> np.ndarray:
     """Expected counts (active features, subjects): from the labels alone at first, then from the model."""
-    hash_bits = (len(telling) // LANGUAGES).bit_length() - 1
     shared = bags.sparkSession.sparkContext.broadcast((model, telling, _rows(active, len(telling))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, telling, row = shared.value
         total = np.zeros((int(row.max(initial=-1)) + 1, c))
         for batch in batches:
-            b = _Batch(batch, hash_bits)
+            b = _Batch(batch, setup)
             asked = ((b.mask[:, None] >> np.arange(c)) & 1).astype(np.float64)
             if model is None:
                 r = asked[b.doc]
             else:
-                r = _posterior(b, model, telling, row, min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, 0.02), 1.0)[b.doc]
+                r = _posterior(b, model, telling, row, setup.min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, setup.doubt), 1.0)[b.doc]
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
             on = telling[b.feature] > 0
             x, at = np.minimum(b.n[on], 3) * telling[b.feature[on]], row[b.feature[on]]
@@ -261,17 +356,17 @@ def _rows(active: np.ndarray, features: int) -> np.ndarray:
     return row
 
 
-def _complement(counts: np.ndarray, active: np.ndarray, hash_bits: int, smoothing: float) -> _Model:
+def _complement(counts: np.ndarray, active: np.ndarray, setup: _Setup, smoothing: float) -> _Model:
     """Weights of complement naive Bayes, each language by itself: minus the log of a word's part in all other subjects.
 
     A word is evidence if, all subjects being equally large, at least half of its use is in one.
     """
-    word, lang = active & ((1 << hash_bits) - 1), active >> hash_bits
-    everywhere = np.zeros((1 << hash_bits, counts.shape[1]))
+    word, lang = active & ((1 << setup.hash_bits) - 1), active >> setup.hash_bits
+    everywhere = np.zeros((1 << setup.hash_bits, counts.shape[1]))
     np.add.at(everywhere, word, counts)
-    counts = counts + 0.05 * (everywhere[word] - counts)
+    counts = counts + setup.sharing * (everywhere[word] - counts)
     out, evident = np.zeros_like(counts), np.zeros(len(counts), bool)
-    for own in range(LANGUAGES):
+    for own in range(setup.several):
         at = lang == own
         if at.any():
             rate = counts[at] / np.maximum(counts[at].sum(0), 1.0)
@@ -281,15 +376,14 @@ def _complement(counts: np.ndarray, active: np.ndarray, hash_bits: int, smoothin
     return _Model(out, evident)
 
 
-def _shares(bags: DataFrame, model: _Model, telling: np.ndarray, active: np.ndarray, c: int, min_density: float):
-    hash_bits = (len(telling) // LANGUAGES).bit_length() - 1
+def _shares(bags: DataFrame, model: _Model, telling: np.ndarray, active: np.ndarray, c: int, setup: _Setup):
     shared = bags.sparkSession.sparkContext.broadcast((model, telling, _rows(active, len(telling))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, telling, row = shared.value
         for batch in batches:
-            b = _Batch(batch, hash_bits)
-            r = _posterior(b, model, telling, row, min_density)
+            b = _Batch(batch, setup)
+            r = _posterior(b, model, telling, row, setup.min_density)
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
             words = np.bincount(b.doc, weights=b.words, minlength=b.docs)
             share = np.stack([np.bincount(b.doc, weights=b.words * r[:, k], minlength=b.docs) for k in range(c)], 1) / words[:, None]
@@ -299,17 +393,20 @@ def _shares(bags: DataFrame, model: _Model, telling: np.ndarray, active: np.ndar
     return run
 
 
-def _calibrate(labelled: DataFrame, c: int, least: float) -> list[float]:
-    """Slope of each subject's logistic curve through one half at ``least``, by penalized likelihood over the labelled documents."""
-    got = labelled.select("mask", "shares").toPandas()  # bounded by the labels
+def _calibrate(held: DataFrame, c: int, least: float) -> tuple[list[float], list[float]]:
+    """Slope and midpoint of each subject's logistic curve, by penalized likelihood over the held-out documents."""
+    got = held.select("mask", "shares").toPandas()  # bounded by the labels
     if not len(got):
-        return [20.0] * c
-    x = np.stack(got["shares"].to_numpy()) - least
+        return [20.0] * c, [least] * c
+    x = np.stack(got["shares"].to_numpy())
     y = (got["mask"].to_numpy(np.int64)[:, None] >> np.arange(c)) & 1
-    grid = np.linspace(1, 60, 119)
-    out = []
+    slope, middle = np.meshgrid(np.linspace(1, 60, 60), least + np.linspace(-0.15, 0.15, 31), indexing="ij")
+    slopes, midpoints = [], []
     for k in range(c):
-        z = (2 * y[:, k] - 1) * x[:, k]
-        cost = np.logaddexp(0, -grid[:, None] * z[None, :]).sum(1) + (grid - 20) ** 2 / 200
-        out.append(float(grid[np.argmin(cost)]))
-    return out
+        z = slope[..., None] * (x[:, k] - middle[..., None])
+        hit = 0.97 / (1 + np.exp(-np.clip(z, -500, 500))) + 0.015  # a few labels are wrong
+        cost = -np.where(y[:, k] == 1, np.log(hit), np.log(1 - hit)).sum(-1) + (slope - 20) ** 2 / 200 + ((middle - least) / 0.05) ** 2 / 2
+        best = np.unravel_index(np.argmin(cost), cost.shape)
+        slopes.append(float(slope[best]))
+        midpoints.append(float(middle[best]))
+    return slopes, midpoints

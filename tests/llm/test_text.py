@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.llm.prose import sections
-from spectraloom.llm.subjects import subject_areas
+from spectraloom.llm.subjects import _calibrate, subject_areas
 from spectraloom.llm.tokens import counter, token_count
 
 
@@ -85,20 +86,39 @@ def test_subjects(spark):
     rng = random.Random(7)
     docs, truth = _corpus(rng, 500)
     df = spark.createDataFrame([(*d, "x", 1) for d in docs] + [(900, None, "x", 1), (901, "", "x", 1), (902, "% comment", "x", 1), (None, "court", "x", 1)], "doc_id long, text string, w string, mask int")
+    german = F.col("text").contains("studie")
+    noise = F.pmod(F.xxhash64("doc_id"), F.lit(10))  # language null, wrong or written in another way
+    df = df.withColumn("lang", F.when(noise == 0, None).when(noise == 1, "de").when(german, F.when(noise == 2, " DE ").otherwise("de")).otherwise("en"))
     labels = [(i, rng.choice([s, s.upper(), f" {s}"]), "r") for i in range(120) for s in truth[i]] + [(3, "cookery", "r"), (5, None, "r"), (None, "law", "r"), (2, "law", "r")]
     lab = spark.createDataFrame(labels, "doc_id long, subject string, rater string")
-    found = subject_areas(df, "doc_id", "text", lab, list(WORDS))
+    found = subject_areas(df, "doc_id", "text", lab, list(WORDS), lang="lang")
     got = {(r.doc_id, r.subject) for r in found.assigned().collect()}
     held = {(i, s) for i in truth if i >= 120 for s in truth[i]}
     hit = {p for p in got if p[0] >= 120}
     assert len(hit & held) >= 0.97 * len(held) and len(hit - held) <= 0.03 * len(held)
     post = found.posteriors().collect()
-    assert all((r.posterior >= 0.5) == (r.share >= 0.25) for r in post)
+    assert all(0 <= r.posterior <= 1 for r in post) and all(0.1 <= m <= 0.4 for m in found.midpoints)
+    assert {(r.doc_id, r.subject) for r in post if r.posterior >= 0.5} == got
+    assert all((r.posterior >= 0.5) == (r.share >= found.midpoints[list(WORDS).index(r.subject)]) for r in post)
+    out = found.held_out().collect()
+    assert out and {r.doc_id for r in out} < set(range(120)) and np.mean([(r.posterior >= 0.5) == r.labelled for r in out]) >= 0.9
+    bins = found.reliability().collect()
+    assert sum(r.pairs for r in bins) == len(out) and all(r.bin / 10 <= r.mean_posterior <= (r.bin + 1) / 10 for r in bins)
     comp = {r.subject: r for r in found.composition().collect()}
     assert set(comp) == {*WORDS, None} and sum(r.share for r in comp.values()) == pytest.approx(1, abs=1e-5)
     assert comp["law"].documents == sum(s == "law" for _, s in got)
 
 
+def test_calibration_follows_the_labels(spark):
+    """Labels that ask for half of a document put the midpoint above a quarter."""
+    rng = random.Random(3)
+    rows = [(i, 1 if share >= 0.35 else 0, [share]) for i in range(2000) for share in [rng.random()]]
+    held = spark.createDataFrame(rows, "doc_id long, mask long, shares array<double>")
+    slopes, midpoints = _calibrate(held, 1, 0.25)
+    assert 0.33 <= midpoints[0] <= 0.37 and slopes[0] > 20
+    assert _calibrate(held.limit(0), 2, 0.25) == ([20.0, 20.0], [0.25, 0.25])
+
+
 def test_subjects_edges(spark):
     df = spark.createDataFrame([(1, "court judge statute")], "doc_id long, text string")
     lab = spark.createDataFrame([(1, "law")], "doc_id long, subject string")
