@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,7 +62,7 @@ def similar_sets(
     *,
     threshold: float = 0.6,
     min_size: int = 1,
-    max_small: int = 64,
+    max_small: int = 12,
     hot_rows: int = 50_000,
     bucket_rows: int = 100_000,
 ) -> SetJoin:
@@ -74,20 +75,23 @@ def similar_sets(
     tables. Empty tables give no pairs. Pairs with Jaccard >= ``threshold``, bound
     included, are found exactly; nothing is sampled or capped.
 
-    Size-aware overlap join. Equal sets are one set. With tokens in order of rising
-    frequency, two sets that overlap in o tokens share two tokens within their first
-    (size - o + 2). A small set (at most ``max_small`` tokens) therefore enumerates the
-    two-token subsets of that prefix and meets others on equal subsets, which keeps
-    common tokens from making candidates. A large set, which would have too many
-    subsets, scans the inverted lists of its first (size - o + 1) tokens.
-
-    Sets are sent to the buckets of their signatures, about ``bucket_rows`` rows each: a
-    subset lies in the bucket of its rarer token, or, if that is among more than
-    ``hot_rows`` sets, in that of both tokens, so a token that many sets have is spread.
-    Within a bucket sets meet on equal signatures, in slices of bounded size, and are
-    cut by size and by a 128-bit bitmap that bounds the overlap from above; what is left
-    of all buckets is cut by the exact similarity. Tokens that are not whole numbers
-    are compared by 64-bit hash.
+    Size-aware overlap join. Equal sets are one set. Tokens are in order of rising
+    frequency. A small set (at most ``max_small`` tokens) enumerates its threshold-sized
+    subsets: of two small sets the larger, of m tokens, must share ceil(threshold * m)
+    with the other, so both meet on an equal subset of that size. A large set, which
+    would have too many (a set of 30 tokens has 86 million), scans the inverted lists of
+    its first (size - o + 1) tokens, where o is the least overlap it can have with a set
+    that is not larger; those lists hold its partners, small or large, by their first
+    tokens. A token that is among more than ``hot_rows`` sets has no list of its own:
+    where the first shared token is such a one, sets meet on the first two.
+
+    Sets are sent to the buckets of their subsets, tokens and pairs of tokens, about
+    ``bucket_rows`` rows each. A bucket that has more than four times as many, because
+    very many sets share a signature, is divided by set, and its parts are compared part
+    against part. Within a bucket sets meet in slices of bounded size, and are cut by size
+    and by a 128-bit bitmap that bounds the overlap from above; what is left of all
+    buckets is cut by the exact similarity. Tokens that are not whole numbers are
+    compared by 64-bit hash.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -108,9 +112,14 @@ def similar_sets(
     members = recs.select("id", "right", "h1", "h2").distinct().join(sets.select("h1", "h2", "set_id"), ["h1", "h2"]).select("set_id", "id", "right")
     plan = _Prefixes(threshold, max_small, hot_rows, max(12, -(-sets.count() * 12 // bucket_rows)))
     ordered = _by_rarity(sets, plan)
-    spread = ordered.select(F.explode("buckets").alias("bucket"), "set_id", "size", "hot", "prefix", "b0", "b1")
     kind = ordered.schema["set_id"].dataType.simpleString()
-    found = spread.groupBy("bucket").applyInArrow(_meeting(plan), f"set_id_p {kind}, set_id_i {kind}").distinct()
+    rows = ordered.select(F.explode("buckets").alias("bucket"), "set_id", "size", "hot", "prefix", "b0", "b1")
+    full = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("parts")).where(F.col("parts") > 4)
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(materialize(full, "full-buckets")), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("set_id"), parts).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, "part").alias("lo"), F.greatest(k, "part").alias("hi")))
+    spread = rows.withColumn("c", F.explode(cell)).select("bucket", "c.lo", "c.hi", "part", "set_id", "size", "hot", "prefix", "b0", "b1")
+    found = spread.groupBy("bucket", "lo", "hi").applyInArrow(_meeting(plan), f"set_id_p {kind}, set_id_i {kind}").distinct()
 
     side = lambda s: ordered.select(F.col("set_id").alias(f"set_id_{s}"), F.col("o").alias(f"o_{s}"))
     exact = found.join(side("p"), "set_id_p").join(side("i"), "set_id_i")
@@ -144,16 +153,42 @@ class _Prefixes:
     def small(self, n: np.ndarray) -> np.ndarray:
         return n <= self.max_small
 
-    def tiny(self, n: np.ndarray) -> np.ndarray:
-        """Sets that may share a single token only, and so no subset of two."""
-        return n <= math.floor(1 / self.threshold)
-
     def partner(self, n: np.ndarray) -> np.ndarray:
         """Sets that may be similar to a large one."""
         return n >= math.ceil((self.max_small + 1) * self.threshold - 1e-9)
 
+    def shared(self, n: int) -> int:
+        """Tokens that a set of n must share with one that is not larger."""
+        return max(1, math.ceil(self.threshold * n - 1e-9))
+
+    def subset_sizes(self, n: int) -> list[int]:
+        """Of a small set as the smaller of two, its own size as the larger one first."""
+        larger = range(n, min(self.max_small, math.floor(n / self.threshold + 1e-9)) + 1)
+        return list(dict.fromkeys(c for m in larger if (c := self.shared(m)) <= n))
+
+    def reach(self, n: np.ndarray, subset: int) -> np.ndarray:
+        """Length of the prefix that holds the first (two) tokens shared: small sets are the smaller ones of such pairs."""
+        return np.where(self.small(n), self.smaller(n, subset), self.larger(n, subset))
+
     def length(self, n: np.ndarray) -> np.ndarray:
-        return np.where(self.small(n), self.larger(n, 2), self.larger(n, 1))
+        """Tokens of which the codes are needed: all of a small set."""
+        return np.where(self.small(n), n, self.larger(n, 2))
+
+    def subsets(self, n: np.ndarray, code: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signature, row and whether it is one of the row as the larger set, of all threshold-sized subsets of the small sets."""
+        keys, rows, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for size in range(1, self.max_small + 1):
+            row = np.flatnonzero(n == size)
+            for j, c in enumerate(self.subset_sizes(size)) if len(row) else []:
+                chosen = np.array(list(itertools.combinations(range(size), c)))
+                h = np.full((len(row), len(chosen)), c, np.int64)
+                with np.errstate(over="ignore"):
+                    for place in range(c):
+                        h = (h ^ (h >> np.int64(31))) * np.int64(0x2545F4914F6CDD1D) + code[start[row][:, None] + chosen[None, :, place]]
+                keys.append((h & np.int64((1 << 62) - 1)).ravel())
+                rows.append(np.repeat(row, len(chosen)))
+                own.append(np.full(h.size, j == 0))
+        return tuple(np.concatenate(x) for x in (keys, rows, own))
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         """Of a token's code, or of two codes in one number."""
@@ -207,13 +242,13 @@ def _by_rarity(sets: DataFrame, plan: _Prefixes, counters: int = 1 << 18) -> Dat
             length = plan.length(n)
             kept = at < length[row]
             cold = np.bincount(row, weights=kept & (df <= plan.hot_rows), minlength=len(n)).astype(np.int64)
-            # signatures: a token and any later one, or a token alone; those of hot tokens are spread by both
-            alone = plan.partner(n) | plan.tiny(n) | ~plan.small(n)
-            single = kept & ((at < cold[row]) | alone[row])
-            pair = np.flatnonzero(kept & (at >= cold[row]) & plan.small(n)[row])
-            entry, later = _later(length, row[pair], at[pair])
-            both = (code[pair[entry]] << 32) | code[start[row[pair[entry]]] + later]
-            where = np.unique(np.r_[row[single] * plan.buckets + plan.bucket(code[single]), row[pair[entry]] * plan.buckets + plan.bucket(both)])
+            one = np.flatnonzero((at < plan.reach(n, 1)[row]) & (plan.partner(n) | ~plan.small(n))[row])
+            hot = one[at[one] >= cold[row[one]]]
+            single = one[at[one] < cold[row[one]]]
+            entry, later = _later(plan.reach(n, 2), row[hot], at[hot])
+            both = (code[hot[entry]] << 32) | code[start[row[hot[entry]]] + later]
+            keys, owner, _ = plan.subsets(n, code, start)
+            where = np.unique(np.r_[row[single] * plan.buckets + plan.bucket(code[single]), row[hot[entry]] * plan.buckets + plan.bucket(both), owner * plan.buckets + plan.bucket(keys)])
             nested = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
             size = n.astype(np.int32) * 2 + batch.column("only_right").to_numpy(zero_copy_only=False).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -231,8 +266,8 @@ def _meeting(plan: _Prefixes):
     share = plan.threshold / (1 + plan.threshold)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        ids = table["set_id"].combine_chunks()
+        bucket, lo, hi = (k.as_py() for k in key)
+        ids, part = table["set_id"].combine_chunks(), table["part"].to_numpy()
         size, hot = table["size"].to_numpy().astype(np.int64), table["hot"].to_numpy().astype(np.int64)
         n, right = size >> 1, (size & 1).astype(bool)
         b0, b1 = (table[c].to_numpy().view(np.uint64) for c in ("b0", "b1"))
@@ -241,44 +276,48 @@ def _meeting(plan: _Prefixes):
         length = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         row, start = np.repeat(np.arange(len(n)), length), np.cumsum(length) - length
         at = np.arange(len(code)) - start[row]
-        here = plan.bucket(code) == bucket
-        # two-token subsets of small sets
-        first = np.flatnonzero(plan.small(n)[row] & (here | (at >= hot[row])))
-        entry, later = _later(length, row[first], at[first])
-        first = first[entry]
-        both = (code[first] << 32) | code[start[row[first]] + later]
-        mine = (at[first] < hot[row[first]]) | (plan.bucket(both) == bucket)
-        keys, owner = [both[mine]], [row[first[mine]]]
-        probe, index = [np.ones(int(mine.sum()), bool)], [later[mine] < plan.smaller(n, 2)[row[first[mine]]]]
-        # inverted lists: large sets scan those of their partners, and tiny ones each other's
-        look = (~plan.small(n) | plan.tiny(n))[row] & (at < plan.larger(n, 1)[row])
-        listed = (plan.partner(n) | plan.tiny(n))[row] & (at < plan.smaller(n, 1)[row])
-        one = np.flatnonzero(here & (look | listed))
-        keys.append(-1 - code[one])
-        owner.append(row[one])
-        probe.append(look[one])
-        index.append(listed[one])
-        keys, owner, probe, index = (np.concatenate(x) for x in (keys, owner, probe, index))
-        order = np.argsort(keys, kind="stable")
-        keys, owner, probe, index = keys[order], owner[order], probe[order], index[order]
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        reach = np.diff(np.r_[edge, len(keys)])
-        group = np.repeat(np.arange(len(edge)), reach)
         by_id = np.empty(len(ids), np.int64)
         by_id[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(ids))
-        source = np.flatnonzero(index & (reach[group] > 1))
-        work = np.cumsum(reach[group[source]])
         out = [np.zeros(0, np.int64)]
-        for part in np.split(source, np.searchsorted(work, np.arange(2_000_000, work[-1], 2_000_000))) if len(source) else []:
-            count = reach[group[part]]
-            i = owner[np.repeat(part, count)]
-            other = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edge[group[part]], count)
-            p = owner[other]
-            ok = probe[other] & ((n[i] < n[p]) | ((n[i] == n[p]) & (by_id[i] < by_id[p]))) & ~(right[i] & right[p])
-            i, p = i[ok], p[ok]
-            apart = np.bitwise_count(b0[i] ^ b0[p]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[p])
-            ok = (n[i] >= np.ceil(n[p] * plan.threshold - 1e-9)) & (n[i] + n[p] - apart >= 2 * np.ceil((n[i] + n[p]) * share - 1e-9))
-            out.append(np.unique(p[ok] * len(ids) + i[ok]))
+
+        def meet(keys: np.ndarray, owner: np.ndarray, probe: np.ndarray, index: np.ndarray) -> None:
+            """Pairs of a set that probes a key and another one under that key that is not larger."""
+            order = np.argsort(keys, kind="stable")
+            keys, owner, probe, index = keys[order], owner[order], probe[order], index[order]
+            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[edge, len(keys)])
+            group = np.repeat(np.arange(len(edge)), count)
+            source = np.flatnonzero(index & (count[group] > 1))
+            work = np.cumsum(count[group[source]])
+            for some in np.split(source, np.searchsorted(work, np.arange(2_000_000, work[-1], 2_000_000))) if len(source) else []:
+                each = count[group[some]]
+                i = owner[np.repeat(some, each)]
+                other = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(edge[group[some]], each)
+                p = owner[other]
+                ok = probe[other] & ((n[i] < n[p]) | ((n[i] == n[p]) & (by_id[i] < by_id[p]))) & ~(right[i] & right[p]) & (n[i] >= np.ceil(n[p] * plan.threshold - 1e-9))
+                if lo != hi:
+                    ok &= part[i] != part[p]
+                i, p = i[ok], p[ok]
+                apart = np.bitwise_count(b0[i] ^ b0[p]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[p])
+                ok = n[i] + n[p] - apart >= 2 * np.ceil((n[i] + n[p]) * share - 1e-9)
+                out.append(np.unique(p[ok] * len(ids) + i[ok]))
+
+        # threshold-sized subsets of small sets
+        keys, owner, own = plan.subsets(n, code, start)
+        here = plan.bucket(keys) == bucket
+        meet(keys[here], owner[here], own[here], np.ones(int(here.sum()), bool))
+        # inverted lists, which large sets scan: of tokens, and of pairs of tokens where the first is hot
+        one = np.flatnonzero((at < plan.reach(n, 1)[row]) & (plan.partner(n) | ~plan.small(n))[row])
+        large, listed = ~plan.small(n), plan.smaller(n, 1)
+        single = one[(at[one] < hot[row[one]]) & (plan.bucket(code[one]) == bucket)]
+        meet(code[single], row[single], large[row[single]], at[single] < listed[row[single]])
+        first = one[at[one] >= hot[row[one]]]
+        entry, later = _later(plan.reach(n, 2), row[first], at[first])
+        first = first[entry]
+        both = (code[first] << 32) | code[start[row[first]] + later]
+        mine = plan.bucket(both) == bucket
+        first, both, later = first[mine], both[mine], later[mine]
+        meet(both, row[first], large[row[first]], (at[first] < listed[row[first]]) & (later < plan.smaller(n, 2)[row[first]]))
         pairs = np.unique(np.concatenate(out))
         return pa.table({"set_id_p": ids.take(pa.array(pairs // max(1, len(ids)))), "set_id_i": ids.take(pa.array(pairs % max(1, len(ids))))})
 

@@ -26,7 +26,7 @@ def _brute(a, b, threshold, least):
     return {(min(i, j), max(i, j)) for (i, s, r), (j, t, q) in itertools.combinations(sets, 2) if not (r and q) and i != j and len(s & t) / len(s | t) >= threshold}
 
 
-@pytest.mark.parametrize("threshold,least,max_small,hot,bucket", [(0.6, 8, 64, 50_000, 100_000), (0.6, 8, 12, 50_000, 50), (0.6, 1, 64, 3, 100), (0.4, 1, 10, 5, 200), (0.9, 2, 20, 50_000, 100), (1.0, 1, 8, 2, 30)])
+@pytest.mark.parametrize("threshold,least,max_small,hot,bucket", [(0.6, 8, 12, 50_000, 100_000), (0.6, 8, 14, 50_000, 50), (0.6, 1, 6, 3, 100), (0.4, 1, 10, 5, 200), (0.9, 2, 20, 50_000, 100), (1.0, 1, 8, 2, 30), (0.6, 1, 12, 2, 3), (0.6, 1, 0, 10, 5), (0.3, 1, 9, 50_000, 2)])
 def test_against_brute_force(spark, threshold, least, max_small, hot, bucket):
     rng = random.Random(int(threshold * 10) + max_small)
     every = _families(rng, 260, 400, 1, 24) + _families(rng, 30, 400, 60, 90)
