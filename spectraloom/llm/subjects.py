@@ -147,21 +147,21 @@ def subject_areas(
     speech = _speech(bags, several, hash_bits) if known else None
     setup = _Setup(hash_bits, several, held_out, min_density, doubt, sharing, speech)
     telling = _telling(bags, setup, untelling)
-    active = np.flatnonzero(telling > 0)
+    told = np.flatnonzero(telling > 0)
+    active = _Active(told.astype(np.int32), telling[told].astype(np.float32))
 
     def train(setup: _Setup) -> _Model:
         model = None
         for _ in range(rounds + 1):
-            counts = _expected(bags, model, telling, active, c, setup)
+            counts = _expected(bags, model, active, c, setup)
             model = _complement(counts, active, setup, smoothing)
         return model
 
-    kind = "doc_id long, mask long, words long, shares array<double>"
     some = bags.where(F.col("mask").isNotNull() & _is_held(F.col("doc_id"), held_out))
-    held = materialize(some.mapInArrow(_shares(bags, train(setup), telling, active, c, setup), kind), "held-out")
+    held = _shares(some, train(setup), active, c, setup, "held-out")
     slopes, midpoints = _calibrate(held, c, least)
     whole = replace(setup, held_out=0.0)
-    shares = materialize(bags.mapInArrow(_shares(bags, train(whole), telling, active, c, whole), kind), "shares")
+    shares = _shares(bags, train(whole), active, c, whole, "shares")
     return Subjects(shares.select("doc_id", "words", "shares"), names, slopes, midpoints, held)
 
 
@@ -247,10 +247,11 @@ class _Batch:
         self.lang = batch.column("lang").to_numpy().astype(np.int64)
         self.lang[self.lang < 0] = setup.several - 1
         if setup.speech is not None:
-            row, weight = setup.speech
-            key = np.unique(self.entry_doc * len(row) + self.word)
-            key = key[row[key % len(row)] >= 0]
-            doc, at = key // len(row), row[key % len(row)]
+            words, weight = setup.speech
+            at = np.minimum(np.searchsorted(words, self.word), len(words) - 1) if len(words) else np.zeros(len(self.word), np.int64)
+            on = words[at] == self.word if len(words) else np.zeros(len(self.word), bool)
+            key = np.unique(self.entry_doc[on] * max(1, len(words)) + at[on])
+            doc, at = key // max(1, len(words)), key % max(1, len(words))
             score = np.stack([np.bincount(doc, weights=weight[at, k], minlength=self.docs) for k in range(setup.several)], 1)
             spoken = np.bincount(doc, minlength=self.docs) > 0
             self.lang = np.where(spoken, score.argmax(1), self.lang)
@@ -281,16 +282,14 @@ def _document_counts(bags: DataFrame, setup: _Setup) -> tuple[np.ndarray, np.nda
 
 
 def _speech(bags: DataFrame, several: int, hash_bits: int, common: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """How the words that at least ``common`` of some language's documents contain tell the languages, by the documents' own entries: row of a word, or -1, and weights."""
+    """How the words that at least ``common`` of some language's documents contain tell the languages, by the documents' own entries: those words, rising, and their weights."""
     docs, df = _document_counts(bags, _Setup(hash_bits, several, 0.0, 0.0, 0.0, 0.0, None))
     part = (df.reshape(several, -1).T + 0.5) / (docs + 1.0)
     part[:, docs < 1] = 1e-9  # nobody's language
     words = np.flatnonzero((part[:, :-1] >= common).any(1))
-    row = np.full(len(part), -1, np.int64)
-    row[words] = np.arange(len(words))
     weight = np.log(part[words])
     weight[:, -1] = np.minimum(weight[:, -1], weight[:, :-1].max(1) - 0.1)  # documents without an entry are not a language of their own
-    return row, weight
+    return words, weight
 
 
 def _telling(bags: DataFrame, setup: _Setup, untelling: tuple[float, float]) -> np.ndarray:
@@ -308,12 +307,25 @@ class _Model:
     evident: np.ndarray
 
 
-def _posterior(b: _Batch, model: _Model, telling: np.ndarray, row: np.ndarray, min_density: float) -> np.ndarray:
+@dataclass(frozen=True)
+class _Active:
+    """The features that tell anything: their numbers, rising, and how much; nothing else is sent to the tasks."""
+
+    feature: np.ndarray
+    telling: np.ndarray
+
+    def rows(self, features: int) -> np.ndarray:
+        row = np.full(features, -1, np.int32)
+        row[self.feature] = np.arange(len(self.feature))
+        return row
+
+
+def _posterior(b: _Batch, model: _Model, active: _Active, row: np.ndarray, min_density: float) -> np.ndarray:
     """Posteriors of all sections of a batch; rows of 0 for sections about no subject."""
-    t = telling[b.feature]
-    on = t > 0
-    section, at = b.section[on], row[b.feature[on]]
-    x, w = np.minimum(b.n[on], 3) * t[on], model.weights[at]
+    at = row[b.feature]
+    on = at >= 0
+    section, at = b.section[on], at[on]
+    x, w = np.minimum(b.n[on], 3) * active.telling[at], model.weights[at]
     s = np.stack([np.bincount(section, weights=x * w[:, k], minlength=len(b.words)) for k in range(w.shape[1])], 1)
     s = np.exp(s - s.max(1, keepdims=True))
     evidence = np.bincount(section, weights=b.n[on] * model.evident[at], minlength=len(b.words))
@@ -321,47 +333,44 @@ def _posterior(b: _Batch, model: _Model, telling: np.ndarray, row: np.ndarray, m
     return s
 
 
-def _expected(bags: DataFrame, model: _Model | None, telling: np.ndarray, active: np.ndarray, c: int, setup: _Setup) -> np.ndarray:
+def _expected(bags: DataFrame, model: _Model | None, active: _Active, c: int, setup: _Setup) -> np.ndarray:
     """Expected counts (active features, subjects): from the labels alone at first, then from the model."""
-    shared = bags.sparkSession.sparkContext.broadcast((model, telling, _rows(active, len(telling))))
+    shared = bags.sparkSession.sparkContext.broadcast((model, active))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, telling, row = shared.value
-        total = np.zeros((int(row.max(initial=-1)) + 1, c))
+        model, active = shared.value
+        row, total = active.rows(setup.features), np.zeros((len(active.feature), c))
         for batch in batches:
             b = _Batch(batch, setup)
             asked = ((b.mask[:, None] >> np.arange(c)) & 1).astype(np.float64)
             if model is None:
                 r = asked[b.doc]
             else:
-                r = _posterior(b, model, telling, row, setup.min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, setup.doubt), 1.0)[b.doc]
+                r = _posterior(b, model, active, row, setup.min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, setup.doubt), 1.0)[b.doc]
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-            on = telling[b.feature] > 0
-            x, at = np.minimum(b.n[on], 3) * telling[b.feature[on]], row[b.feature[on]]
+            at = row[b.feature]
+            on = at >= 0
+            at, section = at[on], b.section[on]
+            x = np.minimum(b.n[on], 3) * active.telling[at]
             for k in range(c):
-                total[:, k] += np.bincount(at, weights=x * r[b.section[on], k], minlength=len(total))
+                total[:, k] += np.bincount(at, weights=x * r[section, k], minlength=len(total))
         own = np.flatnonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(total[own, k]) for k in range(c))], ["row", *(f"n{k}" for k in range(c))])
 
     cols = [f"n{k}" for k in range(c)]
     got = bags.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in cols)).groupBy("row").agg(*(F.sum(x).alias(x) for x in cols)).toPandas()
-    out = np.zeros((len(active), c))
+    shared.destroy()
+    out = np.zeros((len(active.feature), c))
     out[got["row"].to_numpy(np.int64)] = got[cols].to_numpy(np.float64).round(6)
     return out
 
 
-def _rows(active: np.ndarray, features: int) -> np.ndarray:
-    row = np.full(features, -1, np.int64)
-    row[active] = np.arange(len(active))
-    return row
-
-
-def _complement(counts: np.ndarray, active: np.ndarray, setup: _Setup, smoothing: float) -> _Model:
+def _complement(counts: np.ndarray, active: _Active, setup: _Setup, smoothing: float) -> _Model:
     """Weights of complement naive Bayes, each language by itself: minus the log of a word's part in all other subjects.
 
     A word is evidence if, all subjects being equally large, at least half of its use is in one.
     """
-    word, lang = active & ((1 << setup.hash_bits) - 1), active >> setup.hash_bits
+    word, lang = active.feature & ((1 << setup.hash_bits) - 1), active.feature >> setup.hash_bits
     everywhere = np.zeros((1 << setup.hash_bits, counts.shape[1]))
     np.add.at(everywhere, word, counts)
     counts = counts + setup.sharing * (everywhere[word] - counts)
@@ -373,24 +382,28 @@ def _complement(counts: np.ndarray, active: np.ndarray, setup: _Setup, smoothing
             evident[at] = rate.max(1) * 2 >= np.maximum(rate.sum(1), 1e-12)
             others = counts[at].sum(1, keepdims=True) - counts[at] + smoothing
             out[at] = -np.log(others / others.sum(0, keepdims=True))
-    return _Model(out, evident)
+    return _Model(out.astype(np.float32), evident)
 
 
-def _shares(bags: DataFrame, model: _Model, telling: np.ndarray, active: np.ndarray, c: int, setup: _Setup):
-    shared = bags.sparkSession.sparkContext.broadcast((model, telling, _rows(active, len(telling))))
+def _shares(bags: DataFrame, model: _Model, active: _Active, c: int, setup: _Setup, name: str) -> DataFrame:
+    """``doc_id, mask, words, shares``, written to the shared folder."""
+    shared = bags.sparkSession.sparkContext.broadcast((model, active))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, telling, row = shared.value
+        model, active = shared.value
+        row = active.rows(setup.features)
         for batch in batches:
             b = _Batch(batch, setup)
-            r = _posterior(b, model, telling, row, setup.min_density)
+            r = _posterior(b, model, active, row, setup.min_density)
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
             words = np.bincount(b.doc, weights=b.words, minlength=b.docs)
             share = np.stack([np.bincount(b.doc, weights=b.words * r[:, k], minlength=b.docs) for k in range(c)], 1) / words[:, None]
             ends = pa.array((np.arange(b.docs + 1) * c).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.ids, batch.column("mask"), pa.array(words.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(share.ravel()))], ["doc_id", "mask", "words", "shares"])
 
-    return run
+    done = materialize(bags.mapInArrow(run, "doc_id long, mask long, words long, shares array<double>"), name)
+    shared.destroy()
+    return done
 
 
 def _calibrate(held: DataFrame, c: int, least: float) -> tuple[list[float], list[float]]:
