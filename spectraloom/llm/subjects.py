@@ -149,6 +149,7 @@ def subject_areas(
     telling = _telling(bags, setup, untelling)
     told = np.flatnonzero(telling > 0)
     active = _Active(told.astype(np.int32), telling[told].astype(np.float32))
+    bags = _compact(bags, active, setup)
 
     def train(setup: _Setup) -> _Model:
         model = None
@@ -228,16 +229,13 @@ def _bags(hash_bits: int):
 
 
 class _Batch:
-    """A batch of bags in flat arrays: ``feature, n, section`` of the entries, ``doc, words`` of the sections."""
+    """A batch of bags in flat arrays: ``feature, n, section`` of the entries, ``doc, words`` of the sections, ``lang`` of the documents."""
 
     def __init__(self, batch: pa.RecordBatch, setup: _Setup) -> None:
         flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
         length = lambda name: batch.column(name).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.docs = batch.num_rows
         self.ids = batch.column("doc_id")
-        number = self.ids.to_numpy()
-        held = ((number % 1_000_003) * 7919 + number % 997) % 1000 < int(setup.held_out * 1000)
-        self.mask = np.where(held, 0, batch.column("mask").fill_null(0).to_numpy())  # of those that train
         self.words = flat("words").astype(np.float64)
         self.doc = np.repeat(np.arange(self.docs), length("words"))
         self.section = np.repeat(np.arange(len(self.words)), flat("distinct"))
@@ -301,7 +299,7 @@ def _telling(bags: DataFrame, setup: _Setup, untelling: tuple[float, float]) ->
 
 @dataclass(frozen=True)
 class _Model:
-    """Weights of the active features for each subject, and which features are evidence of one."""
+    """Weights (subjects, active features), and which features are evidence of a subject."""
 
     weights: np.ndarray
     evident: np.ndarray
@@ -314,53 +312,82 @@ class _Active:
     feature: np.ndarray
     telling: np.ndarray
 
-    def rows(self, features: int) -> np.ndarray:
-        row = np.full(features, -1, np.int32)
-        row[self.feature] = np.arange(len(self.feature))
-        return row
 
+def _compact(bags: DataFrame, active: _Active, setup: _Setup) -> DataFrame:
+    """The bags with the active features only, by their place among them: what the passes read."""
+    shared = bags.sparkSession.sparkContext.broadcast(active.feature)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.full(setup.features, -1, np.int32)
+        row[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            b = _Batch(batch, setup)
+            at = row[b.feature]
+            on = at >= 0
+            ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            per_doc = ends(np.bincount(b.entry_doc[on], minlength=b.docs))
+            lists = [pa.ListArray.from_arrays(per_doc, pa.array(x[on].astype(np.int32))) for x in (at, b.n)]
+            distinct = pa.ListArray.from_arrays(ends(np.bincount(b.doc, minlength=b.docs)), pa.array(np.bincount(b.section[on], minlength=len(b.words)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.ids, batch.column("mask"), batch.column("words"), distinct, *lists], ["doc_id", "mask", "words", "distinct", "at", "n"])
+
+    done = materialize(bags.mapInArrow(run, "doc_id long, mask long, words array<int>, distinct array<int>, at array<int>, n array<int>"), "compact-bags")
+    shared.destroy()
+    return done
+
+
+class _Entries:
+    """A batch of compact bags: ``at, n, section`` of the entries, ``doc, words`` of the sections."""
 
-def _posterior(b: _Batch, model: _Model, active: _Active, row: np.ndarray, min_density: float) -> np.ndarray:
+    def __init__(self, batch: pa.RecordBatch, setup: _Setup) -> None:
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        self.docs, self.ids = batch.num_rows, batch.column("doc_id")
+        number = self.ids.to_numpy()
+        held = ((number % 1_000_003) * 7919 + number % 997) % 1000 < int(setup.held_out * 1000)
+        self.mask = np.where(held, 0, batch.column("mask").fill_null(0).to_numpy())  # of those that train
+        self.words = flat("words").astype(np.float64)
+        self.doc = np.repeat(np.arange(self.docs), batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
+        self.section = np.repeat(np.arange(len(self.words)), flat("distinct"))
+        self.at, self.n = flat("at"), flat("n")
+
+
+def _posterior(b: _Entries, model: _Model, telling: np.ndarray, min_density: float) -> np.ndarray:
     """Posteriors of all sections of a batch; rows of 0 for sections about no subject."""
-    at = row[b.feature]
-    on = at >= 0
-    section, at = b.section[on], at[on]
-    x, w = np.minimum(b.n[on], 3) * active.telling[at], model.weights[at]
-    s = np.stack([np.bincount(section, weights=x * w[:, k], minlength=len(b.words)) for k in range(w.shape[1])], 1)
+    x = np.minimum(b.n, 3) * telling[b.at]
+    s = np.stack([np.bincount(b.section, weights=x * w[b.at], minlength=len(b.words)) for w in model.weights], 1)
     s = np.exp(s - s.max(1, keepdims=True))
-    evidence = np.bincount(section, weights=b.n[on] * model.evident[at], minlength=len(b.words))
+    evidence = np.bincount(b.section, weights=b.n * model.evident[b.at], minlength=len(b.words))
     s[evidence < min_density * b.words] = 0
     return s
 
 
 def _expected(bags: DataFrame, model: _Model | None, active: _Active, c: int, setup: _Setup) -> np.ndarray:
     """Expected counts (active features, subjects): from the labels alone at first, then from the model."""
-    shared = bags.sparkSession.sparkContext.broadcast((model, active))
+    shared = bags.sparkSession.sparkContext.broadcast((model, active.telling))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, active = shared.value
-        row, total = active.rows(setup.features), np.zeros((len(active.feature), c))
+        model, telling = shared.value
+        total = np.zeros((c, len(telling)))
         for batch in batches:
-            b = _Batch(batch, setup)
+            b = _Entries(batch, setup)
             asked = ((b.mask[:, None] >> np.arange(c)) & 1).astype(np.float64)
             if model is None:
                 r = asked[b.doc]
             else:
-                r = _posterior(b, model, active, row, setup.min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, setup.doubt), 1.0)[b.doc]
+                r = _posterior(b, model, telling, setup.min_density) * np.where(b.mask[:, None] > 0, np.maximum(asked, setup.doubt), 1.0)[b.doc]
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-            at = row[b.feature]
-            on = at >= 0
-            at, section = at[on], b.section[on]
-            x = np.minimum(b.n[on], 3) * active.telling[at]
+            x = np.minimum(b.n, 3) * telling[b.at]
             for k in range(c):
-                total[:, k] += np.bincount(at, weights=x * r[section, k], minlength=len(total))
-        own = np.flatnonzero(total.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(total[own, k]) for k in range(c))], ["row", *(f"n{k}" for k in range(c))])
+                part = np.ascontiguousarray(r[:, k])
+                if part.any():
+                    total[k] += np.bincount(b.at, weights=x * part[b.section], minlength=len(telling))
+        own = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(total[k, own]) for k in range(c))], ["row", *(f"n{k}" for k in range(c))])
 
     cols = [f"n{k}" for k in range(c)]
-    got = bags.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in cols)).groupBy("row").agg(*(F.sum(x).alias(x) for x in cols)).toPandas()
+    source = bags.where(F.col("mask").isNotNull()) if model is None else bags  # at first only labelled documents count
+    got = source.mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in cols)).groupBy("row").agg(*(F.sum(x).alias(x) for x in cols)).toPandas()
     shared.destroy()
-    out = np.zeros((len(active.feature), c))
+    out = np.zeros((len(active.telling), c))
     out[got["row"].to_numpy(np.int64)] = got[cols].to_numpy(np.float64).round(6)
     return out
 
@@ -382,19 +409,18 @@ def _complement(counts: np.ndarray, active: _Active, setup: _Setup, smoothing: f
             evident[at] = rate.max(1) * 2 >= np.maximum(rate.sum(1), 1e-12)
             others = counts[at].sum(1, keepdims=True) - counts[at] + smoothing
             out[at] = -np.log(others / others.sum(0, keepdims=True))
-    return _Model(out.astype(np.float32), evident)
+    return _Model(np.ascontiguousarray(out.T.astype(np.float32)), evident)
 
 
 def _shares(bags: DataFrame, model: _Model, active: _Active, c: int, setup: _Setup, name: str) -> DataFrame:
     """``doc_id, mask, words, shares``, written to the shared folder."""
-    shared = bags.sparkSession.sparkContext.broadcast((model, active))
+    shared = bags.sparkSession.sparkContext.broadcast((model, active.telling))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, active = shared.value
-        row = active.rows(setup.features)
+        model, telling = shared.value
         for batch in batches:
-            b = _Batch(batch, setup)
-            r = _posterior(b, model, active, row, setup.min_density)
+            b = _Entries(batch, setup)
+            r = _posterior(b, model, telling, setup.min_density)
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
             words = np.bincount(b.doc, weights=b.words, minlength=b.docs)
             share = np.stack([np.bincount(b.doc, weights=b.words * r[:, k], minlength=b.docs) for k in range(c)], 1) / words[:, None]
