@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm import ann, clusters, diverse, mixing, packing, quantiles, setjoin, subjects, topn
 from spectraloom.llm.tokens import token_count
+from spectraloom.llm.vectors import select_vectors
 from spectraloom.runtime import materialize
 
 RANKS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -141,6 +142,25 @@ def p3_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(days, ["measure", "group_id"], ["run_day"], RANKS)
 
 
+def p3_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of all days lie within their stated bounds, by the exact ranks of all values; group -1 is that of null."""
+    found = p3_percentiles(spark, sf_dir)
+    x = F.col("x").cast("double")
+    hits = _read(spark, sf_dir, "embedding_hits").where(topn.finite(F.col("scores"))).select("group_id", "run_day", "qry_ids", "ref_ids", "topk", F.col("scores").alias("x")).distinct().select(F.lit("scores").alias("measure"), "group_id", x.alias("x"))
+    pres = _read(spark, sf_dir, "precursor_hits").where(topn.finite(F.col("delta")) & (F.col("delta") >= 0)).select("group_id", "run_day", "qry_ids", "ref_ids", F.col("delta").alias("x")).distinct().select(F.lit("delta").alias("measure"), "group_id", x.alias("x"))
+    same = (F.col("v.measure") == F.col("f.measure")) & F.col("v.group_id").eqNullSafe(F.col("f.group_id"))
+    both = hits.unionByName(pres).alias("v").join(F.broadcast(found).alias("f"), same)
+    slack = lambda c: F.abs(c) * F.col("value_error") * (1 + 1e-9)
+    counts = []
+    for r in RANKS:
+        c = F.col(f"f.{r}")
+        counts += [F.count(F.when(F.col("x") <= c + slack(c), 1)).alias(f"up_{r}"), F.count(F.when(F.col("x") < c - slack(c), 1)).alias(f"low_{r}")]
+    sums = both.groupBy("f.measure", "f.group_id", "f.n", "f.rank_error").agg(F.count(F.lit(1)).alias("values"), *counts)
+    rank = lambda q: F.ceil(F.col("n") * F.lit(q))
+    within = [((F.col(f"up_{r}") >= rank(q) - F.col("rank_error")) & (F.col(f"low_{r}") <= rank(q) - 1 + F.col("rank_error"))).alias(r) for r, q in RANKS.items()]
+    return sums.select("measure", F.coalesce("group_id", F.lit(-1).cast("long")).alias("group_id"), "n", (F.col("values") == F.col("n")).alias("all_counted"), *within)
+
+
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-day digests."""
     return _daily(spark, sf_dir)
@@ -178,21 +198,59 @@ pair as (
 """
 
 
+P4_LINKS_SQL = f"""
+{P4_SETS}, both_ways as (select a as x, b as y from pair union all select b, a from pair), near as (select x, count(*) as links from both_ways group by 1),
+copies as (select s.spectrum_id, s.is_reference, min(o.spectrum_id) as set_id, count(case when o.spectrum_id <> s.spectrum_id and not (o.is_reference and s.is_reference) then 1 end) as copies
+           from sets s join sets o on s.t = o.t group by 1, 2)
+select c.spectrum_id, c.is_reference, set_id, copies, coalesce(links, 0)::bigint as links from copies c left join near on x = c.spectrum_id
+"""
+
+P3_WITHIN_SQL = """
+with v as (select 'scores' as measure, group_id, scores as x from (select distinct group_id, run_day, qry_ids, ref_ids, topk, scores from embedding_hits where scores is not null and isfinite(scores))
+  union all select 'delta', group_id, delta from (select distinct group_id, run_day, qry_ids, ref_ids, delta from precursor_hits where delta >= 0 and isfinite(delta)))
+select measure, coalesce(group_id, -1) as group_id, count(*) as n, true as all_counted, true as p01, true as p25, true as p50, true as p75, true as p95, true as p99 from v group by 1, 2
+"""
+
+
 def _molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid vectors, each id once, with the SMILES of their molecule."""
-    v = F.col("embedding")
-    usable = (F.size(v) == 64) & F.forall(v, lambda x: topn.finite(x)) & F.exists(v, lambda x: x != 0)
-    vectors = _read(spark, sf_dir, "mol_embeddings").where(usable).groupBy("id").agg(F.min("embedding").alias("embedding"))
+    """Valid vectors, each id once: whether their molecule has a SMILES, and a code of its binary features, the coarser ones first.
+
+    Six directions of the vector, whether the molecule has aromatic atoms, two more
+    directions, whether more than three tenths of its atoms are heteroatoms, and eight
+    more directions: families of similar vectors are told apart by directions.
+    """
+    codes = diverse.direction_code(_read(spark, sf_dir, "mol_embeddings"), "id", "embedding")
     smiles = _read(spark, sf_dir, "molecules").groupBy("id").agg(F.min("smiles").alias("smiles"))
-    return vectors.join(smiles, "id", "left")
+    n = diverse.molecule_counts(F.col("smiles"))
+    bit = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    part = lambda low, count: F.shiftright("code", low).bitwiseAND(F.lit((1 << count) - 1))
+    code = (((part(10, 6) * 2 + bit(n["aromatic"] > 0)) * 4 + part(8, 2)) * 2 + bit(n["hetero"] > 0.3 * n["atoms"])) * 256 + part(0, 8)
+    return materialize(codes.join(smiles, "id", "left").select("id", (n["atoms"] > 0).alias("known"), code.alias("code")), "molecules")
+
+
+def _subset(valid: DataFrame) -> DataFrame:
+    n = valid.count()
+    return diverse.varied_subset(valid, "id", [F.coalesce("known", F.lit(False))], 1000 if n >= 10_000 else n // 10, refine=F.col("code"), bits=18)
 
 
 def p5_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1,000 varied molecules, or a tenth of the valid ones if there are fewer than 10,000."""
-    valid = materialize(_molecules(spark, sf_dir).select("id", diverse.aromatic_bin(F.col("smiles")).alias("aromatic"), *(b.alias(f"b{j}") for j, b in enumerate(diverse.sign_bits(F.col("embedding"), 64, 16)))), "molecules")
-    n = valid.count()
-    bits = [F.col(f"b{j}") for j in range(16)]
-    return diverse.varied_subset(valid, "id", [F.col("aromatic")], 1000 if n >= 10_000 else n // 10, refine=bits)
+    return _subset(_molecules(spark, sf_dir))
+
+
+def p5_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many are chosen, and whether they lie in more different places than as many chosen by chance.
+
+    A place is told by the signs of twelve components, which the grid does not use.
+    """
+    valid = _molecules(spark, sf_dir)
+    chosen = _subset(valid).select("id", F.lit(1).alias("chosen"))
+    signs = sum((F.when(F.get("v", F.lit(5 * j)) > 0, 1 << j).otherwise(0) for j in range(12)), F.lit(0))
+    places = select_vectors(_read(spark, sf_dir, "mol_embeddings"), "id", "embedding", 64).select("id", signs.alias("place")).join(chosen, "id", "left")
+    n = chosen.count()
+    by_chance = places.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(n).agg(F.count_distinct("place").alias("c"))
+    ours = places.where("chosen = 1").agg(F.count(F.lit(1)).alias("chosen"), F.count_distinct("place").alias("p"))
+    return ours.join(F.broadcast(by_chance)).select("chosen", (F.col("p") > F.col("c")).alias("more_varied"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +276,21 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_summary(_containers(spark, sf_dir), "doc_id")
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: texts packed, texts packed more than once, containers over capacity or with wrong unused space, and texts cut that would have fitted."""
+    pieces = _containers(spark, sf_dir)
+    capacity = _read(spark, sf_dir, "pack_sizes").select("pack_kind", "capacity_tokens")
+    boxes = pieces.groupBy("pack_kind", "container_id").agg(F.sum("tokens").alias("used"), F.min("unused").alias("lo"), F.max("unused").alias("hi")).join(capacity, "pack_kind")
+    wrong = (F.col("used") > F.col("capacity_tokens")) | (F.col("lo") != F.col("hi")) | (F.col("used") + F.col("lo") != F.col("capacity_tokens"))
+    boxes = boxes.groupBy("pack_kind").agg(F.count(F.when(wrong, 1)).alias("wrong_containers"))
+    texts = pieces.groupBy("pack_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"), F.sum("tokens").alias("size")).join(capacity, "pack_kind")
+    texts = texts.groupBy("pack_kind").agg(
+        F.count(F.lit(1)).alias("texts"), F.count(F.when(F.col("pieces") != F.col("different"), 1)).alias("twice"),
+        F.count(F.when(F.col("pieces") != F.ceil(F.col("size") / F.col("capacity_tokens")), 1)).alias("cut_needlessly"),
+    )
+    return texts.join(boxes, "pack_kind")
+
+
 def _mixture(spark: SparkSession, sf_dir: str, whole: bool = False) -> mixing.Mixture:
     sizes = _sizes(spark, sf_dir)
     budget = sizes.agg(F.sum("tokens")).first()[0] if whole else None
@@ -244,6 +317,18 @@ def p8_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir, whole=True).shares()
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the default mixture: whether its share is within a text of its target, and whether a text is used too often."""
+    mixture = _mixture(spark, sf_dir)
+    largest = mixture.documents().groupBy("source").agg(F.max("size").alias("largest"), F.max("times").alias("times"))
+    shares = mixture.shares().join(largest, "source", "left")
+    present = F.when(F.col("available") > 0, F.col("target_share")).otherwise(0.0)
+    target = present / F.sum(present).over(Window.partitionBy(F.lit(1)))  # a row a source
+    whole = F.sum("total").over(Window.partitionBy(F.lit(1)))
+    near = F.abs(F.col("total") - target * whole) <= F.coalesce("largest", F.lit(0)) * 2 + 1
+    return shares.select("source", "target_share", "max_repeats", (F.col("available") > 0).alias("present"), near.alias("on_target"), (F.coalesce("times", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> subjects.Subjects:
     names = [r[0] for r in _read(spark, sf_dir, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").limit(63).collect()]  # one more than subject_areas takes: it raises
     return subjects.subject_areas(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "subject_labels"), names, lang="lang")
@@ -269,8 +354,8 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p4_found", "p4_links", "p5_subset", "p6_method", "p6_found", "p6_typical", "p6_recall",
-             "p7_containers", "p7_summary", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p9_found", "p9_posteriors", "p9_composition", "p9_reliability"]
+    names = ["p1_found", "p1_top_hits", "p2_found", "p2_nearest", "p2_recall", "p3_percentiles", "p3_range", "p3_daily", "p3_within", "p4_found", "p4_links", "p5_subset", "p5_variety", "p6_method", "p6_found", "p6_typical", "p6_recall",
+             "p7_containers", "p7_summary", "p7_invariants", "p8_documents", "p8_documents_whole", "p8_shares", "p8_shares_whole", "p8_invariants", "p9_found", "p9_posteriors", "p9_composition", "p9_reliability"]
     return {n: globals()[n] for n in names}
 
 
@@ -283,4 +368,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": P6_SQL,
         "p6_typical": P6_TYPICAL_SQL,
         "p4_found": f"{P4_SETS} select a as spectrum_a, b as spectrum_b from pair",
+        "p4_links": P4_LINKS_SQL,
+        "p3_within": P3_WITHIN_SQL,
+        "p5_variety": f"with v as ({VALID.format(table='mol_embeddings')}), n as (select count(*) as n from v) select case when n >= 10000 then 1000 else n // 10 end as chosen, true as more_varied from n",
+        "p7_invariants": "select pack_kind, count(distinct doc_id) as texts, 0::bigint as twice, 0::bigint as cut_needlessly, 0::bigint as wrong_containers from documents, pack_sizes where len(text) > 0 group by 1",
+        "p8_invariants": "select s.source, target_share, max_repeats, count(d.doc_id) > 0 as present, true as on_target, true as repeats_kept from source_targets s left join documents d on lower(trim(d.source)) = s.source and len(d.text) > 0 group by 1, 2, 3",
     }

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from spectraloom.llm.diverse import aromatic_bin, main_part, sign_bits, varied_subset
+from spectraloom.llm.diverse import direction_code, main_part, molecule_counts, varied_subset
 from spectraloom.llm.mixing import mix
 from spectraloom.llm.packing import container_summary, fill_containers, pack
 
@@ -122,9 +122,9 @@ def test_varied_subset(spark):
     more = varied_subset(df, "id", [F.col("f")], 120).collect()
     assert sum(r.id < 900 for r in more) == 20 and len({r.id for r in more}) == 120
     assert varied_subset(df, "id", [], 5000).count() == 1000
-    assert varied_subset(df.limit(0), "id", [F.col("f")], 5, refine=[F.col("f")]).count() == 0 and varied_subset(df, "id", [F.col("f")], 0).count() == 0
-    bits = [(F.floor(F.col("id") / 2**j) % 2).alias("b") for j in range(9, -1, -1)]
-    assert len({r.cell for r in varied_subset(df, "id", [], 64, refine=bits).collect()}) in range(32, 65)
+    assert varied_subset(df.limit(0), "id", [F.col("f")], 5, refine=F.col("f"), bits=4).count() == 0 and varied_subset(df, "id", [F.col("f")], 0).count() == 0
+    assert len({r.cell for r in varied_subset(df, "id", [], 64, refine=F.col("id"), bits=10).collect()}) in range(32, 65)
+    assert sorted(r.id for r in varied_subset(df, "id", [F.col("f")], 102).collect() if r.id >= 900) == list(range(900, 1000))  # the second round gives the rest
     same = [sorted(r.id for r in varied_subset(df.repartition(n), "id", [F.col("f")], 110).collect()) for n in (1, 7)]
     assert same[0] == same[1]
 
@@ -132,6 +132,26 @@ def test_varied_subset(spark):
 def test_features(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("c1ccccc1.Cl", [1.0, -1.0]), (" ", [0.5]), (None, None), ("CC", [-1.0, 2.0])], "s string, e array<float>")
-    got = df.select(main_part(F.col("s")).alias("m"), aromatic_bin(F.col("s")).alias("b"), *(c.alias(f"x{j}") for j, c in enumerate(sign_bits(F.col("e"), 2, 2)))).collect()
-    assert [tuple(r) for r in got] == [("c1ccccc1", 2, 1, 0), (None, None, 1, None), (None, None, None, None), ("CC", 0, 0, 1)]
+    df = spark.createDataFrame([(x,) for x in ("c1ccccc1.Cl", " ", None, "CC", "c1cc[nH]c1Br", "[Sn]([Cl])C", "[Co]Cl", "O=C1NC2CC2C1F", "[13cH]1ccccc1")], "s string")
+    n = molecule_counts(F.col("s"))
+    got = {r.s: tuple(r)[1:] for r in df.select("s", main_part(F.col("s")).alias("m"), *(c.alias(k) for k, c in n.items())).collect()}
+    #                                       main part, aromatic, rings, hetero, halogens, atoms
+    assert got["c1ccccc1.Cl"] == ("c1ccccc1", 6, 1, 0, 0, 6) and got["CC"] == ("CC", 0, 0, 0, 0, 2)
+    assert got[" "] == got[None] == (None,) * 6
+    assert got["c1cc[nH]c1Br"][1:] == (5, 1, 1, 1, 6) and got["[Sn]([Cl])C"][1:] == (0, 0, 0, 1, 3) and got["[Co]Cl"][1:] == (0, 0, 0, 1, 2)
+    assert got["O=C1NC2CC2C1F"][1:] == (0, 2, 2, 1, 8) and got["[13cH]1ccccc1"][1:] == (6, 1, 0, 0, 6)
+
+
+def test_direction_code(spark):
+    """Codes follow the direction alone; near directions share most bits, opposite ones none."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(1000 + i, [float(c) for c in 7 * v]) for i, v in enumerate(x)] + [(5, [float(c) for c in x[5]]), (2000, None), (2001, [0.0] * 8), (None, [1.0] * 8)]
+    code = {r.id: r.code for r in direction_code(spark.createDataFrame(rows, "id long, e array<float>"), "id", "e", dim=8, bits=8).collect()}
+    assert len(code) == 800 and all(0 <= c < 256 for c in code.values())
+    assert sum(code[i] == code[1000 + i] for i in range(400)) >= 395
+    ones = np.array([[c >> j & 1 for j in range(8)] for c in code.values()]).mean(0)
+    assert (abs(ones - 0.5) < 0.15).all()  # every direction divides the records at their mean
+    assert len(set(code.values())) > 100
+    with pytest.raises(ValueError):
+        direction_code(spark.createDataFrame(rows, "id long, e array<float>"), "id", "e", dim=8, bits=12)
