@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom import schema as S
+from spectraloom.functions.smiles import smiles_formula
 
 
 def _same_length(what: str, *fields: Sequence | None) -> int:
@@ -75,12 +76,12 @@ def molecules(df: DataFrame, *, inchi_to_smiles: Callable[[Column], Column] | No
     """``id, smiles, inchi, formula`` of a table with an id and any of the others.
 
     A missing SMILES is taken from the InChI by the given function, if there is one; a
-    missing formula from the formula layer of the InChI.
+    missing formula from the formula layer of the InChI, or else from the SMILES.
     """
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     smiles = F.coalesce(have("smiles"), inchi_to_smiles(have("inchi"))) if inchi_to_smiles else have("smiles")
     layer = F.regexp_extract(have("inchi"), r"^InChI=1S?/([A-Za-z0-9]+)", 1)
-    return df.select("id", smiles.alias("smiles"), have("inchi").alias("inchi"), F.coalesce(have("formula"), F.when(layer != "", layer)).alias("formula"))
+    return df.select("id", smiles.alias("smiles"), have("inchi").alias("inchi"), F.coalesce(have("formula"), F.when(layer != "", layer), smiles_formula(smiles)).alias("formula"))
 
 
 def explode_peaks(spectra: DataFrame, id: str = "spectrum_id") -> DataFrame:

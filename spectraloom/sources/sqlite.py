@@ -27,9 +27,12 @@ def _name(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def save_tables(path: str, tables: Mapping[str, DataFrame], *, if_exists: str = "replace", chunk_rows: int = 2048) -> None:
+def save_tables(path: str, tables: Mapping[str, DataFrame], *, if_exists: str = "replace", chunk_rows: int = 2048, max_rows: int = 5_000_000) -> None:
     """Write all tables in one transaction; rows stream through the driver in chunks.
 
+    All pass through the driver into one file, so a table of more than ``max_rows`` rows
+    is refused, and nothing is written; Parquet is the format for those.
+
     ``if_exists`` is 'replace', 'append' or 'fail'. Nested columns are written as JSON.
     """
     if if_exists not in ("replace", "append", "fail"):
@@ -47,7 +50,11 @@ def save_tables(path: str, tables: Mapping[str, DataFrame], *, if_exists: str =
             if not exists or if_exists == "replace":
                 con.execute(f"create table {_name(name)} ({', '.join(f'{_name(f.name)} {_affinity(f.dataType)}' for f in plain.schema)})")
             marks = ", ".join("?" * len(plain.columns))
+            written = 0
             for chunk in _chunks(plain, chunk_rows):
+                written += len(chunk)
+                if written > max_rows:
+                    raise ValueError(f"table {name} has more than {max_rows} rows")
                 con.executemany(f"insert into {_name(name)} values ({marks})", chunk)
         con.execute("commit")
     except BaseException:
@@ -83,13 +90,15 @@ def list_tables(path: str, *, system: bool = False) -> list[str]:
     return [n for n in names if system or not n.startswith("sqlite_")]
 
 
-def load_table(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
-    """A table of a SQLite file; JSON cells become the nested types of ``schema``."""
+def load_table(spark: SparkSession, path: str, name: str, schema: T.StructType, *, max_rows: int = 5_000_000) -> DataFrame:
+    """A table of a SQLite file; JSON cells become the nested types of ``schema``. One of more than ``max_rows`` rows, which the driver would hold, is refused."""
     con = sqlite3.connect(path)
     try:
-        rows = con.execute(f"select {', '.join(_name(f.name) for f in schema)} from {_name(name)}").fetchall()
+        rows = con.execute(f"select {', '.join(_name(f.name) for f in schema)} from {_name(name)}").fetchmany(max_rows + 1)
     finally:
         con.close()
+    if len(rows) > max_rows:
+        raise ValueError(f"table {name} has more than {max_rows} rows")
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else T.LongType() if isinstance(f.dataType, (T.IntegralType, T.BooleanType)) else T.DoubleType() if isinstance(f.dataType, T.FractionalType) else T.BinaryType() if isinstance(f.dataType, T.BinaryType) else T.StringType()) for f in schema])
     return decode_nested(spark.createDataFrame(rows, flat), schema)

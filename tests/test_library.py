@@ -52,6 +52,39 @@ def test_store_and_sqlite(spark, rows, library, tmp_path):
         Library.load_sqlite(spark, str(tmp_path / "lib.db"), ["spectra"])
 
 
+def test_fragments_from_formulas(spark, rows, library):
+    """Fragments without a row of the mass itself, or with one for some records only: the formula takes its place."""
+    bare = Library({"molecules": library["molecules"], "fragments": library["fragments"].where("adducts = '[M+H]+'").withColumn("rt", F.lit(1.5))}, "bare")
+    got = {r.id: (r.mz, r.rt) for r in bare.with_adducts(["[M+Na]+"])["fragments"].where("adducts = '[M+Na]+'").collect()}
+    assert set(got) == {1, 2, 3} and got[1] == (pytest.approx(203.05261, abs=1e-4), 1.5) and got[2][0] is None
+    some = Library({"molecules": library["molecules"], "fragments": library["fragments"].where("id = 1")}, "some")
+    assert rows(some.with_adducts(["[M+Na]+"])["fragments"].where("adducts = '[M+Na]+'"), "id") == [(1,), (2,), (3,)]
+    with pytest.raises(ValueError):
+        Library({"embeddings": library["embeddings"]}).with_adducts(["[M+H]+"])
+
+
+def test_manifest_of_several_libraries(spark, library, tmp_path):
+    path = str(tmp_path / "lib")
+    library.save(path)
+    more = [("other", "molecules", library["molecules"].schema.json())]
+    spark.createDataFrame(more, "library string, block string, schema string").write.mode("append").parquet(f"{path}/_manifest.parquet")
+    with pytest.warns(UserWarning, match="several|libraries"):
+        back = Library.load(spark, path)
+    assert back.name in ("mine", "other")
+
+
+def test_sqlite_is_for_small_tables(spark, tmp_path):
+    path = str(tmp_path / "small.db")
+    df = spark.range(10)
+    with pytest.raises(ValueError, match="more than 9 rows"):
+        sqlite.save_tables(path, {"t": df}, max_rows=9)
+    assert sqlite.list_tables(path) == []  # nothing was written
+    sqlite.save_tables(path, {"t": df}, max_rows=10)
+    assert sqlite.load_table(spark, path, "t", df.schema, max_rows=10).count() == 10
+    with pytest.raises(ValueError, match="more than 9 rows"):
+        sqlite.load_table(spark, path, "t", df.schema, max_rows=9)
+
+
 def test_sqlite_tables(spark, rows, tmp_path):
     path = str(tmp_path / "x.db")
     df = spark.createDataFrame([(1, [1.0, 2.0], {"a": 1}, True, None)], "id long, xs array<double>, m map<string,int>, b boolean, n string")
@@ -94,12 +127,16 @@ def test_molecules_and_nested(spark, rows):
 
     df = spark.createDataFrame([(1, "CC", "InChI=1S/C2H6/c1-2"), (2, None, "InChI=1S/H2O"), (3, None, None)], "id long, smiles string, inchi string")
     assert rows(ingest.molecules(df), "id", "smiles", "formula") == [(1, "CC", "C2H6"), (2, None, "H2O"), (3, None, None)]
+    assert rows(ingest.molecules(df.drop("inchi")), "id", "formula") == [(1, "C2H6"), (2, None), (3, None)]  # from the SMILES
     assert rows(ingest.molecules(df, inchi_to_smiles=lambda c: F.concat(F.lit("of "), c)), "smiles") == [("CC",), ("of InChI=1S/H2O",), (None,)]
     nested = spark.createDataFrame([(1, [[3, 1], [2]]), (2, [[5]]), (3, [])], "id long, x array<array<int>>")
     flat = flatten(nested, ["id"], "x", levels=2)
     assert rows(flat) == [(1, 0, 0, 3), (1, 0, 1, 1), (1, 1, 0, 2), (2, 0, 0, 5)]
     back = {r.id: r.value for r in restructure(flat, ["id"], levels=2).collect()}
     assert back == {1: [[3, 1], [2]], 2: [[5]]}
+    holes = spark.createDataFrame([(1, [[], [2], []]), (2, []), (3, [[]]), (4, None), (5, [[None, 7]])], "id long, x array<array<int>>")
+    whole = flatten(holes, ["id"], "x", levels=2, keep_empty=True)
+    assert {r.id: r.value for r in restructure(whole, ["id"], levels=2).collect()} == {1: [[], [2], []], 2: [], 3: [[]], 4: [], 5: [[None, 7]]}
     with pytest.raises(Exception, match="another length"):
         restructure(flat.withColumn("n", F.lit(7)), ["id"], levels=2, lengths="n").collect()
 
