@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -51,8 +53,8 @@ def _xlog(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log2(np.where(x > 0, x, 1.0)), 0.0)
 
 
-def entropy_block(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], tolerance: float, ppm: bool = False) -> np.ndarray:
-    """Similarities of all cleaned spectra of two lists; a spectrum without peaks has 0 to all."""
+def matched_sums(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], tolerance: float, ppm: bool, gain: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of ``gain(p, q)`` over the peaks of two spectra that agree within the tolerance, for all spectra of two lists; m/z must rise."""
     out = np.zeros((len(left), len(right)))
     if not left or not right:
         return out
@@ -60,13 +62,20 @@ def entropy_block(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[n
     mz_r, p_r = np.concatenate([m for m, _ in right]), np.concatenate([p for _, p in right])
     order = np.argsort(mz_r, kind="stable")
     owner_r, mz_r, p_r = owner_r[order], mz_r[order], p_r[order]
-    for i, (mz, p) in enumerate(left):
-        width = mz * tolerance * 1e-6 if ppm else np.full(len(mz), tolerance)
-        lo, hi = np.searchsorted(mz_r, mz - width, "left"), np.searchsorted(mz_r, mz + width, "right")
-        size = hi - lo
-        if not size.sum():
-            continue
-        at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        a, b = np.repeat(p, size), p_r[at]
-        out[i] = np.bincount(owner_r[at], weights=_xlog(a + b) - _xlog(a) - _xlog(b), minlength=len(right)) / 2
-    return np.clip(out, 0.0, 1.0)
+    owner = np.repeat(np.arange(len(left)), [len(m) for m, _ in left])
+    mz, p = np.concatenate([m for m, _ in left]), np.concatenate([p for _, p in left])
+    width = mz * tolerance * 1e-6 if ppm else np.full(len(mz), tolerance)
+    low, high = np.searchsorted(mz_r, mz - width, "left"), np.searchsorted(mz_r, mz + width, "right")
+    size = high - low
+    some = np.searchsorted(np.cumsum(size), np.arange(2_000_000, size.sum(), 2_000_000)) if len(size) else np.zeros(0, np.int64)
+    for part in np.split(np.arange(len(mz)), some):  # some million matches at a time
+        n = size[part]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
+        cell = np.repeat(owner[part], n) * len(right) + owner_r[at]
+        out += np.bincount(cell, weights=gain(np.repeat(p[part], n), p_r[at]), minlength=out.size).reshape(out.shape)
+    return out
+
+
+def entropy_block(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], tolerance: float, ppm: bool = False) -> np.ndarray:
+    """Similarities of all cleaned spectra of two lists; a spectrum without peaks has 0 to all."""
+    return np.clip(matched_sums(left, right, tolerance, ppm, lambda a, b: _xlog(a + b) - _xlog(a) - _xlog(b)) / 2, 0.0, 1.0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.peaks import PPM_FLOOR, delta
+from spectraloom.runtime import materialize
 from spectraloom.schema import require
 
 
@@ -99,12 +100,15 @@ def _bucketed(q: DataFrame, r: DataFrame, qb: Column, rb: Column, test: Column)
 def co_occurrence(hits: DataFrame, threshold: int, *, per_query: bool = False, distinct_adducts: bool = False, on: Sequence[str] = ()) -> DataFrame:
     """Hits whose reference has at least ``threshold`` hits, or different adducts among them.
 
-    Counted over all queries (of a group ``on``), or per query and reference.
+    Counted over all queries (of a group ``on``), or per query and reference. Above a
+    threshold of 1 the hits are written to the shared folder, so that the join that made
+    them runs once for the count and the result.
     """
     if threshold < 1:
         raise ValueError("threshold must be at least 1")
     if threshold == 1:
         return hits
+    hits = materialize(hits, "hits")
     keys = [*on, *(["qry_ids"] if per_query else []), "ref_ids"]
     count = F.count_distinct("adducts") if distinct_adducts else F.count(F.lit(1))
     enough = hits.groupBy(*keys).agg(count.alias("n")).where(F.col("n") >= threshold).select(*keys)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.peaks import within
+from spectraloom.runtime import materialize
 from spectraloom.schema import require
 
 
@@ -160,8 +161,13 @@ def _connected(pattern: Sequence[tuple[int, int, int]]) -> list[tuple[int, int,
 
 
 def search_patterns(peaks: DataFrame, losses: DataFrame, patterns: dict[int, Sequence[tuple[int, int, int]]], loss_tolerance: float = 0.1, *, id: str = "spectrum_id", node_mz: dict[int, dict[int, float]] | None = None, tolerance: float = 3.0, unit: str = "ppm") -> DataFrame:
-    """``id, pattern_id`` of all patterns found in all spectra."""
+    """``id, pattern_id`` of all patterns found in all spectra.
+
+    The edges are derived once and, for more than one pattern, written to the shared folder.
+    """
     edges = loss_edges(peaks, losses, loss_tolerance, id=id, loops=any(a == b for p in patterns.values() for a, b, _ in p))
+    if len(patterns) > 1:
+        edges = materialize(edges, "loss-edges")
     out = None
     for number, pattern in patterns.items():
         hit = match_pattern(edges, pattern, id=id, nodes=peaks, node_mz=(node_mz or {}).get(number), tolerance=tolerance, unit=unit)

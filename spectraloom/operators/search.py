@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -11,6 +13,7 @@ from spectraloom.operators import similarity, views
 from spectraloom.operators.bandjoin import co_occurrence, mz_join
 from spectraloom.operators.binning import POOLS, bin_spectra, n_bins
 from spectraloom.operators.patterns import search_patterns
+from spectraloom.operators.similarity import SpectrumMetric
 from spectraloom.schema import require
 
 
@@ -76,19 +79,49 @@ class EmbeddingSearcher:
         return Hits(similarity.top_k(qry, ref, similarity.vector_scorer(self.metric), self.top_k, decimals=self.decimals))
 
 
+@dataclass(frozen=True)
+class EmbeddingSimilarity:
+    """Scores of all pairs of query and reference vectors ``id, embedding``, within the groups ``on`` if there are any."""
+
+    metric: str | VectorMetric = "cosine"
+    decimals: int | None = None
+
+    def run(self, qry: DataFrame, ref: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+        return similarity.all_pairs(qry, ref, similarity.vector_scorer(self.metric), on=on, decimals=self.decimals)
+
+
+@dataclass(frozen=True)
+class SpectrumSimilarity:
+    """Scores of all pairs of spectra ``id, peaks`` by a spectrum metric: a registered one with ``options`` over its defaults, or the caller's own."""
+
+    metric: str | SpectrumMetric = "spectral_entropy"
+    options: Mapping[str, Any] = field(default_factory=dict)
+    decimals: int | None = None
+
+    def run(self, qry: DataFrame, ref: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+        return similarity.all_pairs(qry, ref, similarity.spectrum_scorer(self.metric, **self.options), value="peaks", on=on, decimals=self.decimals)
+
+
 @dataclass(frozen=True)
 class SpectrumSearcher:
-    """The ``top_k`` most similar spectra by spectral entropy."""
+    """The ``top_k`` most similar spectra by a spectrum metric, spectral entropy unless another is named.
+
+    ``tolerance``, ``ppm`` and ``clean_spectra`` are those of spectral entropy; any
+    metric takes its ``options``.
+    """
 
     tolerance: float = 0.02
     ppm: float = -1.0
     clean_spectra: bool = True
     top_k: int | None = None
     decimals: int | None = None
+    metric: str | SpectrumMetric = "spectral_entropy"
+    options: Mapping[str, Any] = field(default_factory=dict)
 
-    def run(self, qry: DataFrame, ref: DataFrame) -> Hits:
-        scorer = similarity.entropy_scorer(self.tolerance, self.ppm, self.clean_spectra)
-        return Hits(similarity.top_k(qry, ref, scorer, self.top_k, value="peaks", decimals=self.decimals))
+    def run(self, qry: DataFrame, ref: DataFrame, on: Sequence[str] = ()) -> Hits:
+        own = {"tolerance": self.tolerance, "ppm": self.ppm, "clean_spectra": self.clean_spectra} if self.metric == "spectral_entropy" else {}
+        scorer = similarity.spectrum_scorer(self.metric, **{**own, **self.options})
+        return Hits(similarity.top_k(qry, ref, scorer, self.top_k, value="peaks", on=on, decimals=self.decimals))
 
 
 @dataclass(frozen=True)

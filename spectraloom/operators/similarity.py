@@ -8,23 +8,38 @@ again, so neither side is broadcast or gathered and only winners are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spectraloom.functions.entropy import clean, entropy_block
+from spectraloom.functions.entropy import clean, entropy_block, matched_sums
 from spectraloom.functions.vectors import VectorMetric, metric
+from spectraloom.runtime import materialize
 from spectraloom.schema import require
 
 #: Scores that a task computes at once.
 SLICE = 1 << 22
 
-Scorer = Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray]
+@dataclass(frozen=True)
+class Scorer:
+    """``score`` compares two columns of prepared values, giving a matrix; ``prepare`` makes those of a raw column, once a row, before rows are copied to blocks.
+
+    ``prepare`` maps a column to arrays or structs of arrays of the type ``prepared``.
+    """
+
+    score: Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray]
+    prepare: Callable[[pa.Array], pa.Array] | None = None
+    prepared: str = ""
+
+    def __call__(self, a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+        return self.score(a, b)
 
 
 def vector_scorer(which: str | VectorMetric) -> Scorer:
@@ -34,22 +49,96 @@ def vector_scorer(which: str | VectorMetric) -> Scorer:
         lists = column.combine_chunks()
         return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
-    return lambda q, r: block(matrix(q), matrix(r))
+    return Scorer(lambda q, r: block(matrix(q), matrix(r)))
 
 
-def entropy_scorer(tolerance: float = 0.02, ppm: float = -1.0, clean_spectra: bool = True) -> Scorer:
-    """Spectral entropy similarity of peak lists; a ``ppm`` above 0 takes the place of the Da tolerance."""
-
-    def spectra(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for peaks in column.to_pylist():
-            mz = np.array([np.nan if p is None or p["mz"] is None else p["mz"] for p in peaks], float)
-            x = np.array([np.nan if p is None or p["intensity"] is None else p["intensity"] for p in peaks], float)
-            gap = 2 * tolerance if ppm <= 0 else 2e-6 * ppm * float(np.nanmax(mz, initial=0.0))
-            out.append(clean(mz, x, gap if clean_spectra else 0.0, 0.01 if clean_spectra else 0.0))
+def binned_scorer(which: str | VectorMetric = "cosine", bins: int = 950) -> Scorer:
+    """Vectors given by their non-empty bins, ``array<struct<bin, value>>``; they are dense only within a task, some at a time."""
+    block = metric(which).block
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        flat = lists.flatten()
+        out = np.zeros((len(lists), bins))
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        out[row, flat.field("bin").to_numpy(zero_copy_only=False)] = flat.field("value").to_numpy(zero_copy_only=False)
         return out
 
-    return lambda q, r: entropy_block(spectra(q), spectra(r), ppm if ppm > 0 else tolerance, ppm > 0)
+    return Scorer(lambda q, r: block(matrix(q), matrix(r)))
+
+
+Peaks = tuple[np.ndarray, np.ndarray]
+
+
+@dataclass(frozen=True)
+class SpectrumMetric:
+    """``prepare(mz, intensity)`` makes a spectrum ready, once; ``block`` compares all spectra of two lists."""
+
+    name: str
+    prepare: Callable[[np.ndarray, np.ndarray], Peaks]
+    block: Callable[[list[Peaks], list[Peaks]], np.ndarray]
+
+
+def entropy_metric(tolerance: float = 0.02, ppm: float = -1.0, clean_spectra: bool = True) -> SpectrumMetric:
+    """Spectral entropy similarity; a ``ppm`` above 0 takes the place of the Da tolerance."""
+
+    def prepare(mz: np.ndarray, x: np.ndarray) -> Peaks:
+        gap = 2 * tolerance if ppm <= 0 else 2e-6 * ppm * float(np.nanmax(mz, initial=0.0))
+        return clean(mz, x, gap if clean_spectra else 0.0, 0.01 if clean_spectra else 0.0)
+
+    return SpectrumMetric("spectral_entropy", prepare, lambda q, r: entropy_block(q, r, ppm if ppm > 0 else tolerance, ppm > 0))
+
+
+def peak_cosine_metric(tolerance: float = 0.02, power: float = 0.5) -> SpectrumMetric:
+    """Cosine of intensities, raised to ``power``, of the peaks that agree within ``tolerance`` Da."""
+
+    def prepare(mz: np.ndarray, x: np.ndarray) -> Peaks:
+        ok = np.isfinite(mz) & np.isfinite(x) & (mz > 0) & (x > 0)
+        order = np.argsort(mz[ok], kind="stable")
+        w = x[ok][order] ** power
+        return mz[ok][order], w / max(float(np.sqrt((w * w).sum())), 1e-300)
+
+    return SpectrumMetric("peak_cosine", prepare, lambda q, r: np.clip(matched_sums(q, r, tolerance, False, lambda a, b: a * b), 0.0, 1.0))
+
+
+#: Spectrum metrics by name; each takes its own options.
+SPECTRUM_METRICS: dict[str, Callable[..., SpectrumMetric]] = {"spectral_entropy": entropy_metric, "peak_cosine": peak_cosine_metric}
+
+
+def spectrum_metric(which: str | SpectrumMetric, **options) -> SpectrumMetric:
+    """A registered metric with the caller's options over its defaults, or the caller's own."""
+    if isinstance(which, SpectrumMetric):
+        return which
+    if which not in SPECTRUM_METRICS:
+        raise ValueError(f"unknown spectrum metric {which!r}; known: {sorted(SPECTRUM_METRICS)}")
+    return SPECTRUM_METRICS[which](**options)
+
+
+def spectrum_scorer(which: str | SpectrumMetric = "spectral_entropy", **options) -> Scorer:
+    """Peak lists compared by a spectrum metric; each is prepared once."""
+    own = spectrum_metric(which, **options)
+
+    def prepare(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        mz, x = (np.asarray(flat.field(f).to_numpy(zero_copy_only=False), np.float64) for f in ("mz", "intensity"))
+        ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        done = [own.prepare(mz[i:j], x[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+        at = pa.array(np.r_[0, np.cumsum([len(m) for m, _ in done])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0), *(d[k] for d in done)]))) for k in (0, 1)]
+        return pa.StructArray.from_arrays(lists, ["mz", "p"])
+
+    def spectra(column: pa.ChunkedArray) -> list[Peaks]:
+        rows = column.combine_chunks()
+        mz, p = rows.field("mz"), rows.field("p")
+        ends = np.r_[0, np.cumsum(mz.value_lengths().to_numpy(zero_copy_only=False))]
+        m, x = (c.flatten().to_numpy(zero_copy_only=False) for c in (mz, p))
+        return [(m[i:j], x[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+
+    return Scorer(lambda q, r: own.block(spectra(q), spectra(r)), prepare, "struct<mz:array<double>,p:array<double>>")
+
+
+def entropy_scorer(tolerance: float = 0.02, ppm: float = -1.0, clean_spectra: bool = True) -> Scorer:
+    return spectrum_scorer("spectral_entropy", tolerance=tolerance, ppm=ppm, clean_spectra=clean_spectra)
 
 
 def all_pairs(qry: DataFrame, ref: DataFrame, scorer: Scorer, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 4096) -> DataFrame:
@@ -77,28 +166,97 @@ def rank(scored: DataFrame, k: int | None, on: Sequence[str] = ()) -> DataFrame:
     return ranked.select(*on, "qry_ids", "ref_ids", F.col("topk").cast("long").alias("topk"), "scores")
 
 
-def top_k_candidates(qry: DataFrame, ref: DataFrame, candidates: DataFrame, which: str | VectorMetric, k: int | None, *, decimals: int | None = None) -> DataFrame:
-    """As ``top_k``, each query meeting only its listed references, by equality joins; unknown ids are ignored."""
-    listed = candidates.select("qry_ids", "ref_ids").distinct()
-    q = qry.select(F.col("id").alias("qry_ids"), F.col("embedding").alias("a"))
-    r = ref.select(F.col("id").alias("ref_ids"), F.col("embedding").alias("b"))
-    score = metric(which).expr(F.col("a"), F.col("b"))
-    pairs = q.join(listed, "qry_ids").join(r, "ref_ids").select("qry_ids", "ref_ids", (score if decimals is None else F.round(score, decimals)).alias("scores"))
-    return rank(pairs.where(F.col("scores").isNotNull()), k)
+def top_k_candidates(qry: DataFrame, ref: DataFrame, candidates: DataFrame, which: str | VectorMetric, k: int | None, *, decimals: int | None = None, block_rows: int = 2048) -> DataFrame:
+    """As ``top_k``, each query meeting only its listed references; unknown ids are ignored, repeated pairs count once.
+
+    Both sides are cut into blocks by a hash of the id; the listed pairs of a pair of
+    blocks go to the task that holds both blocks, so a vector is sent once to each block
+    that it has a candidate in, however many it has there, and norms are computed once.
+    """
+    block = metric(which).block
+    nq, nr = (max(1, -(-df.count() // block_rows)) for df in (qry, ref))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    listed = candidates.select("qry_ids", "ref_ids").where(F.col("qry_ids").isNotNull() & F.col("ref_ids").isNotNull())
+    # written once, as pairs and vectors both need it: candidates can come from a join
+    listed = materialize(listed.select("qry_ids", "ref_ids", place("qry_ids", nq).alias("qb"), place("ref_ids", nr).alias("rb")), "candidates")
+
+    kind = listed.schema["ref_ids"].dataType
+
+    def sent(df: DataFrame, own: str, side: int) -> DataFrame:
+        where = listed.select(F.col(own).alias("id"), "qb", "rb").distinct()
+        vectors = df.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("v"))
+        return vectors.join(where, "id").select("qb", "rb", F.lit(side).alias("side"), F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "v")
+
+    pairs = listed.select("qb", "rb", F.lit(2).alias("side"), F.col("qry_ids").alias("a"), F.col("ref_ids").alias("b"), F.lit(None).cast(qry.schema["embedding"].dataType).alias("v"))
+    rows = sent(qry, "qry_ids", 0).unionByName(sent(ref, "ref_ids", 1)).unionByName(pairs)
+    schema = T.StructType([T.StructField("qry_ids", listed.schema["qry_ids"].dataType), T.StructField("ref_ids", listed.schema["ref_ids"].dataType), T.StructField("scores", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def score(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        q, r, p = (table.filter(pa.array(side == s)) for s in (0, 1, 2))
+        if not q.num_rows or not r.num_rows or not p.num_rows:
+            return arrow.empty_table()
+        at = lambda ids, pool: pc.index_in(ids.combine_chunks(), value_set=pool.combine_chunks()).fill_null(-1).to_numpy()
+        i, j = at(p["a"], q["a"]), at(p["b"], r["a"])
+        ok = (i >= 0) & (j >= 0)
+        i, j = i[ok], j[ok]
+        x, y = (_matrix(t["v"]) for t in (q, r))
+        i, j = np.divmod(np.unique(i.astype(np.int64) * len(y) + j), len(y))  # repeated pairs meet here
+        out = np.empty(len(i))
+        step = max(1, SLICE // len(y))
+        for low in range(0, len(x), step):
+            here = slice(*np.searchsorted(i, [low, low + step]))
+            if here.stop > here.start:
+                out[here] = block(x[low : low + step], y)[i[here] - low, j[here]]
+        if decimals is not None:
+            out = np.round(out, decimals) + 0.0
+        if k is not None:  # only the best of a block are sent on
+            ids = r["a"].take(pa.array(j))
+            best = np.lexsort((pc.rank(ids).to_numpy(), -np.where(np.isnan(out), -np.inf, out), i))
+            keep = best[np.arange(len(i)) - np.searchsorted(i, i[best]) < k]
+            i, j, out = i[keep], j[keep], out[keep]
+        return pa.Table.from_arrays([q["a"].take(pa.array(i)).cast(arrow.field(0).type), r["a"].take(pa.array(j)).cast(arrow.field(1).type), pa.array(out)], schema=arrow)
+
+    return rank(rows.groupBy("qb", "rb").applyInArrow(lambda t: score(t), schema), k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _prepared(df: DataFrame, scorer: Scorer, value: str) -> DataFrame:
+    if scorer.prepare is None:
+        return df
+    rest = [c for c in df.columns if c != value]
+    out = T.StructType([*(df.schema[c] for c in rest), T.StructField(value, T._parse_datatype_string(scorer.prepared))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scorer.prepare(batch.column(value))], names=[*rest, value])
+
+    return df.select(*rest, value).mapInArrow(run, out)
 
 
 def _blocks(qry: DataFrame, ref: DataFrame, scorer: Scorer, value: str, on: Sequence[str], k: int | None, decimals: int | None, block_rows: int) -> DataFrame:
     require(qry, ["id", value, *on], "the query table")
     require(ref, ["id", value, *on], "the reference table")
-    nq, nr = (max(1, -(-df.count() // block_rows)) for df in (qry, ref))
 
-    def side(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own)
+    def side(df: DataFrame, own: str, other: str, size: DataFrame) -> DataFrame:
         # new attributes on both sides, as both can be the same table
-        rows = df.where(F.col("id").isNotNull() & F.col(value).isNotNull()).select(*(F.col(c).alias(c) for c in on), F.col("id").alias(f"id_{own}"), F.col(value).alias(f"v_{own}"), block)
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        rows = df.where(F.col("id").isNotNull() & F.col(value).isNotNull()).select(*(F.col(c).alias(c) for c in on), F.col("id").alias(f"id_{own}"), F.col(value).alias(f"v_{own}"))
+        rows = _prepared(rows, scorer, f"v_{own}")
+        rows = rows.join(size, list(on)) if on else rows.withColumns({"n_qb": F.lit(size[0]), "n_rb": F.lit(size[1])})
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(f"id_{own}"), f"n_{own}").cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).drop("n_qb", "n_rb")
 
-    q, r = side(qry, "qb", nq, "rb", nr), side(ref, "rb", nr, "qb", nq)
+    if on:  # as many blocks as each group needs
+        count = lambda df, name: df.groupBy(*(F.col(c).alias(c) for c in on)).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        size = count(qry, "n_qb").join(count(ref, "n_rb"), list(on))
+    else:
+        size = [max(1, -(-df.count() // block_rows)) for df in (qry, ref)]
+    q, r = side(qry, "qb", "rb", size), side(ref, "rb", "qb", size)
     schema = T.StructType([*(q.schema[c] for c in on), T.StructField("qry_ids", q.schema["id_qb"].dataType), T.StructField("ref_ids", r.schema["id_rb"].dataType), T.StructField("scores", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 

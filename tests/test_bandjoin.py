@@ -7,6 +7,7 @@ from spectraloom.operators.bandjoin import co_occurrence, mz_join, peak_overlap
 from spectraloom.operators.search import FragmentSearcher, PrecursorSearcher
 from spectraloom.sources.ingest import candidates, fragments, ions
 
+#: Spectra whose hits are known.
 QUERY = [149.05970595, 277.15869171, 295.1692564, 313.17982108, 373.20095045, 433.22207982, 581.27450931]
 OTHER = [149.05970595, 237.15869171, 295.1692564, 303.17982108, 363.20095045, 423.22207982, 581.27450931]
 

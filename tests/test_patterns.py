@@ -6,6 +6,7 @@ import pytest
 from spectraloom.operators.patterns import loss_edges, match_pattern, search_patterns
 from spectraloom.operators.search import PatternSearch
 
+#: A spectrum whose patterns are known.
 MZ = [149.05970595, 277.15869171, 295.1692564, 313.17982108, 373.20095045, 433.22207982, 581.27450931]
 
 

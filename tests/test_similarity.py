@@ -6,9 +6,10 @@ from spectraloom.functions.entropy import clean, entropy_block
 from spectraloom.functions.vectors import METRICS, metric
 from spectraloom.operators import similarity, views
 from spectraloom.operators.binning import bin_peaks, bin_spectra, densify, n_bins
-from spectraloom.operators.search import EmbeddingSearcher, SpectrumBinning, SpectrumSearcher
+from spectraloom.operators.search import EmbeddingSearcher, EmbeddingSimilarity, SpectrumBinning, SpectrumSearcher, SpectrumSimilarity
 from spectraloom.sources.ingest import candidates, embeddings, explode_peaks, nest_peaks, spectra
 
+#: Reference spectra and the scores expected of them.
 MZ = [149.05970595, 277.15869171, 295.1692564, 313.17982108, 373.20095045, 433.22207982, 581.27450931]
 REFS = [
     (MZ, [0.5, 0.3, 0.4, 0.6, 0.7, 0.8, 1.0]),
@@ -141,3 +142,46 @@ def test_centroiding_ends_at_exact_distances():
         mz = np.sort(100 + 0.02 * rng.integers(0, 60, 40) + rng.choice([0, 1e-15, 0.04], 40))
         joined, p = clean(mz, rng.uniform(0.1, 1, 40), 0.04)
         assert (np.diff(joined) >= 0.04).all() and p.sum() == pytest.approx(1)
+
+
+def test_spectrum_metrics(tables, rows):
+    q, r = (t.withColumnRenamed("spectrum_id", "id") for t in tables)
+    got = {(x.qry_ids, x.ref_ids): x.scores for x in SpectrumSimilarity("peak_cosine").run(q, r).collect()}
+    assert got[0, 0] == pytest.approx(1) and got[0, 3] == 0 and 0 < got[0, 2] < got[0, 1] < 1
+    assert rows(SpectrumSimilarity().run(q, r)) == rows(similarity.all_pairs(q, r, similarity.entropy_scorer(), value="peaks"))
+    wide = SpectrumSimilarity("spectral_entropy", {"tolerance": 200.0, "clean_spectra": False}).run(q, r).collect()
+    assert any(x.scores > 0 for x in wide if x.ref_ids == 3)  # the caller's options go over the defaults
+    own = similarity.SpectrumMetric("peaks in common", lambda mz, x: (np.sort(mz), x), lambda a, b: np.array([[float(len(np.intersect1d(m, n))) for n, _ in b] for m, _ in a]))
+    hits = SpectrumSearcher(metric=own, top_k=2).run(q, r).table
+    assert rows(hits, "qry_ids", "ref_ids", "topk", "scores") == [(i, j, j + 1, 7.0) for i in (0, 1) for j in (0, 1)]
+    with pytest.raises(ValueError):
+        SpectrumSimilarity("no such").run(q, r)
+
+
+def test_embedding_similarity_tool(spark, rows):
+    a = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.5, 0.5], "y"), (None, [1.0, 1.0], "x"), (3, None, "x")], "id long, embedding array<double>, g string")
+    assert rows(EmbeddingSimilarity("dot").run(a, a)) == [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5), (2, 2, 0.5)]
+    assert rows(EmbeddingSimilarity("dot").run(a, a, on=["g"])) == [("x", 1, 1, 1.0), ("y", 2, 2, 0.5)]
+
+
+def test_blocks_follow_the_groups(spark, rows):
+    """Groups of very unequal size are cut into as many blocks as each needs."""
+    rng = np.random.default_rng(4)
+    data = [(i, [float(c) for c in rng.normal(size=4)], 0 if i < 150 else i) for i in range(180)]
+    e = spark.createDataFrame(data, "id long, embedding array<double>, g long")
+    scorer = similarity.vector_scorer("cosine")
+    assert rows(similarity.top_k(e, e, scorer, 3, on=["g"], decimals=6, block_rows=20)) == rows(similarity.top_k(e, e, scorer, 3, on=["g"], decimals=6))
+
+
+def test_candidates_in_blocks(spark, rows):
+    rng = np.random.default_rng(5)
+    e = spark.createDataFrame([(i, [float(c) for c in rng.normal(size=4)]) for i in range(60)], "id long, embedding array<double>")
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 70, (900, 2))]  # repeated pairs and unknown ids
+    listed = spark.createDataFrame([*pairs, *pairs[:50], (None, 1), (1, None)], "qry_ids long, ref_ids long")
+    got = similarity.top_k_candidates(e, e, listed, "cosine", 3, decimals=6, block_rows=7)
+    x = np.array([r.embedding for r in e.orderBy("id").collect()])
+    s = np.round(METRICS["cosine"].block(x, x), 6)
+    want = sorted((a, b, k + 1, s[a, b]) for a in range(60) for k, b in enumerate(sorted({b for c, b in pairs if c == a and b < 60}, key=lambda b: (-s[a, b], b))[:3]))
+    assert rows(got, "qry_ids", "ref_ids", "topk", "scores") == [pytest.approx(w) for w in want]
+    everything = similarity.top_k_candidates(e, e, listed, "cosine", None).count()
+    assert everything == len({p for p in pairs if max(p) < 60})
