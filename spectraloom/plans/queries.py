@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.masses import ADDUCTS, ELECTRON, ELEMENTS, POSITIVE, adduct_mz, formula_mass, mass_of
+from spectraloom.functions.nested import flatten, restructure
+from spectraloom.functions.peaks import split_mz
+from spectraloom.functions.smiles import smiles_formula
 from spectraloom.operators import similarity, views
 from spectraloom.operators.bandjoin import co_occurrence, mz_join, peak_overlap
-from spectraloom.operators.binning import bin_peaks, densify
+from spectraloom.operators.binning import bin_peaks, densify, n_bins
 from spectraloom.operators.patterns import loss_edges, match_pattern
-from spectraloom.operators.search import EmbeddingSearcher, FragmentSearcher, PrecursorSearcher
+from spectraloom.operators.search import EmbeddingSearcher, EmbeddingSimilarity, FragmentSearcher, PatternSearch, PrecursorSearcher, SpectrumSearcher, SpectrumSimilarity
 from spectraloom.operators.selection import select_rows, with_position
-from spectraloom.plans.two_stage import two_stage_search
+from spectraloom.plans.two_stage import search_library, two_stage_search
 from spectraloom.runtime import shared_dir
-from spectraloom.sources import sqlite
+from spectraloom.sources import ingest, sqlite
 from spectraloom.sources.library import Library, fragments_of
 from spectraloom.streaming.streams import stream_mz_join
 
@@ -88,14 +91,14 @@ def mz_search_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "mz_rt_search",
-    f"""with o as (select o_orderkey as id, o_totalprice as mz, date_diff('day', date '1970-01-01', o_orderdate::date) as rt, o_orderpriority as p from orders)
+    f"""with o as (select o_orderkey as id, o_totalprice as mz, date_diff('day', date '1970-01-01', o_orderdate::date) as rt from orders)
     select q.id as qry_ids, r.id as ref_ids, round({ppm("q.mz", "r.mz")}, 6) as delta from o q join o r
-    on q.p = '1-URGENT' and r.p = '2-HIGH' and {ppm("q.mz", "r.mz")} <= 50 and abs(q.rt - r.rt) <= 90.5""",
+    on r.mz between q.mz * 0.999 and q.mz * 1.001 and {ppm("q.mz", "r.mz")} <= 50 and abs(q.rt - r.rt) <= 90.5""",
 )
 def mz_rt_search(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").withColumn("rt", F.unix_date(F.col("o_orderdate").cast("date")).cast("double"))
-    q, r = (ions(o.where(F.col("o_orderpriority") == p), "o_orderkey", "o_totalprice", "rt") for p in ("1-URGENT", "2-HIGH"))
-    return rounded(PrecursorSearcher(50.0, "ppm", 90.5).run(q, r).table, "delta")
+    every = ions(o, "o_orderkey", "o_totalprice", "rt")
+    return rounded(PrecursorSearcher(50.0, "ppm", 90.5).run(every, every).table, "delta")
 
 
 def _brands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -140,11 +143,12 @@ def fragment_cooccurrence_adducts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FragmentSearcher(30.0, co_occurrence_threshold=3, distinct_adducts=True).run(*_fragments(spark, d)).table, "delta")
 
 
-@query("fragment_cooccurrence_per_query", FRAGMENTS_SQL.format(tol=30) + " select qry_ids, ref_ids, count(*) as n from h group by 1, 2 having count(*) >= 1")
+@query("fragment_cooccurrence_per_query", FRAGMENTS_SQL.replace("0.9999", "0.999").replace("1.0001", "1.001").format(tol=600) + " select qry_ids, ref_ids, adducts, round(delta, 6) as delta from h qualify count(*) over (partition by qry_ids, ref_ids) >= 2")
 def fragment_cooccurrence_per_query(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a query that matches at least two adducts of the same reference, which a wide tolerance allows."""
     q, r = _fragments(spark, d)
-    hits = mz_join(q, r, 30.0, "ppm", carry=["adducts"])
-    return co_occurrence(hits, 1, per_query=True).groupBy("qry_ids", "ref_ids").agg(F.count(F.lit(1)).alias("n"))
+    hits = mz_join(q, r, 600.0, "ppm", carry=["adducts"])
+    return rounded(co_occurrence(hits, 2, per_query=True), "delta")
 
 
 EVENT_PEAKS = "select user_id as id, value as mz from events"
@@ -243,10 +247,10 @@ def spectrum_binned_topk(spark: SparkSession, d: str) -> DataFrame:
     window = (50.0, 1000.0, 1.0)
 
     def vectors(p: DataFrame) -> DataFrame:
-        keyed = p.withColumn("key", F.struct("group_id", "id"))
-        return densify(bin_peaks(keyed, window, id="key"), window, id="key").select("key.group_id", "key.id", "embedding")
+        bins = bin_peaks(p, window, id=["group_id", "id"])
+        return bins.groupBy("group_id", "id").agg(F.collect_list(F.struct("bin", "value")).alias("bins"))
 
-    return similarity.top_k(vectors(q), vectors(r), similarity.vector_scorer("cosine"), 5, on=["group_id"], decimals=4)
+    return similarity.top_k(vectors(q), vectors(r), similarity.binned_scorer("cosine", n_bins(window)), 5, value="bins", on=["group_id"], decimals=4, block_rows=4096)
 
 
 # Vector similarity
@@ -293,13 +297,13 @@ def emb_jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("emb_all_pairs", f"{VECTORS_SQL} select a.id as qry_ids, b.id as ref_ids, round({SCORES_SQL['cosine']}, 6) as scores from v a, v b")
 def emb_all_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return similarity.all_pairs(v, v, similarity.vector_scorer("cosine"), decimals=6)
+    return EmbeddingSimilarity("cosine", 6).run(v, v)
 
 
 @query("emb_all_pairs_grouped", f"{VECTORS_SQL} select a.label, a.id as qry_ids, b.id as ref_ids, round({SCORES_SQL['tanimoto']}, 6) as scores from v a join v b on a.label = b.label")
 def emb_all_pairs_grouped(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d, "label")
-    return similarity.all_pairs(v, v, similarity.vector_scorer("tanimoto"), on=["label"], decimals=6)
+    return EmbeddingSimilarity("tanimoto", 6).run(v, v, on=["label"])
 
 
 @query("emb_topk_candidates", VECTORS_SQL + " " + ranked_sql(f"select a.id as qry_ids, b.id as ref_ids, round({SCORES_SQL['cosine']}, 6) as scores from v a join v b on a.label = b.label", 5))
@@ -333,7 +337,41 @@ def entropy_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("entropy_all_pairs")
 def entropy_all_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Entropy similarities of all spectra and reference spectra of a group that share a peak."""
-    return similarity.all_pairs(*_spectra(spark, d), similarity.entropy_scorer(), value="peaks", on=["group_id"], decimals=6).where(F.col("scores") > 0)
+    return SpectrumSimilarity(decimals=6).run(*_spectra(spark, d), on=["group_id"]).where(F.col("scores") > 0)
+
+
+# m/z and intensity of the valid peaks of all spectra and reference spectra, by group
+SPECTRA_SQL = """with q as (select distinct group_id, spectrum_id as id, mzs, intensities from spectrums where len(mzs) = len(intensities) and group_id is not null),
+r as (select distinct group_id, spectrum_id as id, peaks from ref_spectra where peaks is not null and group_id is not null),
+every as (select false as ref, group_id, id, unnest(mzs) as mz, unnest(intensities) as x from q union all select true, group_id, id, unnest(peaks).mz, unnest(peaks).intensity from r),
+ok as (select * from every where isfinite(mz) and isfinite(x) and mz > 0 and x > 0),"""
+SPECTRA_PAIRS_SQL = """sums as (select group_id, a.id as q, b.id as r, sum({gain}) as s from w a join w b using (group_id) where not a.ref and b.ref and b.mz >= a.mz - 0.02 and b.mz <= a.mz + 0.02 group by 1, 2, 3),
+s as (select group_id, q.id as qry_ids, r.id as ref_ids, round(greatest(0.0, least(1.0, coalesce(s, 0.0))), 4) as scores from q join r using (group_id) left join sums on sums.group_id = q.group_id and q = q.id and r = r.id)
+select * from (select group_id, qry_ids, ref_ids, row_number() over (partition by group_id, qry_ids order by scores desc, ref_ids) as topk, scores from s) where topk <= 5"""
+
+
+@query(
+    "entropy_raw_topk",
+    SPECTRA_SQL
+    + """p as (select ref, group_id, id, mz, x / sum(x) over (partition by ref, group_id, id) as p from ok),
+    e as (select *, -sum(p * ln(p)) over (partition by ref, group_id, id) as e from p),
+    v as (select ref, group_id, id, mz, case when e < 3 then pow(p, 0.25 + 0.25 * e) else p end as v from e),
+    w as (select ref, group_id, id, mz, v / sum(v) over (partition by ref, group_id, id) as w from v),
+    """
+    + SPECTRA_PAIRS_SQL.format(gain="((a.w + b.w) * log2(a.w + b.w) - a.w * log2(a.w) - b.w * log2(b.w)) / 2"),
+)
+def entropy_raw_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with spectra taken as they are, neither centroided nor cleaned of weak peaks."""
+    return SpectrumSearcher(0.02, clean_spectra=False, top_k=5, decimals=4).run(*_spectra(spark, d), on=["group_id"]).table
+
+
+@query(
+    "peak_cosine_topk",
+    SPECTRA_SQL + " w as (select ref, group_id, id, mz, sqrt(x) / sqrt(sum(x) over (partition by ref, group_id, id)) as w from ok), " + SPECTRA_PAIRS_SQL.format(gain="a.w * b.w"),
+)
+def peak_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The search by another spectrum metric, the cosine of matching peaks."""
+    return SpectrumSearcher(top_k=5, decimals=4, metric="peak_cosine", options={"tolerance": 0.02}).run(*_spectra(spark, d), on=["group_id"]).table
 
 
 # Patterns
@@ -346,14 +384,16 @@ e as (select spectrum_id, least(i, j) as u, greatest(i, j) as v, arg_max(loss_ty
 d as (select spectrum_id, u as x, v as y, loss_type from e union all select spectrum_id, v, u, loss_type from e)"""
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
+def _event_peaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = read(spark, d, "events")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) - 1
     peaks = e.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("spectrum_id"), place.alias("peak"), F.col("value").alias("mz"))
     losses = spark.createDataFrame([(0, 0, 10.0), (1, 1, 25.0)], "loss_idx long, loss_type long, loss_da double")
-    return loss_edges(peaks, losses, 0.505)
+    return peaks, losses
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return loss_edges(*_event_peaks(spark, d), 0.505)
 
 
 @query("loss_edges", EDGES_SQL + " select spectrum_id, u::int as u, v::int as v, loss_type::bigint as loss_type from e")
@@ -381,9 +421,120 @@ def pattern_square(spark: SparkSession, d: str) -> DataFrame:
     return match_pattern(_edges(spark, d), [(0, 1, 0), (1, 2, 1), (2, 3, 0), (3, 0, 1)])
 
 
+@query(
+    "pattern_search_nodes",
+    EDGES_SQL + """, m as (select d.*, a.mz as mx, b.mz as my from d join p a on a.spectrum_id = d.spectrum_id and a.peak = d.x join p b on b.spectrum_id = d.spectrum_id and b.peak = d.y)
+    select distinct spectrum_id, 0::bigint as pattern_id from m where loss_type = 0 and abs(mx - 100) <= 20.005
+    union all select distinct a.spectrum_id, 1 from m a join m b on a.spectrum_id = b.spectrum_id and a.y = b.x and a.x <> b.y where a.loss_type = 1 and b.loss_type = 0 and abs(a.my - 200) <= 30.005 and abs(b.my - 210) <= 30.005""",
+)
+def pattern_search_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Several patterns at once, of which some nodes have an m/z."""
+    patterns = {0: [(0, 1, 0)], 1: [(0, 1, 1), (1, 2, 0)]}
+    near = {0: {0: 100.0}, 1: {1: 200.0, 2: 210.0}}
+    # the two patterns have node tolerances of their own
+    found = [PatternSearch({n: patterns[n]}, 0.505, tolerance, "da", {n: near[n]}).run(*_event_peaks(spark, d)) for n, tolerance in ((0, 20.005), (1, 30.005))]
+    return found[0].unionByName(found[1])
+
+
+@query("pattern_search", EDGES_SQL + " select distinct spectrum_id, 0::bigint as pattern_id from d where loss_type = 1 union all select distinct a.spectrum_id, 1 from d a join d b on a.spectrum_id = b.spectrum_id and a.y = b.x and a.loss_type = 0 and b.loss_type = 0 and a.x <> b.y")
+def pattern_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two patterns over edges that are derived once."""
+    return PatternSearch({0: [(0, 1, 1)], 1: [(0, 1, 0), (1, 2, 0)]}, 0.505).run(*_event_peaks(spark, d))
+
+
 # Libraries
 
 
+def _library(spark: SparkSession, d: str) -> Library:
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_retailprice").alias("mass"))
+    v = vectors(spark, d)
+    return Library({
+        "spectra": p.select("id", F.col("mass").alias("pi")),
+        "molecules": p.select("id", F.col("p_name").alias("smiles")),
+        "fragments": fragments_of(p.select("id", "mass"), POSITIVE),
+        "embeddings": v.select("id", "embedding"),
+    }, "parts")
+
+
+LIBRARY_HITS_SQL = VECTORS_SQL + ", {c}, h as (" + ranked_sql(f"select a.id as qry_ids, b.id as ref_ids, round({SCORES_SQL['plain_cosine']}, 6) as scores from (select distinct q, r from c) c join v a on a.id = c.q join v b on b.id = c.r", 5) + ")"
+
+
+@query(
+    "library_search_fragments",
+    LIBRARY_HITS_SQL.format(c=FRAGMENTS_SQL.removeprefix("with ").format(tol=20) + ", c as (select qry_ids as q, ref_ids as r, adducts from h where adducts <> '[M]')").replace(", h as (select * from", ", top as (select * from")
+    + " select t.qry_ids, t.ref_ids, topk, scores, p_name as smiles, string_agg(distinct adducts, ' ' order by adducts) as adducts from top t join part on p_partkey = t.ref_ids join c on c.q = t.qry_ids and c.r = t.ref_ids group by 1, 2, 3, 4, 5",
+)
+def library_search_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by the fragments of a whole library, ranked by their vectors."""
+    q = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") + PROTON).alias("mz"))
+    hits = search_library(_library(spark, d), q, vectors(spark, d), mz_tolerance=20.0, decimals=6)
+    return hits.select("qry_ids", "ref_ids", "topk", "scores", "smiles", F.concat_ws(" ", "adducts").alias("adducts"))
+
+
+@query(
+    "library_search_precursors",
+    LIBRARY_HITS_SQL.format(c=f"c as (select q.p_partkey as q, r.p_partkey as r from part q join part r on {ppm('q.p_retailprice', 'r.p_retailprice')} <= 300)")
+    + " select v.id as qry_ids, coalesce(h.ref_ids, -1) as ref_ids, coalesce(topk, 0) as topk, coalesce(scores, -1.0) as scores, coalesce(p_name, '') as smiles from v left join h on h.qry_ids = v.id left join part on p_partkey = h.ref_ids",
+)
+def library_search_precursors(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by the precursors of a whole library; vectors without a hit are kept, with reference -1."""
+    q = ions(read(spark, d, "part"), "p_partkey", "p_retailprice")
+    hits = search_library(_library(spark, d), q, vectors(spark, d), by="precursors", mz_tolerance=300.0, keep_unmatched=True, decimals=6)
+    return hits.fillna({"ref_ids": -1, "topk": 0, "scores": -1.0, "smiles": ""}).select("qry_ids", "ref_ids", "topk", "scores", "smiles")
+
+
+@query("nested_roundtrip", "select spectrum_id, len(mzs) as n, round(list_sum([x for x in mzs if isfinite(x)]), 4) as total from (select distinct spectrum_id, coalesce(mzs, []) as mzs from spectrums)")
+def nested_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Lists flattened to a row an element and built again, empty ones included."""
+    s = read(spark, d, "spectrums").select("spectrum_id", F.coalesce("mzs", F.array().cast("array<double>")).alias("mzs")).distinct()
+    back = restructure(flatten(s, ["spectrum_id"], "mzs", keep_empty=True), ["spectrum_id"])
+    finite = F.filter("value", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    total = F.when(F.size(finite) > 0, F.aggregate(finite, F.lit(0.0), lambda a, x: a + x))
+    return back.select("spectrum_id", F.size("value").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query("nested_two_levels", "select group_id, count(*) as spectra, sum(n)::bigint as peaks from (select distinct group_id, spectrum_id, coalesce(len(mzs), 0) as n from spectrums where group_id is not null) group by 1")
+def nested_two_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of lists there and back: the spectra of a group, some of them empty."""
+    s = read(spark, d, "spectrums").where(F.col("group_id").isNotNull()).select("group_id", "spectrum_id", F.coalesce("mzs", F.array().cast("array<double>")).alias("m")).distinct()
+    nested = s.groupBy("group_id").agg(F.collect_list("m").alias("m"))
+    back = restructure(flatten(nested, ["group_id"], "m", levels=2, keep_empty=True), ["group_id"], levels=2)
+    peaks = F.aggregate("value", F.lit(0).cast("long"), lambda a, x: a + F.size(x))
+    return back.select("group_id", F.size("value").cast("long").alias("spectra"), peaks.alias("peaks"))
+
+
+@query("ingest_wide_adducts", "select p_partkey as id, 2.5::double as rt, '[M+H]+' as adducts, p_retailprice + 1 as mz from part union all select p_partkey, 2.5, '[M+Na]+', p_retailprice + 22 from part")
+def ingest_wide_adducts(spark: SparkSession, d: str) -> DataFrame:
+    """A table with a column per adduct made long; formula, time and [M] are no adducts."""
+    mass = F.col("p_retailprice")
+    wide = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("H2O").alias("formula"), F.lit(2.5).alias("RT"), mass.alias("[M]"), (mass + 1).alias("[M+H]+"), (mass + 22).alias("[M+Na]+"))
+    return ingest.unpivot_adducts(wide)
+
+
+@query("ingest_peaks", "select spectrum_id, len(peaks) as n, round(list_sum([x.mz for x in peaks if isfinite(x.mz)]), 4) as total, peaks[1].mz as first from (select distinct spectrum_id, peaks from ref_spectra where len(peaks) > 0)")
+def ingest_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Peak lists exploded to rows and nested again in their order."""
+    s = read(spark, d, "ref_spectra").select("spectrum_id", "peaks").distinct()
+    back = ingest.nest_peaks(ingest.explode_peaks(s))
+    finite = F.filter(split_mz(F.col("peaks")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return back.select("spectrum_id", F.size("peaks").cast("long").alias("n"), F.round(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.col("peaks")[0]["mz"].alias("first"))
+
+
+@query("ingest_molecules", """select distinct id, nullif(regexp_extract(inchi, '^InChI=1S?/([A-Za-z0-9]+)', 1), '') as formula from molecules where inchi is not null""")
+def ingest_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas of the molecules that have an InChI."""
+    found = ingest.molecules(read(spark, d, "molecules"))
+    return found.where(F.col("inchi").isNotNull()).select("id", "formula").distinct()
+
+
+@query("smiles_formulas")
+def smiles_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Formula of every SMILES, null where it cannot be read, beside the formula of the InChI."""
+    layer = F.regexp_extract("inchi", r"^InChI=1S?/([A-Za-z0-9]+)$", 1)
+    m = read(spark, d, "molecules").select("id", "smiles", F.when(layer != "", layer).alias("inchi_formula")).distinct()
+    return m.select("id", smiles_formula(F.col("smiles")).alias("smiles_formula"), "inchi_formula")
+
+
 @query("library_select", """with p as (select *, row_number() over (order by p_partkey) - 1 as position from part)
 select p_partkey, 0 as ordinal from p where position >= 100 and position < 400 and (position - 100) % 3 = 0 union all
 select p_partkey, 1 from p where p_partkey in (1, 7, 19, 999999) union all select p_partkey, 2 from p where p_size <= 5""")
@@ -427,16 +578,17 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back["embeddings"].join(back["metadata"], "id").select("id", "label", F.round(total, 4).alias("total"))
 
 
-@query("sqlite_roundtrip", "select s_suppkey as id, s_name as name, s_acctbal as balance, 2::bigint as n from supplier")
+@query("sqlite_roundtrip", "select s_suppkey as id, s_name as name, s_acctbal as balance, 2::bigint as n, round(s_acctbal + 0.5, 6) as total from supplier")
 def sqlite_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A small library through a SQLite file of the driver; arrays as JSON."""
     s = read(spark, d, "supplier")
-    path = tempfile.mkdtemp(prefix="loom-sqlite-") + "/library.db"
+    path = tempfile.mkdtemp(prefix="loom-sqlite-") + "/library.db"  # read and written by the driver alone
     meta = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.array(F.col("s_acctbal"), F.lit(0.5)).alias("pair"))
     Library({"metadata": meta}, "lib").save_sqlite(path)
     back = Library.load_sqlite(spark, path, ["metadata"])["metadata"]
     assert sqlite.list_tables(path) == ["manifest", "metadata"]
-    return back.select("id", "name", "balance", F.size("pair").cast("long").alias("n"))
+    total = F.aggregate("pair", F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", "name", "balance", F.size("pair").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
 # Two stages and streams

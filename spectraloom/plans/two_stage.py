@@ -53,6 +53,7 @@ def search_library(
     metric: str = "plain_cosine",
     top_k: int | None = 5,
     keep_unmatched: bool = False,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Two-stage search of a library: ``qry_ids, ref_ids, topk, scores``, SMILES and formula, and adducts.
 
@@ -74,7 +75,7 @@ def search_library(
     have = known.columns if known is not None else []
     text = lambda c: (F.col(c) if c in have else F.lit(None).cast("string")).alias(c)
     molecules = (known if known is not None else library.ids()).select("id", text("smiles"), text("formula"))
-    hits = two_stage_search(qry_ions, refs, qry_vectors, library.embedding(embedding), first=first, second=EmbeddingSearcher(metric, top_k), molecules=molecules)
+    hits = two_stage_search(qry_ions, refs, qry_vectors, library.embedding(embedding), first=first, second=EmbeddingSearcher(metric, top_k, decimals), molecules=molecules)
     if not keep_unmatched:
         return hits
     return qry_vectors.select(F.col("id").alias("qry_ids")).distinct().join(hits, "qry_ids", "left")
