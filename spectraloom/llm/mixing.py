@@ -14,7 +14,7 @@ HASH_BITS = 40
 
 @dataclass(frozen=True)
 class Mixture:
-    """``draws(source, id, copy, size, finish)``: the mixture, in order of ``finish``, source, id and copy.
+    """``draws(source, id, copy, size, finish)``: the mixture, in no order of rows; ``finish`` (then source, id and copy) is the order of its uses.
 
     ``targets(source, target_share, max_repeats, present, available)``: what was asked for.
     """
@@ -35,7 +35,7 @@ class Mixture:
         return all_.select("source", "target_share", "max_repeats", "available", "records", "uses", "total", F.round(F.try_divide("total", whole), 6).alias("share"))
 
 
-def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, budget: int | None = None, seed: int = 42, buckets: int = 1024, max_sources: int = 1000) -> Mixture:
+def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, budget: int | None = None, seed: int = 42, buckets: int = 1024, max_sources: int = 1000, edge_rows: int = 200_000) -> Mixture:
     """Draw records so that each source has its share of the total size.
 
     ``targets(source, target_share, max_repeats)``: shares are weights, brought to a sum
@@ -57,8 +57,9 @@ def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, b
 
     No source gathers in a task: sizes are added up per (source, hash bucket), the small
     table of sums gives each bucket its start, and records are cumulated within their
-    bucket. The cut is found from sums per interval of virtual time, and only the
-    interval that holds it is ordered by itself.
+    bucket. The cut is found from sums per interval of virtual time; the interval that
+    holds it is divided again until it has at most ``edge_rows`` uses, and only these are
+    ordered.
     """
     want = targets.select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("long").alias("repeats"))
     asked = {r["source"]: r for r in want.where(F.col("source").isNotNull() & (F.col("share") > 0) & (F.col("repeats") >= 1)).limit(max_sources + 1).collect()}
@@ -77,7 +78,12 @@ def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, b
         budget = int(min((total[s] * asked[s]["repeats"] / weights[s] for s in total), default=0))
     told = [(s, float(r["share"]), int(r["repeats"]), s in total, int(total.get(s, 0))) for s, r in asked.items()]
     told = spark.createDataFrame(told, "source string, target_share double, max_repeats long, present boolean, available long")
-    starts = [(s, b, sum(v for c, v in own.items() if c < b), total[s], weights[s], int(asked[s]["repeats"])) for s, own in sums.items() for b in own]
+    starts = []
+    for s, own in sums.items():
+        below = 0
+        for b in sorted(own):
+            starts.append((s, b, below, total[s], weights[s], int(asked[s]["repeats"])))
+            below += own[b]
     starts = spark.createDataFrame(starts, "source string, bucket int, start long, whole long, weight double, repeats long")
     run = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("run", F.sum("size").over(run)).join(F.broadcast(starts), ["source", "bucket"])
@@ -90,18 +96,33 @@ def mix(df: DataFrame, id: str, source: str, size: str, targets: DataFrame, *, b
     draws = rows.select("source", "id", "size", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("copy"), "once", "again")
     draws = draws.select("source", "id", F.col("copy").cast("long").alias("copy"), "size", (F.col("once") + F.col("copy") * F.col("again")).alias("finish"))
     draws = materialize(draws, "draws")
-    step = max(last, 1.0) / 4096
-    slot = F.floor(F.col("finish") / step)
-    below, cut = 0, None
-    for r in draws.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size")).orderBy("slot").collect():  # about 4096 rows
-        if below + r["size"] > budget:
-            cut = r["slot"]
+    low, width, below, depth, edge = 0.0, max(last, 1.0), 0, 0, draws
+    whole = None  # what lies wholly before the interval that holds the cut
+    while True:
+        step = width / 4096
+        slot = F.floor((F.col("finish") - low) / step)
+        cut = None
+        for r in edge.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy("slot").collect():  # about 4096 rows
+            if below + r["size"] > budget:
+                cut = r
+                break
+            below += r["size"]
+        if cut is None:
+            kept = edge
+        else:
+            kept = edge.where(slot < cut["slot"])
+            edge = edge.where(slot == cut["slot"])
+            low, width, depth = low + cut["slot"] * step, step, depth + 1
+        whole = kept if whole is None else whole.unionByName(kept)
+        # uses that end at the very same time cannot be told apart by time, so depth is bounded
+        if cut is None or cut["rows"] <= edge_rows or depth == 6:
             break
-        below += r["size"]
+        edge = materialize(edge, "edge")
     if cut is not None:
-        order = Window.partitionBy("slot").orderBy("finish", "source", "id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-        edge = draws.where(slot == cut).withColumn("slot", slot).withColumn("total", F.sum("size").over(order) + below)
-        draws = draws.where(slot < cut).unionByName(edge.where(F.col("total") <= budget).select(*draws.columns))
+        order = Window.partitionBy(F.lit(0)).orderBy("finish", "source", "id", "copy").rowsBetween(Window.unboundedPreceding, 0)
+        last_ones = edge.withColumn("total", F.sum("size").over(order) + below).where(F.col("total") <= budget)
+        whole = whole.unionByName(last_ones.select(*draws.columns))
+    draws = whole
     return Mixture(draws, told, budget)
 
 

@@ -75,7 +75,7 @@ def test_mix(spark, part):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     real = {s: sum(n for i, x, n in data if x == s and i is not None and n and n > 0) for s in "abc"}
     budget = None if part is None else int(sum(real.values()) * part)
-    m = mix(df, "id", "source", "size", targets, budget=budget, buckets=16)
+    m = mix(df, "id", "source", "size", targets, budget=budget, buckets=16, edge_rows=3)
     draws = m.draws.collect()
     total = sum(r.size for r in draws)
     most = max(n for _, _, n in data if n)
