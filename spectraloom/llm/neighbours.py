@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.vectors import lists_of, unit, unpack
+from spectraloom.llm.vectors import bytes_of, matrix, unit, unpack
 from spectraloom.runtime import materialize
 
-GRAPH = "id long, near array<long>, sim array<float>, v array<float>"
+GRAPH = "id long, near array<long>, sim array<float>, v binary"
 MOST_PIVOTS = 1 << 16
 
 
@@ -115,7 +115,7 @@ def _reverse(ids: np.ndarray, n: int, most: int) -> np.ndarray:
 
 
 def neighbour_graph(points: DataFrame, n: int, *, dim: int, k: int = 10, cell_rows: int = 500, probes: int = 3, fan: int = 5, pool: int = 12, rounds: int = 2, stop: float = 0.001, seed: int = 7, max_cell: int = 1 << 16) -> DataFrame:
-    """One graph over the table ``points(id, v)`` of ``n`` rows: ``id, near, sim, v``, the approximate ``k`` nearest of every row.
+    """One graph over the table ``points(id, v)`` of ``n`` rows, the vectors as bytes (``packed``): ``id, near, sim, v``, the approximate ``k`` nearest of every row.
 
     Blocks only seed it: about ``n / cell_rows`` rows, at most 65,536, are pivots, every
     row goes to the cells of its ``probes`` nearest pivots, and a cell looks for the
@@ -136,7 +136,7 @@ def neighbour_graph(points: DataFrame, n: int, *, dim: int, k: int = 10, cell_ro
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = matrix(batch.column("v"), dim)
             out = np.empty((len(x), several), np.int32)
             step = max(1, (1 << 22) // len(p))
             for at in range(0, len(x), step):
@@ -147,7 +147,7 @@ def neighbour_graph(points: DataFrame, n: int, *, dim: int, k: int = 10, cell_ro
             ends = pa.array((np.arange(len(x) + 1) * several).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["id", "v", "cells"])
 
-    placed = materialize(points.select("id", "v").mapInArrow(cells, "id long, v array<float>, cells array<int>"), "cells")
+    placed = materialize(points.select("id", "v").mapInArrow(cells, "id long, v binary, cells array<int>"), "cells")
     rows = placed.select("id", "v", F.posexplode("cells").alias("probe", "cell"))
     part = F.lit(0)
     if n * several > max_cell:
@@ -184,7 +184,7 @@ def _graph_rows(ids: np.ndarray, near: np.ndarray, sims: np.ndarray, x: np.ndarr
     have = np.isfinite(sims)
     ends = pa.array(np.r_[0, np.cumsum(have.sum(1))].astype(np.int32))
     lists = [pa.ListArray.from_arrays(ends, pa.array(near[have], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(sims[have], pa.float32()))]
-    return pa.Table.from_arrays([pa.array(ids), *lists, lists_of(x, with_vector)], names=["id", "near", "sim", "v"])
+    return pa.Table.from_arrays([pa.array(ids), *lists, bytes_of(x, with_vector)], names=["id", "near", "sim", "v"])
 
 
 def _best(table: pa.Table, more: pa.Table | None, k: int, dim: int) -> pa.Table:
@@ -229,7 +229,7 @@ def _messages(k: int, fan: int, dim: int, seed: int):
             take = order[rank < fan]
             row, target = np.r_[np.arange(len(ids)), own[take]], np.r_[ids, to[take]]
             h = np.r_[np.full(len(ids), -1, np.int64), _mix(to[take], ids[own[take]], seed + 1)]
-            x = unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)).astype(np.float16)
+            x = unit(matrix(batch.column("v"), dim)).astype(np.float16)
             packed = pa.FixedSizeBinaryArray.from_buffers(half, len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(target), pa.array(ids[row]), packed, pa.array(low[row]), pa.array(h)], ["to", "u", "x", "low", "h"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +27,40 @@ def select_vectors(df: DataFrame, id: str, embedding: str, dim: int) -> DataFram
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``(id, v)`` with the float32 vectors as bytes, which cost far less to copy between Spark and Python than arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), bytes_of(flat.reshape(batch.num_rows, -1))], ["id", "v"])
+
+    return df.select("id", "v").mapInArrow(run, "id long, v binary")
+
+
+def bytes_of(x: np.ndarray, keep: np.ndarray | None = None) -> pa.BinaryArray:
+    """The rows of ``x``, in single precision, as bytes; null where ``keep`` is false."""
+    keep = np.ones(len(x), bool) if keep is None else keep
+    x = np.ascontiguousarray(x[keep], np.float32)
+    ends = np.r_[0, np.cumsum(np.where(keep, 4 * (x.shape[1] if x.ndim == 2 else 0), 0))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(keep), [pa.array(keep).buffers()[1], pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The float32 vectors of a column of bytes or of lists that has no nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, dim), np.float32)
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.float32).reshape(-1, dim)
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim))
+
+
 def unpack(table: pa.Table, dim: int, name: str = "v", *, order: bool = False) -> tuple[np.ndarray, ...]:
     """Ids and float32 vectors, ordered by id, so that results do not depend on the order of rows; with ``order`` also the places they had."""
-    flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.float32)
-    x = np.ascontiguousarray(flat.astype(np.float32, copy=False).reshape(-1, dim))
+    x = matrix(table[name], dim)
     ids = table["id"].to_numpy()
     at = np.argsort(ids, kind="stable")
     return (ids[at], x[at], at) if order else (ids[at], x[at])

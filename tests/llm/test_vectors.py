@@ -7,7 +7,7 @@ from spectraloom.llm.ann import build_index, nearest
 from spectraloom.llm.clusters import exact_neighbourhoods, similarity_clusters
 from spectraloom.llm.hnsw import Hnsw
 from spectraloom.llm.neighbours import communities, descend, neighbour_graph
-from spectraloom.llm.vectors import unit
+from spectraloom.llm.vectors import bytes_of, matrix, packed, unit
 
 DIRT = [None, [], [1.0] * 3, [0.0] * 8, [1.0] * 7 + [float("nan")], [1.0] * 7 + [float("inf")], [1.0] * 7 + [None]]
 SCHEMA = "id long, embedding array<float>, v string, shard int"
@@ -29,6 +29,14 @@ def _mixed(rng, n, dim):
     return (x * rng.uniform(0.1, 9, (n, 1))).astype(np.float32)
 
 
+def test_vectors_as_bytes():
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    column = bytes_of(x)
+    assert (matrix(column, 3) == x).all() and (matrix(column[1:3], 3) == x[1:3]).all() and matrix(column[:0], 3).shape == (0, 3)
+    some = bytes_of(x, np.array([True, False, False, True]))
+    assert some.null_count == 2 and (matrix(some.drop_null(), 3) == x[[0, 3]]).all()
+
+
 def test_graph_recall():
     rng = np.random.default_rng(1)
     x = unit(_mixed(rng, 6000, 16))
@@ -201,7 +209,7 @@ def test_graph_of_the_table(spark):
     want = np.argsort(-s, axis=1)[:, :10]
     recall = []
     for rounds in (0, 6):
-        graph = {r.id: r for r in neighbour_graph(df, 2000, dim=32, cell_rows=20, rounds=rounds, stop=0.0).collect()}
+        graph = {r.id: r for r in neighbour_graph(packed(df), 2000, dim=32, cell_rows=20, rounds=rounds, stop=0.0).collect()}
         assert sorted(graph) == list(range(2000)) and all(len(set(r.near)) == len(r.near) <= 10 and i not in r.near for i, r in graph.items())
         assert all(abs(s[i, j] - w) < 1e-3 for i, r in graph.items() for j, w in zip(r.near, r.sim))
         recall.append(np.mean([len(set(graph[i].near) & set(want[i].tolist())) / 10 for i in range(2000)]))
