@@ -187,7 +187,7 @@ def top_k_candidates(qry: DataFrame, ref: DataFrame, candidates: DataFrame, whic
         vectors = df.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("v"))
         return vectors.join(where, "id").select("qb", "rb", F.lit(side).alias("side"), F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "v")
 
-    pairs = listed.select("qb", "rb", F.lit(2).alias("side"), F.col("qry_ids").alias("a"), F.col("ref_ids").alias("b"), F.lit(None).cast(qry.schema["embedding"].dataType).alias("v"))
+    pairs = listed.select("qb", "rb", F.lit(2).alias("side"), F.col("qry_ids").alias("a"), F.col("ref_ids").alias("b"), F.array().cast(qry.schema["embedding"].dataType).alias("v"))  # Arrow is slow to write null lists
     rows = sent(qry, "qry_ids", 0).unionByName(sent(ref, "ref_ids", 1)).unionByName(pairs)
     schema = T.StructType([T.StructField("qry_ids", listed.schema["qry_ids"].dataType), T.StructField("ref_ids", listed.schema["ref_ids"].dataType), T.StructField("scores", T.DoubleType())])
     arrow = to_arrow_schema(schema)
