@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -580,13 +579,12 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sqlite_roundtrip", "select s_suppkey as id, s_name as name, s_acctbal as balance, 2::bigint as n, round(s_acctbal + 0.5, 6) as total from supplier")
 def sqlite_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A small library through a SQLite file of the driver; arrays as JSON."""
+    """A small library through the content of a SQLite file, in the driver's memory; arrays as JSON."""
     s = read(spark, d, "supplier")
-    path = tempfile.mkdtemp(prefix="loom-sqlite-") + "/library.db"  # read and written by the driver alone
     meta = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.array(F.col("s_acctbal"), F.lit(0.5)).alias("pair"))
-    Library({"metadata": meta}, "lib").save_sqlite(path)
-    back = Library.load_sqlite(spark, path, ["metadata"])["metadata"]
-    assert sqlite.list_tables(path) == ["manifest", "metadata"]
+    content = Library({"metadata": meta}, "lib").to_bytes()
+    back = Library.load_sqlite(spark, content, ["metadata"])["metadata"]
+    assert sqlite.list_tables(content) == ["manifest", "metadata"]
     total = F.aggregate("pair", F.lit(0.0), lambda a, x: a + x)
     return back.select("id", "name", "balance", F.size("pair").cast("long").alias("n"), F.round(total, 6).alias("total"))
 

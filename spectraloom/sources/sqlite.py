@@ -39,7 +39,32 @@ def save_tables(path: str, tables: Mapping[str, DataFrame], *, if_exists: str =
         raise ValueError("if_exists must be 'replace', 'append' or 'fail'")
     con = sqlite3.connect(path, isolation_level=None)
     try:
-        con.execute("begin")
+        _write(con, tables, if_exists, chunk_rows, max_rows)
+    finally:
+        con.close()
+
+
+def to_bytes(tables: Mapping[str, DataFrame], *, chunk_rows: int = 2048, max_rows: int = 1_000_000) -> bytes:
+    """The content of a SQLite file with all tables, made in memory; readers take it in place of a path."""
+    con = sqlite3.connect(":memory:", isolation_level=None)
+    try:
+        _write(con, tables, "replace", chunk_rows, max_rows)
+        return con.serialize()
+    finally:
+        con.close()
+
+
+def _open(source: str | bytes) -> sqlite3.Connection:
+    if isinstance(source, str):
+        return sqlite3.connect(source)
+    con = sqlite3.connect(":memory:")
+    con.deserialize(source)
+    return con
+
+
+def _write(con: sqlite3.Connection, tables: Mapping[str, DataFrame], if_exists: str, chunk_rows: int, max_rows: int) -> None:
+    con.execute("begin")
+    try:
         for name, df in tables.items():
             plain = encode_nested(df)
             exists = con.execute("select 1 from sqlite_master where type = 'table' and name = ?", [name]).fetchone()
@@ -60,8 +85,6 @@ def save_tables(path: str, tables: Mapping[str, DataFrame], *, if_exists: str =
     except BaseException:
         con.execute("rollback")
         raise
-    finally:
-        con.close()
 
 
 def _affinity(kind: T.DataType) -> str:
@@ -81,8 +104,8 @@ def _chunks(df: DataFrame, size: int) -> Iterator[list[tuple]]:
         yield chunk
 
 
-def list_tables(path: str, *, system: bool = False) -> list[str]:
-    con = sqlite3.connect(path)
+def list_tables(path: str | bytes, *, system: bool = False) -> list[str]:
+    con = _open(path)
     try:
         names = [r[0] for r in con.execute("select name from sqlite_master where type = 'table' order by name")]
     finally:
@@ -90,9 +113,9 @@ def list_tables(path: str, *, system: bool = False) -> list[str]:
     return [n for n in names if system or not n.startswith("sqlite_")]
 
 
-def load_table(spark: SparkSession, path: str, name: str, schema: T.StructType, *, max_rows: int = 5_000_000) -> DataFrame:
+def load_table(spark: SparkSession, path: str | bytes, name: str, schema: T.StructType, *, max_rows: int = 5_000_000) -> DataFrame:
     """A table of a SQLite file; JSON cells become the nested types of ``schema``. One of more than ``max_rows`` rows, which the driver would hold, is refused."""
-    con = sqlite3.connect(path)
+    con = _open(path)
     try:
         rows = con.execute(f"select {', '.join(_name(f.name) for f in schema)} from {_name(name)}").fetchmany(max_rows + 1)
     finally:

@@ -33,6 +33,10 @@ def test_library(spark, rows, library):
     assert len(one) == 1 and one["fragments"].count() == 2
     with pytest.raises(KeyError):
         library["spectra"]
+    ids = lambda lib: rows(lib["molecules"], "id")
+    assert ids(library[1]) == [(2,)] and ids(library[0:3:2]) == [(1,), (3,)] and ids(library[[0, 1]]) == [(1,), (2,)]
+    assert ids(library[0, [3], [False, False, False]]) == [(1,), (3,)] and ids(library[None, None, [False, True, True]]) == [(2,), (3,)]
+    assert ids(library[spark.createDataFrame([(2,)], "id long")]) == [(2,)] and library[7].is_empty()
     with pytest.raises(ValueError):
         Library({"things": library["molecules"]})
     with pytest.raises(TypeError):
@@ -42,7 +46,7 @@ def test_library(spark, rows, library):
 def test_store_and_sqlite(spark, rows, library, tmp_path):
     library.save(str(tmp_path / "lib"))
     library.save_sqlite(str(tmp_path / "lib.db"))
-    for back in (Library.load(spark, str(tmp_path / "lib"), ["molecules"]), Library.load_sqlite(spark, str(tmp_path / "lib.db"))):
+    for back in (Library.load(spark, str(tmp_path / "lib"), ["molecules"]), Library.load_sqlite(spark, str(tmp_path / "lib.db")), Library.load_sqlite(spark, library.to_bytes())):
         assert back.name == "mine" and set(back.tables) == set(library.tables)
         for block in library.tables:
             assert rows(back[block]) == rows(library[block]) and back[block].schema.simpleString() == library[block].schema.simpleString()
