@@ -16,7 +16,7 @@ def varied_subset(df: DataFrame, id: str, attributes: Sequence[Column], k: int,
 
     ``attributes`` are binned features; ``refine`` is a number of ``bits`` binary ones,
     of which as many are used, from the highest down, as keep the number of occupied
-    cells (estimated by sketch) at ``k`` or below. Records of a cell are ranked in an
+    cells at ``k`` or below. Records of a cell are ranked in an
     order shuffled by hash of the id, ties by id; all cells give their first record
     before any gives its second, in an order of cells shuffled by hash. A large group of
     similar records fills few cells, so it gets few places.
@@ -35,9 +35,10 @@ def varied_subset(df: DataFrame, id: str, attributes: Sequence[Column], k: int,
     used = 0
     if refine is not None and bits:
         full = rows.groupBy("c0", "code").agg(F.count(F.lit(1)).alias("n"))  # no more rows than the finest grid has cells
-        part = lambda n: F.xxhash64("c0", F.shiftright("code", bits - n))
-        occupied = full.agg(*(F.approx_count_distinct(part(n), 0.02).alias(f"n{n}") for n in range(bits + 1))).first()
-        used = max((n for n in range(bits + 1) if occupied[n] <= k), default=0)
+        steps = full.select("c0", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("n"))
+        steps = steps.select("n", "c0", F.expr(f"shiftright(code, {bits} - n)").alias("code")).distinct()
+        occupied = {r["n"]: r["count"] for r in steps.groupBy("n").count().collect()}  # a row a bit
+        used = max((n for n, cells in occupied.items() if cells <= k), default=0)
     cell = F.concat_ws("|", "c0", F.lpad(F.bin(F.shiftright("code", bits - used)), used, "0")) if used else F.col("c0")
     rows = materialize(rows.select("id", cell.alias("cell")).distinct(), "cells")
     # how many cells have how many records: few numbers, as records are no fewer than the sum of the different ones
@@ -93,15 +94,14 @@ def direction_code(df: DataFrame, id: str, embedding: str, *, dim: int = 64, bit
     v = F.col("v")
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = select_vectors(df, id, embedding, dim).select("id", "v", F.sqrt(square).alias("norm"))
-    sign = lambda i: 1 if (i * 2654435761 >> 7) & 1 else -1
-    sums = [sum((F.lit(sign(i)) * F.get(v, F.lit(i)) for i in range(r, dim, bits)), F.lit(0.0)) / F.col("norm") for r in range(bits)]
-    rows = rows.select("id", *(c.alias(f"u{r}") for r, c in enumerate(sums)))
+    sign = lambda i: "+" if (i * 2654435761 >> 7) & 1 else "-"
+    rows = rows.selectExpr("id", *(f"(0D {' '.join(f'{sign(i)} get(v, {i})' for i in range(r, dim, bits))}) / norm as u{r}" for r in range(bits)))
     width = 1
     while width < bits:
-        pair = lambda r: (F.col(f"u{r}") + F.col(f"u{r + width}")) if not r & width else (F.col(f"u{r - width}") - F.col(f"u{r}"))  # noqa: B023, E731
-        rows = rows.select("id", *(pair(r).alias(f"u{r}") for r in range(bits)))
+        pair = lambda r: f"u{r} + u{r + width}" if not r & width else f"u{r - width} - u{r}"  # noqa: B023, E731
+        rows = rows.selectExpr("id", *(f"{pair(r)} as u{r}" for r in range(bits)))
         width *= 2
     rows = materialize(rows, "directions")
-    mean = rows.agg(*(F.avg(f"u{r}").alias(f"m{r}") for r in range(bits))).first()
-    code = sum((F.when(F.col(f"u{r}") > F.lit(float(mean[r] or 0.0)), 1 << (bits - 1 - r)).otherwise(0).cast("long") for r in range(bits)), F.lit(0).cast("long"))
+    mean = rows.selectExpr(*(f"avg(u{r}) as m{r}" for r in range(bits))).first()
+    code = F.expr(" + ".join(f"if(u{r} > {float(mean[r] or 0.0)!r}D, {1 << (bits - 1 - r)}L, 0L)" for r in range(bits)))
     return rows.select("id", code.alias("code"))
