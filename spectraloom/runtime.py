@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of the tables in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def col(name: str) -> Column:
     """Column by its literal name, dots and back-ticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -36,7 +41,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write ``df`` to the shared folder and return a scan of what was written.
 
     Cuts the lineage; the files survive the loss of any executor. They are
-    deleted when the driver's Python exits.
+    deleted when the driver's Python exits, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +50,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned and nothing will read again."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            _delete(table.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -160,3 +160,15 @@ def test_search_library(spark, rows):
     assert rows(found, "qry_ids", "ref_ids", "formula") == [(7, 1, "C6H12O6"), (8, 2, "H2O")]
     with pytest.raises(ValueError):
         search_library(lib, ions, vectors, by="luck")
+
+
+def test_released_tables_are_gone(spark):
+    import glob
+
+    from spectraloom.runtime import materialize, release, shared_dir
+
+    where = shared_dir(spark).removeprefix("file:")
+    a, b = materialize(spark.range(5), "kept-table"), materialize(spark.range(5), "gone-table")
+    release(b, spark.range(3))
+    assert a.count() == 5 and glob.glob(f"{where}/kept-table-*") and not glob.glob(f"{where}/gone-table-*")
+    release(b)  # once more does no harm
