@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.vectors import bytes_of, matrix, unit, unpack
-from spectraloom.runtime import materialize
+from spectraloom.runtime import materialize, release
 
 GRAPH = "id long, near array<long>, sim array<float>, v binary"
 MOST_PIVOTS = 1 << 16
@@ -167,14 +167,16 @@ def neighbour_graph(points: DataFrame, n: int, *, dim: int, k: int = 10, cell_ro
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("place")
     graph = seeds.select("*", place("id")).groupBy("place").applyInArrow(lambda t: _best(t, None, k, dim), GRAPH)
     graph = materialize(graph, "graph")
+    release(placed)
     for number in range(rounds if n > k + 1 else 0):
         send = graph.select("id", "near", "sim", "v").mapInArrow(_messages(k, fan, dim, seed + number), "to long, u long, x binary, low float, h long")
         met = Window.partitionBy("to").orderBy("h", "u")  # cut on the map side too, so a row that is near to very many does not gather them
         pools = send.withColumn("place_in_pool", F.row_number().over(met)).where(F.col("place_in_pool") <= pool).select("to", "u", "x", "low")
         news = materialize(pools.mapInArrow(_meet(pool, dim), "id long, near long, sim float").distinct(), "updates")
         merged = graph.select("*", place("id")).groupBy("place").cogroup(news.select("*", place("id")).groupBy("place")).applyInArrow(lambda g, u: _best(g, u, k, dim), GRAPH)
-        graph = materialize(merged, "graph")
-        if news.count() <= stop * n * k:
+        old, graph, found = graph, materialize(merged, "graph"), news.count()
+        release(old, news)
+        if found <= stop * n * k:
             break
     return graph
 
