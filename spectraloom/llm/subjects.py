@@ -118,9 +118,9 @@ def subject_areas(
     ``held_out`` of the labelled documents, chosen by hash, are kept from a first
     classifier; on them the posterior of each subject, a logistic curve in its share, is
     calibrated. A second one, trained with all labels, gives the shares. Slope and
-    midpoint are those of the highest likelihood, under a prior that puts the midpoint at ``least``
-    (within about 0.05) and lets some labels be wrong. A subject is assigned where its
-    posterior is one half or more.
+    midpoint are those of the highest likelihood, under a prior that puts the midpoint
+    near ``least`` (within about 0.05) and lets some labels be wrong. A subject is
+    assigned where its posterior is one half or more.
 
     Null texts, empty ones and texts without prose do not appear; whole texts are used;
     a repeated id is treated as another document. Without labels nothing is assigned.
@@ -167,11 +167,12 @@ def subject_areas(
 
 
 def _is_held(doc_id: Column, part: float) -> Column:
-    return _HASH(doc_id) < int(part * 1000)
+    """Whether a document is among those held out; ``_held`` is the same in numpy."""
+    return F.pmod(F.pmod(doc_id, F.lit(1_000_003)) * 7919 + F.pmod(doc_id, F.lit(997)), F.lit(1000)) < int(part * 1000)
 
 
-def _HASH(doc_id: Column) -> Column:  # the same in numpy, see _Batch
-    return F.pmod(F.pmod(doc_id, F.lit(1_000_003)) * 7919 + F.pmod(doc_id, F.lit(997)), F.lit(1000))
+def _held(doc_id: np.ndarray, part: float) -> np.ndarray:
+    return ((doc_id % 1_000_003) * 7919 + doc_id % 997) % 1000 < int(part * 1000)
 
 
 @dataclass(frozen=True)
@@ -194,6 +195,7 @@ def _bags(hash_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
+
         def code(word: str) -> int:
             if word not in seen:
                 if len(seen) > 1_000_000:
@@ -341,9 +343,7 @@ class _Entries:
     def __init__(self, batch: pa.RecordBatch, setup: _Setup) -> None:
         flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
         self.docs, self.ids = batch.num_rows, batch.column("doc_id")
-        number = self.ids.to_numpy()
-        held = ((number % 1_000_003) * 7919 + number % 997) % 1000 < int(setup.held_out * 1000)
-        self.mask = np.where(held, 0, batch.column("mask").fill_null(0).to_numpy())  # of those that train
+        self.mask = np.where(_held(self.ids.to_numpy(), setup.held_out), 0, batch.column("mask").fill_null(0).to_numpy())  # of those that train
         self.words = flat("words").astype(np.float64)
         self.doc = np.repeat(np.arange(self.docs), batch.column("words").value_lengths().to_numpy(zero_copy_only=False))
         self.section = np.repeat(np.arange(len(self.words)), flat("distinct"))
