@@ -120,7 +120,7 @@ def spectrum_scorer(which: str | SpectrumMetric = "spectral_entropy", **options)
 
     def prepare(column: pa.Array) -> pa.Array:
         flat = column.flatten()
-        mz, x = (np.asarray(flat.field(f).to_numpy(zero_copy_only=False), np.float64) for f in ("mz", "intensity"))
+        mz, x = (np.asarray(pc.struct_field(flat, f).to_numpy(zero_copy_only=False), np.float64) for f in ("mz", "intensity"))  # null peaks become NaN
         ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
         done = [own.prepare(mz[i:j], x[i:j]) for i, j in zip(ends[:-1], ends[1:])]
         at = pa.array(np.r_[0, np.cumsum([len(m) for m, _ in done])].astype(np.int32))
@@ -142,7 +142,7 @@ def entropy_scorer(tolerance: float = 0.02, ppm: float = -1.0, clean_spectra: bo
 
 
 def all_pairs(qry: DataFrame, ref: DataFrame, scorer: Scorer, *, value: str = "embedding", on: Sequence[str] = (), decimals: int | None = None, block_rows: int = 4096) -> DataFrame:
-    """Scores of all pairs (of a group): ``on..., qry_ids, ref_ids, scores``."""
+    """Scores of all pairs (of a group): ``on..., qry_ids, ref_ids, scores``; null ids, values and groups have none."""
     return _blocks(qry, ref, scorer, value, on, None, decimals, block_rows)
 
 

@@ -158,6 +158,14 @@ def test_spectrum_metrics(tables, rows):
         SpectrumSimilarity("no such").run(q, r)
 
 
+def test_null_peaks_count_for_nothing(spark, rows):
+    schema = "id long, peaks array<struct<mz:double,intensity:double>>"
+    whole = spark.createDataFrame([(1, [(100.0, 1.0), (200.0, 0.5)]), (2, []), (3, None)], schema)
+    holes = spark.createDataFrame([(1, [(100.0, 1.0), None, (None, 3.0), (200.0, 0.5), (300.0, None)])], schema)
+    for metric in ("spectral_entropy", "peak_cosine"):
+        assert rows(SpectrumSimilarity(metric).run(whole, holes)) == [(1, 1, 1.0), (2, 1, 0.0)]
+
+
 def test_embedding_similarity_tool(spark, rows):
     a = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.5, 0.5], "y"), (None, [1.0, 1.0], "x"), (3, None, "x")], "id long, embedding array<double>, g string")
     assert rows(EmbeddingSimilarity("dot").run(a, a)) == [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5), (2, 2, 0.5)]
