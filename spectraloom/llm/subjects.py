@@ -230,6 +230,13 @@ def _bags(hash_bits: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Some thousand documents at a time, so that flat arrays of their words stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class _Batch:
     """A batch of bags in flat arrays: ``feature, n, section`` of the entries, ``doc, words`` of the sections, ``lang`` of the documents."""
 
@@ -264,7 +271,7 @@ def _document_counts(bags: DataFrame, setup: _Setup) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(features, np.int64), np.zeros(several, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             b = _Batch(batch, setup)
             key = np.unique(b.entry_doc * features + b.feature)
             df += np.bincount(key % features, minlength=features)
@@ -322,7 +329,7 @@ def _compact(bags: DataFrame, active: _Active, setup: _Setup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.full(setup.features, -1, np.int32)
         row[shared.value] = np.arange(len(shared.value))
-        for batch in batches:
+        for batch in _slices(batches):
             b = _Batch(batch, setup)
             at = row[b.feature]
             on = at >= 0
@@ -367,7 +374,7 @@ def _expected(bags: DataFrame, model: _Model | None, active: _Active, c: int, se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, telling = shared.value
         total = np.zeros((c, len(telling)))
-        for batch in batches:
+        for batch in _slices(batches):
             b = _Entries(batch, setup)
             asked = ((b.mask[:, None] >> np.arange(c)) & 1).astype(np.float64)
             if model is None:
@@ -418,7 +425,7 @@ def _shares(bags: DataFrame, model: _Model, active: _Active, c: int, setup: _Set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, telling = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             b = _Entries(batch, setup)
             r = _posterior(b, model, telling, setup.min_density)
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
