@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +165,28 @@ def test_communities():
     assert communities(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0))[0].tolist() == [0, 1, 2]
 
 
+def test_search_memory_does_not_grow_with_leaves(spark):
+    """A batch of queries is sent to its nearest of very many leaves some rows at a time; a shard travels in small rows."""
+    rng = np.random.default_rng(8)
+    sample, x = unit(rng.normal(size=(8000, 8))), unit(rng.normal(size=(10_000, 8)))
+    leaf = np.sort(np.r_[np.arange(4000), rng.integers(0, 4000, 4000)])
+    tracemalloc.start()
+    goes = ann._routes(x, sample, leaf, 64)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20  # 10,000 x 4,000 similarities alone are 160 MB
+    tracemalloc.stop()
+    near = np.maximum.reduceat(x[:50] @ sample.T, np.searchsorted(leaf, np.arange(4000)), axis=1)
+    assert [set(g) for g in goes[:50].tolist()] == [set(np.argsort(-s)[:64].tolist()) for s in near]
+    assert (ann._routes(x[:3], sample, leaf, 4000) == np.arange(4000)).all()
+
+    v = _mixed(rng, 3000, 8)
+    index = build_index(_frame(spark, range(3000), v), "id", "embedding", dim=8, min_shards=2)
+    rows = index.rows.toArrow()
+    assert max(len(d) for d in rows["data"].to_pylist()) <= 1 << 16 and rows.num_rows > 4
+    parts = [ann._load(rows.filter(np.array(rows["shard"]) == shard)) for shard in set(rows["shard"].to_pylist())]
+    assert sorted(np.concatenate([p["ids"] for p in parts]).tolist()) == list(range(3000))
+    assert all((p["vectors"] == v[p["ids"]]).all() and len(p["links0"]) == len(p["first"]) for p in parts)
+
+
 @pytest.mark.parametrize("cell,most", [(4, 30), (40, 100_000), (100_000, 50)])
 def test_clusters(spark, cell, most):
     rng = np.random.default_rng(4)
