@@ -78,9 +78,10 @@ def similarity_clusters(
     threshold and no two records of different clusters do, the result is exact but for
     links that no graph finds; ``probes`` and ``passes`` raise recall.
 
-    Nothing gathers: communities are found in tasks of about ``most`` records, records
-    that share neighbours together; what exceeds that is divided, and the parts are put
-    together by the same rule.
+    Records that edges link, however far, are in one task, with others up to about
+    ``most`` records. They are dealt with by themselves, and moves by chance are drawn
+    by id, so the result does not depend on ``most`` or on what shares a task. The rows
+    that edges link are never divided, so a task is as large as the largest such part.
     """
     points = materialize(packed(select_vectors(df, id, embedding, dim)), "points")
     n = points.count()
@@ -88,18 +89,18 @@ def similarity_clusters(
     graph = neighbour_graph(points, n, rounds=rounds, seed=seed, **how)
     edges = materialize(_edges(graph, threshold), "edges")
     release(graph)
-    total = float(edges.agg(F.sum("w")).first()[0] or 0.0)
-    place = _buckets(edges, most, seed)
-    inside = edges.join(place.select(F.col("id").alias("a"), F.col("bucket").alias("own")), "a").join(place.select(F.col("id").alias("b"), F.col("bucket").alias("other")), "b").where(F.col("own") == F.col("other"))
+    total = (edges.agg(F.sum(F.round(F.col("w") * (1 << 20)).cast("long"))).first()[0] or 0) / (1 << 20)  # the same in any order
+    place = _buckets(edges, most)
+    inside = edges.join(place.select(F.col("id").alias("a"), F.col("bucket").alias("own")), "a")
 
     def divide(nodes: pa.Table, links: pa.Table) -> pa.Table:
         ids, x = unpack(nodes, dim)
-        a, b = (np.searchsorted(ids, links[c].to_numpy()) if links.num_rows else np.zeros(0, np.int64) for c in ("a", "b"))
-        w = cosine(x[a], x[b])
-        a, b, w = (c[w >= threshold] for c in (a, b, w))
+        a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
         o = np.lexsort((b, a))
-        a, b, w = a[o], b[o], w[o]
-        label, degree = communities(len(ids), a, b, w, total=total)
+        a, b = a[o], b[o]
+        w = np.concatenate([cosine(x[i], x[j]) for i, j in zip(*(np.array_split(c, 1 + len(a) // 50_000) for c in (a, b)))])
+        near = w >= threshold
+        label, degree = communities(len(ids), a[near], b[near], w[near], total=total, names=ids)
         u = _wide_unit(x)
         group = _stars(u, label, degree, threshold)
         names, group = np.unique(group, return_inverse=True)
@@ -112,13 +113,11 @@ def similarity_clusters(
     found = materialize(found.unionByName(alone), "communities")
     groups = found.where(F.col("id") == F.col("grp")).select("grp", "size", "total")
     of = found.select("id", "grp")
-    linked = edges.join(of.select(F.col("id").alias("a"), F.col("grp").alias("ga")), "a").join(of.select(F.col("id").alias("b"), F.col("grp").alias("gb")), "b")
-    pairs = linked.where(F.col("ga") != F.col("gb")).select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
-    groups, steps = _put_together(groups, pairs, threshold, most, seed)
+    steps: list[DataFrame] = []
     for number in range(passes):
         parts = materialize(packed(groups.select(F.col("grp").alias("id"), F.col("total").cast("array<float>").alias("v"))), "parts")
         near = neighbour_graph(parts, parts.count(), rounds=0, seed=seed + 100 * (number + 1), **how)
-        groups, more = _put_together(groups, _edges(near, threshold).select("a", "b"), threshold, most, seed)
+        groups, more = _put_together(groups, _edges(near, threshold).select("a", "b"), threshold, most)
         release(parts, near)
         steps += more
     for step in steps:
@@ -168,54 +167,62 @@ def _edges(graph: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy(F.least("id", "e.near").alias("a"), F.greatest("id", "e.near").alias("b")).agg(F.max("e.sim").cast("double").alias("w"))
 
 
-def _buckets(pairs: DataFrame, most: int, seed: int) -> DataFrame:
-    """``id, bucket`` of all ids in ``pairs(a, b)``: ids that share a lowest neighbour's lowest neighbour together, about ``most`` a bucket.
+def _components(pairs: DataFrame) -> DataFrame:
+    """``id, component`` of all ids in ``pairs(a, b)``: the lowest id that pairs lead to, however far.
 
-    A set of more than ``most`` ids is divided at random.
+    Every id links its higher neighbours, then its lower ones, to the lowest it knows,
+    until nothing changes; so an id that very many share gathers nowhere.
     """
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("l"))
-    whole = both.unionByName(one.select("a", F.col("a").alias("b")))
-    two = materialize(whole.join(one.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l")), "labels")
-    large = two.groupBy("l").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("l", F.ceil(F.col("c") / most).cast("long").alias("parts"))
-    buckets = max(1, -(-two.count() // most))
-    part = F.pmod(F.xxhash64("a", F.lit(seed)), F.coalesce("parts", F.lit(1).cast("long")))
-    return materialize(two.join(large, "l", "left").select(F.col("a").alias("id"), F.pmod(F.xxhash64("l", part), F.lit(buckets)).cast("int").alias("bucket")), "buckets")
-
-
-def _put_together(groups: DataFrame, pairs: DataFrame, threshold: float, most: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Groups joined along ``pairs(a, b)`` while the mean cosine between two reaches the threshold; the new groups and the steps ``grp, into``."""
-    steps: list[DataFrame] = []
+    links = materialize(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    state = None
     while True:
-        side = lambda s: groups.select(F.col("grp").alias(s), F.col("size").alias(f"n{s}"), F.col("total").alias(f"s{s}"))
-        mean = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("na") * F.col("nb"))
-        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(mean >= threshold).select("a", "b"), "near-groups")
-        if pairs.isEmpty():
-            return groups, steps
-        place = _buckets(pairs, most, seed + len(steps))
-        inside = pairs.join(place.select(F.col("id").alias("a"), F.col("bucket").alias("own")), "a").join(place.select(F.col("id").alias("b"), F.col("bucket").alias("other")), "b").where(F.col("own") == F.col("other"))
-
-        def join(nodes: pa.Table, links: pa.Table) -> pa.Table:
-            o = np.argsort(nodes["grp"].to_numpy())
-            ids, size = nodes["grp"].to_numpy()[o], nodes["size"].to_numpy()[o]
-            sums = nodes["total"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[o]
-            a, b = (np.searchsorted(ids, links[c].to_numpy()) if links.num_rows else np.zeros(0, np.int64) for c in ("a", "b"))
-            group = _agglomerate(sums, size, a, b, threshold)
-            into = _lowest(ids, group)
-            at, lead = np.unique(group, return_inverse=True)
-            whole, count = np.zeros((len(at), sums.shape[1])), np.bincount(lead, weights=size)
-            np.add.at(whole, lead, sums)
-            head = into == ids
-            return pa.Table.from_arrays([pa.array(ids), pa.array(into), pa.array(count[lead].astype(np.int64)), lists_of(whole[lead], head)], names=["grp", "into", "size", "total"])
-
-        nodes = groups.join(place.select(F.col("id").alias("grp"), "bucket"), "grp")
-        step = nodes.groupBy("bucket").cogroup(inside.select("own", "a", "b").groupBy("own")).applyInArrow(join, JOINED)
-        step = materialize(step, "joined")
-        steps.append(step)
-        kept = groups.join(step.select("grp"), "grp", "left_anti").unionByName(step.where(F.col("grp") == F.col("into")).select("grp", "size", "total"))
-        groups = materialize(kept, "groups")
-        new = lambda c: step.select(F.col("grp").alias(c), F.col("into").alias(f"{c}_into"))
-        pairs = pairs.join(new("a"), "a").join(new("b"), "b").select(F.least("a_into", "b_into").alias("a"), F.greatest("a_into", "b_into").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        up = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, links = links, materialize(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(old)
+        last, state = state, links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
+            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _buckets(pairs: DataFrame, most: int) -> DataFrame:
+    """``id, bucket`` of all ids in ``pairs(a, b)``: whole components, about ``most`` ids a bucket but for a component that is larger."""
+    of = _components(pairs)
+    buckets = max(1, -(-of.count() // most))
+    return materialize(of.select("id", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket")), "buckets")
+
+
+def _put_together(groups: DataFrame, pairs: DataFrame, threshold: float, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups joined along ``pairs(a, b)`` while the mean cosine between two reaches the threshold; the new groups and the step ``grp, into``, if there is one."""
+    side = lambda s: groups.select(F.col("grp").alias(s), F.col("size").alias(f"n{s}"), F.col("total").alias(f"s{s}"))
+    mean = F.aggregate(F.zip_with("sa", "sb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("na") * F.col("nb"))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(mean >= threshold).select("a", "b"), "near-groups")
+    if pairs.isEmpty():
+        return groups, []
+    place = _buckets(pairs, most)
+    inside = pairs.join(place.select(F.col("id").alias("a"), F.col("bucket").alias("own")), "a")
+
+    def join(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        o = np.argsort(nodes["grp"].to_numpy())
+        ids, size = nodes["grp"].to_numpy()[o], nodes["size"].to_numpy()[o]
+        sums = nodes["total"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[o]
+        a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
+        group = _agglomerate(sums, size, a, b, threshold)
+        into = _lowest(ids, group)
+        at, lead = np.unique(group, return_inverse=True)
+        whole, count = np.zeros((len(at), sums.shape[1])), np.bincount(lead, weights=size)
+        np.add.at(whole, lead, sums)
+        head = into == ids
+        return pa.Table.from_arrays([pa.array(ids), pa.array(into), pa.array(count[lead].astype(np.int64)), lists_of(whole[lead], head)], names=["grp", "into", "size", "total"])
+
+    nodes = groups.join(place.select(F.col("id").alias("grp"), "bucket"), "grp")
+    step = nodes.groupBy("bucket").cogroup(inside.select("own", "a", "b").groupBy("own")).applyInArrow(join, JOINED)
+    step = materialize(step, "joined")
+    kept = groups.join(step.select("grp"), "grp", "left_anti").unionByName(step.where(F.col("grp") == F.col("into")).select("grp", "size", "total"))
+    return materialize(kept, "groups"), [step]
 
 
 def _wide_unit(x: np.ndarray) -> np.ndarray:
@@ -243,7 +250,8 @@ def _stars(u: np.ndarray, label: np.ndarray, degree: np.ndarray, threshold: floa
         own = label[order]
         first = np.r_[True, own[1:] != own[:-1]]
         head = np.repeat(order[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
-        near = (np.einsum("ij,ij->i", u[order], u[head]) >= threshold) | (order == head)
+        parts = zip(*(np.array_split(c, 1 + len(order) // 50_000) for c in (order, head)))
+        near = (np.concatenate([np.einsum("ij,ij->i", u[i], u[j]) for i, j in parts]) >= threshold) | (order == head)
         rep[order[near]] = head[near]
         todo = order[~near]
     return rep
@@ -280,8 +288,8 @@ def _agglomerate(sums: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarra
             links[o].discard(j)
             links[o].add(i)
         if others:
-            o = np.fromiter(others, np.int64, len(others))
-            m = sums[o] @ sums[i] / (size[o] * size[i])
+            o = np.fromiter(sorted(others), np.int64, len(others))
+            m = np.einsum("ij,j->i", sums[o], sums[i]) / (size[o] * size[i])
             for x, s in zip(o.tolist(), m.tolist()):
                 if s >= threshold:
                     pair = (min(i, x), max(i, x))

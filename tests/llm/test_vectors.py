@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm import ann, queries
 from spectraloom.llm.ann import build_index, nearest
-from spectraloom.llm.clusters import exact_neighbourhoods, similarity_clusters
+from spectraloom.llm.clusters import _components, exact_neighbourhoods, similarity_clusters
 from spectraloom.llm.hnsw import Hnsw
 from spectraloom.llm.neighbours import communities, descend, neighbour_graph
 from spectraloom.llm.vectors import bytes_of, matrix, packed, unit
@@ -222,6 +222,35 @@ def test_clusters(spark, cell, most):
     assert exact == {i: (c, sum(v == c for v in want.values())) for i, c in want.items() if i % 3 == 0}
 
 
+def test_clusters_do_not_depend_on_the_size_of_tasks(spark):
+    """Overlapping families, of which nearly every record reaches the threshold with some of other families: the division is the same whether all share a task or not."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([c + 0.55 * rng.normal(size=(60, 8)) for c in 2 * rng.normal(size=(10, 8))]).astype(np.float32)
+    df = _frame(spark, rng.permutation(5000)[:600] - 100, x)
+    got = []
+    for most in (20, 100_000):
+        found = similarity_clusters(df, "id", "embedding", dim=8, most=most)
+        got.append((sorted(map(tuple, found.members.collect())), sorted(map(tuple, found.communities.collect()))))
+    assert len({r[0] for r in got[0][0]}) > 10 and got[0] == got[1]
+
+
+def test_linked_rows_are_one_part(spark):
+    rng = np.random.default_rng(13)
+    chain, star = rng.permutation(400) - 50, 1000 + np.arange(300)
+    pairs = [*zip(chain[:-1].tolist(), chain[1:].tolist()), *((1000, int(i)) for i in star[1:]), (7000, 7001), (7001, 7000)]
+    got = {r.id: r.component for r in _components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {int(i): -50 for i in chain} | {int(i): 1000 for i in star} | {7000: 7000, 7001: 7000}
+    # and a part's communities are those it has by itself
+    a, b = np.triu_indices(40, 1)
+    keep = rng.random(len(a)) < np.where((a < 20) == (b < 20), 0.5, 0.1)
+    a, b, w = a[keep], b[keep], rng.uniform(0.5, 1, keep.sum())
+    names = np.sort(rng.choice(1000, 40, replace=False))
+    alone, _ = communities(40, a, b, w, total=99.0, names=names)
+    m = 300
+    both, _ = communities(m + 40, np.r_[np.arange(m - 1), a + m], np.r_[np.arange(1, m), b + m], np.r_[rng.uniform(0.5, 1, m - 1), w], total=99.0, names=np.r_[np.arange(m) - m, names])
+    assert (np.unique(both[m:], return_inverse=True)[1] == np.unique(alone, return_inverse=True)[1]).all() and len(set(alone)) > 1
+
+
 def test_graph_of_the_table(spark):
     """Cells of a few rows only seed the graph: descent over the table finds most neighbours, and clusters are found whole."""
     rng = np.random.default_rng(9)
