@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from spectraloom.operators.bandjoin import co_occurrence, mz_join, peak_overlap
+from spectraloom.operators.bandjoin import co_occurrence, join_several, mz_join, peak_overlap
 from spectraloom.operators.search import FragmentSearcher, PrecursorSearcher
 from spectraloom.sources.ingest import candidates, fragments, ions
 
@@ -97,3 +97,32 @@ def test_peak_overlap(spark, rows):
     assert rows(peak_overlap(q, r, 0.5, "da")) == [(1, 7, 2, (100.0, 100.25)), (2, 7, 1, (100.25,))]
     assert rows(peak_overlap(q, r, 0.5, "da", inclusive=True), "qry_ids", "n_peaks") == [(1, 2), (2, 2)]
     assert rows(peak_overlap(q, r, 0.5, "da", candidates=candidates(spark, {2: [7, 8]})), "qry_ids", "ref_ids") == [(2, 7)]
+
+
+@pytest.mark.parametrize("unit,tolerance", [("da", 0.5), ("ppm", 900.0), ("ppm", 2e6), ("da", 0.0)])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_join_several_against_counts(spark, rows, unit, tolerance, repeated):
+    rng = random.Random(5)
+    value = lambda: rng.choice([0.0, -5.0, 1e-7, 1e-6, 2e-6, float("nan"), None, rng.uniform(-50, 500), rng.uniform(100, 101), rng.uniform(100, 101)])
+    q = spark.createDataFrame([(rng.choice([i, None, 3 if repeated else i]), value()) for i in range(90)], "id long, mz double")
+    r = spark.createDataFrame([(rng.choice([i // 4, i // 4, None]), f"a{i % 4}", value()) for i in range(240)], "id long, adducts string, mz double")
+    for least in (2, 3):
+        want = co_occurrence(mz_join(q, r, tolerance, unit, carry=["adducts"]), least, per_query=True)
+        assert rows(join_several(q, r, tolerance, unit, least, carry=["adducts"])) == rows(want)
+
+
+def test_hits_are_counted_without_being_written(spark, rows, adducts, monkeypatch):
+    from spectraloom.operators import bandjoin
+
+    monkeypatch.setattr(bandjoin, "materialize", None)
+    q = ions(spark, [100, 200, 200, 300], ids=[1, 2, 5, 3])
+    for distinct, want in ((False, [(2, 2), (5, 2)]), (True, [])):
+        kept = FragmentSearcher(10.0, co_occurrence_threshold=2, distinct_adducts=distinct).run(q, adducts.where("id < 4"))
+        assert rows(kept.table, "qry_ids", "ref_ids") == want
+    join_several(q.where("id <> 5"), adducts, 6000.0, "ppm", 2, carry=["adducts"])
+
+
+def test_band_join_is_not_broadcast(spark):
+    q = ions(spark, QUERY)
+    plan = mz_join(q, q, 5.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
