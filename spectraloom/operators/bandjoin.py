@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spectraloom.functions.peaks import PPM_FLOOR, delta
 from spectraloom.runtime import materialize
 from spectraloom.schema import require
 
+#: Peaks of a block of queries, half those of a block of references; matches that a task makes at once.
+BLOCK, AT_ONCE = 1 << 20, 1 << 18
+
 
 def mz_join(
     qry: DataFrame,
@@ -171,11 +178,121 @@ def peak_overlap(qry: DataFrame, ref: DataFrame, tolerance: float, unit: str = "
     Both tables hold ``id, mz``, a row a peak. A reference peak is listed once for each
     query peak that it matches, by rising m/z. The test is strict unless ``inclusive``.
     """
+    if candidates is None:
+        return _overlap(qry, ref, tolerance, unit, inclusive)
     r = ref.select("id", "mz", F.col("mz").alias("peak"))
-    if candidates is not None:
-        listed = candidates.select(F.col("qry_ids").alias("id"), "ref_ids").distinct()
-        q = qry.select("id", "mz").join(listed, "id").select("id", "mz", F.col("ref_ids").alias("pair"))
-        hits = mz_join(q, r.withColumn("pair", F.col("id")), tolerance, unit, on=["pair"], carry=["peak"], inclusive=inclusive)
-    else:
-        hits = mz_join(qry.select("id", "mz"), r, tolerance, unit, carry=["peak"], inclusive=inclusive)
+    listed = candidates.select(F.col("qry_ids").alias("id"), "ref_ids").distinct()
+    q = qry.select("id", "mz").join(listed, "id").select("id", "mz", F.col("ref_ids").alias("pair"))
+    hits = mz_join(q, r.withColumn("pair", F.col("id")), tolerance, unit, on=["pair"], carry=["peak"], inclusive=inclusive)
     return hits.groupBy("qry_ids", "ref_ids").agg(F.count(F.lit(1)).alias("n_peaks"), F.sort_array(F.collect_list("peak")).alias("ref_mzs"))
+
+
+def _overlap(qry: DataFrame, ref: DataFrame, tolerance: float, unit: str, inclusive: bool) -> DataFrame:
+    """All pairs of spectra that share a peak. A task holds a block of references and passes the spectra of a block of queries by, so matches are neither shuffled nor gathered."""
+    require(qry, ["id", "mz"], "the query table")
+    require(ref, ["id", "mz"], "the reference table")
+    if unit not in ("ppm", "da"):
+        raise ValueError(f"unit must be 'ppm' or 'da', not {unit!r}")
+    mz = F.col("mz").cast("double")
+    n_q, n_r = qry.count(), ref.count()
+    nq, nr = max(-(-n_q // BLOCK), min(8, 1 + n_q // 4096)), -(-n_r // (2 * BLOCK)) or 1
+    kinds = [df.schema["id"].dataType for df in (qry, ref)]
+
+    def side(df: DataFrame, is_qry: bool) -> DataFrame:
+        block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        placed = df.where(mz.isNotNull() & ~F.isnan(mz)).select(block(nq if is_qry else nr).alias("own"), "id", mz.alias("mz"), every(nr if is_qry else nq).alias("other"))
+        task = F.col("own") * nr + F.col("other") if is_qry else F.col("other") * nr + F.col("own")
+        ids = [F.col("id").alias(name) if this == is_qry else F.lit(None).cast(kind).alias(name) for name, this, kind in (("q", True, kinds[0]), ("r", False, kinds[1]))]
+        return placed.select(task.alias("task"), F.lit(is_qry).alias("is_qry"), *ids, "mz")
+
+    schema = T.StructType([T.StructField("qry_ids", kinds[0]), T.StructField("ref_ids", kinds[1]), T.StructField("n_peaks", T.LongType()), T.StructField("ref_mzs", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, block, left = None, [], None, None  # left: peaks of a query that may go on in the next batch
+        for batch in batches:
+            for piece in _runs(pa.Table.from_batches([batch]), ["task", "is_qry"]):
+                task = piece["task"][0].as_py()
+                if task != now:
+                    if left is not None:
+                        yield from _matches(left, block, tolerance, unit, inclusive, arrow)
+                    now, parts, block, left = task, [], None, None
+                if not piece["is_qry"][0].as_py():
+                    parts.append(piece)
+                    continue
+                if block is None:
+                    block, parts = _peak_block(parts), []
+                piece = piece if left is None else pa.concat_tables([left, piece])
+                last = _runs(piece.select(["q"]), ["q"], tables=False)[-1][0]
+                if last:
+                    yield from _matches(piece.slice(0, last), block, tolerance, unit, inclusive, arrow)
+                left = piece.slice(last)
+        if left is not None:
+            yield from _matches(left, block, tolerance, unit, inclusive, arrow)
+
+    rows = side(ref, False).unionByName(side(qry, True)).repartition(2 * nq * nr, "task").sortWithinPartitions("task", "is_qry", "q")
+    return rows.mapInArrow(run, schema).withColumn("ref_mzs", F.col("ref_mzs").cast(T.ArrayType(ref.schema["mz"].dataType)))
+
+
+def _runs(table: pa.Table, by: Sequence[str], tables: bool = True) -> list:
+    """Slices, or their bounds, of neighbouring rows that are equal in the columns ``by``, of which null is one value."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        code = table[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    ends = [*np.flatnonzero(new).tolist(), table.num_rows]
+    bounds = list(zip(ends[:-1], ends[1:]))
+    return [table.slice(i, j - i) for i, j in bounds] if tables else bounds
+
+
+def _peak_block(parts: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """m/z of a block of references by rising value, and the number of each one's id among the last."""
+    if not parts:
+        return None
+    table = pa.concat_tables(parts)
+    mz, ids = table["mz"].to_numpy(), table["r"].combine_chunks().dictionary_encode("encode")
+    order = np.argsort(mz, kind="stable")
+    return mz[order], ids.indices.to_numpy().astype(np.int64)[order], ids.dictionary
+
+
+def _matches(table: pa.Table, block: tuple[np.ndarray, np.ndarray, pa.Array] | None, tolerance: float, unit: str, inclusive: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Matching peaks of whole queries, sorted by id, against a block of references."""
+    if block is None:
+        return
+    peaks, number, ids = block
+    mz, t = table["mz"].to_numpy(), tolerance * 1e-6
+    wide, near = 1e-9 * np.abs(mz), 1.01 * abs(tolerance if unit == "da" else t * PPM_FLOOR)  # the exact test follows
+    if unit == "da":
+        low, high = mz - near - wide, mz + near + wide
+    else:
+        up = mz / (1 - t) if t < 1 else np.full(len(mz), np.inf)
+        low, high = np.where(mz > 0, mz / (1 + max(t, 0)), mz if t < 1 else -np.inf) - near - wide, np.where(mz > 0, up, mz if t < 1 else np.inf) + near + wide
+    start, stop = np.searchsorted(peaks, low, "left"), np.searchsorted(peaks, high, "right")
+    count = np.maximum(stop - start, 0)
+    first = np.array([i for i, _ in _runs(table.select(["q"]), ["q"], tables=False)])
+    query = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(mz)]))
+    lot = np.r_[0, np.cumsum(count)][first] // AT_ONCE  # queries with some million matches together
+    edges = np.r_[first[np.flatnonzero(np.r_[True, lot[1:] != lot[:-1]])], len(mz)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        n = count[a:b]
+        own = np.repeat(np.arange(a, b), n)
+        at = np.arange(len(own)) + np.repeat(start[a:b] - np.cumsum(n) + n, n)
+        apart = np.abs(mz[own] - peaks[at])
+        if unit == "ppm":
+            apart = apart * (1e6 / np.maximum(peaks[at], PPM_FLOOR))
+        ok = apart <= tolerance if inclusive else apart < tolerance
+        own, at = own[ok], at[ok]
+        if not len(own):
+            continue
+        pair = (query[own] - query[a]) * len(ids) + number[at]
+        if (int(pair.max()) + 1) * len(peaks) < 1 << 62:
+            pair, at = np.divmod(np.sort(pair * len(peaks) + at), len(peaks))
+        else:
+            order = np.lexsort((at, pair))
+            pair, at = pair[order], at[order]
+        begin = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        q, r = np.divmod(pair[begin], len(ids))
+        ends = np.r_[begin, len(pair)]
+        yield pa.RecordBatch.from_arrays([table["q"].take(pa.array(first[q + query[a]])).combine_chunks(), ids.take(pa.array(r)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(peaks[at]))], schema=arrow)

@@ -126,3 +126,26 @@ def test_band_join_is_not_broadcast(spark):
     q = ions(spark, QUERY)
     plan = mz_join(q, q, 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("unit,tolerance", [("da", 0.5), ("da", 0.0), ("da", -1.0), ("ppm", 900.0), ("ppm", 0.0), ("ppm", 2e6)])
+def test_peak_overlap_against_hits(spark, rows, unit, tolerance, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spectraloom.operators import bandjoin
+
+    rng = random.Random(7)
+    value = lambda: rng.choice([0.0, -5.0, 1e-7, 1e-6, 2e-6, float("nan"), None, rng.uniform(-50, 500), rng.uniform(100, 101)])
+    q, r = (spark.createDataFrame([(rng.choice([None, *range(12)]), value()) for _ in range(150)], "id long, mz double") for _ in range(2))
+    hits = mz_join(q, r.withColumn("peak", F.col("mz")), tolerance, unit, carry=["peak"], inclusive=True)
+    want = rows(hits.groupBy("qry_ids", "ref_ids").agg(F.count("*").alias("n_peaks"), F.sort_array(F.collect_list("peak")).alias("ref_mzs")))
+    for block, at_once in ((1 << 20, 1 << 20), (40, 16)):
+        monkeypatch.setattr(bandjoin, "BLOCK", block)
+        monkeypatch.setattr(bandjoin, "AT_ONCE", at_once)
+        assert rows(peak_overlap(q, r, tolerance, unit, inclusive=True)) == want
+
+
+def test_peak_overlap_shuffles_peaks_only(spark):
+    q = ions(spark, QUERY)
+    plan = peak_overlap(q, q, 0.5, "da")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
