@@ -193,3 +193,14 @@ def test_candidates_in_blocks(spark, rows):
     assert rows(got, "qry_ids", "ref_ids", "topk", "scores") == [pytest.approx(w) for w in want]
     everything = similarity.top_k_candidates(e, e, listed, "cosine", None).count()
     assert everything == len({p for p in pairs if max(p) < 60})
+
+
+def test_all_pairs_hold_one_side(spark, rows):
+    """All scores of a pair of blocks are never in one table, and few blocks copy few rows."""
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(300)], "id long, embedding array<double>")
+    wide = v.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    scorer = similarity.vector_scorer("cosine")
+    want = rows(similarity.all_pairs(v, v, scorer, decimals=6))
+    assert len(want) == 90_000 and rows(similarity.all_pairs(v, wide, scorer, decimals=6, block_rows=70)) == want
+    plan = similarity.all_pairs(v, v, scorer)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan
